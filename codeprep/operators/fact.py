@@ -11,7 +11,8 @@ from codeprep.operators.cohort import patient_cohort, restrict_to_cohort
 from codeprep.operators.grouping import ADMISSION, admission_codes
 from codeprep.operators.joins import skew_safe_join
 from codeprep.operators.notes import discharge_notes
-from codeprep.operators.numbering import key_bounds, number_sorted
+from codeprep.operators.numbering import number_sorted
+from codeprep.staging import staged
 
 
 def notes_with_diagnoses(
@@ -43,9 +44,9 @@ def fact_keys(
     procedures: DataFrame,
     patients: DataFrame,
     version: str | DatasetVersion,
-    num_patients: int | None,
-) -> tuple[DataFrame, DataFrame]:
-    """The fact table without row number and text, and the narrow notes it was built from.
+    num_patients: int | None = None,
+) -> DataFrame:
+    """The fact table without row number and text.
 
     The note text takes no part in these joins. It is attached later by the unique note
     key, so it is shuffled once and on a key that cannot be hot.
@@ -59,7 +60,19 @@ def fact_keys(
             for df in (narrow, diagnoses, procedures)
         )
     lists = with_gender(admission_codes(diagnoses, procedures, v), patients)
-    return skew_safe_join(narrow, lists, ADMISSION, "inner", [v.note_key]), narrow
+    return skew_safe_join(narrow, lists, ADMISSION, "inner", [v.note_key])
+
+
+def numbered_keys(
+    keys: DataFrame, version: str | DatasetVersion, total: str | None = None
+) -> DataFrame:
+    """Row numbers from 1 by patient, admission and note key.
+
+    The rows are staged first: they are narrow, and they are read for the bucket bounds,
+    the bucket sizes and the numbers, which would otherwise repeat the joins.
+    """
+    order = [*ADMISSION, dataset_version(version).note_key]
+    return number_sorted(staged(keys, "fact-keys"), order, "row_id", total=total)
 
 
 def fact_columns(df: DataFrame, version: str | DatasetVersion, *extra: str) -> DataFrame:
@@ -83,17 +96,6 @@ def fact_columns(df: DataFrame, version: str | DatasetVersion, *extra: str) -> D
     )
 
 
-def number_fact(
-    keys: DataFrame,
-    narrow: DataFrame,
-    version: str | DatasetVersion,
-    total: str | None = None,
-) -> DataFrame:
-    """Row numbers from 1 by patient, admission and note key, on rows without text."""
-    order = [*ADMISSION, dataset_version(version).note_key]
-    return number_sorted(keys, order, "row_id", total=total, bounds=key_bounds(narrow, order))
-
-
 def attach_text(keys: DataFrame, notes: DataFrame, version: str | DatasetVersion) -> DataFrame:
     """Bring the note text in by the note key."""
     v = dataset_version(version)
@@ -109,6 +111,6 @@ def processed_fact(
     num_patients: int | None = None,
 ) -> DataFrame:
     """The whole fact table: one row per discharge note of an admission with diagnoses."""
-    keys, narrow = fact_keys(notes, diagnoses, procedures, patients, version, num_patients)
-    numbered = number_fact(keys, narrow, version)
+    keys = fact_keys(notes, diagnoses, procedures, patients, version, num_patients)
+    numbered = numbered_keys(keys, version)
     return fact_columns(attach_text(numbered, notes, version), version)

@@ -1,7 +1,8 @@
 """Codes gathered into ordered lists.
 
-The list is the result: one cell per admission. Spark combines partial lists on the map
-side before the shuffle, and nothing but the codes of one admission meets in one row.
+The list is the result: one cell per admission, holding that admission's codes and no
+others. Lists do not shrink when they are combined early, so the rows are shuffled as they
+are and gathered once, instead of being sorted and listed on the map side as well.
 """
 
 from __future__ import annotations
@@ -16,11 +17,16 @@ from codeprep.config import DatasetVersion, dataset_version
 ADMISSION = ("SUBJECT_ID", "HADM_ID")
 
 
-def _ordered(seq: Column, code: Column, keep: Column | None = None) -> Column:
-    entry = F.struct(seq.isNull().alias("unnumbered"), seq.alias("seq"), code.alias("code"))
-    if keep is not None:
-        entry = F.when(keep, entry)
-    return F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["code"])
+def _entries(*last: Column) -> Column:
+    """All rows of the group by sequence number (missing ones last), then by ``last``."""
+    seq = F.col("SEQ_NUM")
+    return F.sort_array(
+        F.collect_list(F.struct(seq.isNull().alias("unnumbered"), seq.alias("seq"), *last))
+    )
+
+
+def _codes(entries: Column) -> Column:
+    return F.transform(entries, lambda e: e["code"])
 
 
 def group_codes(
@@ -35,8 +41,9 @@ def group_codes(
         codes = codes.withColumn("SEQ_NUM", F.lit(None).cast("int"))
     return (
         codes.filter(F.col(v.code_col).isNotNull())
+        .repartition(*keys)
         .groupBy(*keys)
-        .agg(_ordered(F.col("SEQ_NUM"), F.col(v.code_col)).alias(out))
+        .agg(_codes(_entries(F.col(v.code_col).alias("code"))).alias(out))
     )
 
 
@@ -54,17 +61,20 @@ def admission_codes(
         return df.filter(F.col(v.code_col).isNotNull()).select(
             *ADMISSION,
             "SEQ_NUM",
-            F.col(v.code_col).alias("_code"),
-            F.lit(diagnosis).alias("_diagnosis"),
+            F.col(v.code_col).alias("code"),
+            F.lit(diagnosis).alias("diagnosis"),
         )
 
     both = tagged(diagnoses, True).unionByName(tagged(procedures, False))
-    seq, code, diagnosis = F.col("SEQ_NUM"), F.col("_code"), F.col("_diagnosis")
+    entries = F.col("_entries")
     return (
-        both.groupBy(*ADMISSION)
-        .agg(
-            _ordered(seq, code, diagnosis).alias("diagnosis_codes"),
-            _ordered(seq, code, ~diagnosis).alias("procedure_codes"),
+        both.repartition(*ADMISSION)
+        .groupBy(*ADMISSION)
+        .agg(_entries(F.col("code"), F.col("diagnosis")).alias("_entries"))
+        .select(
+            *ADMISSION,
+            _codes(F.filter(entries, lambda e: e["diagnosis"])).alias("diagnosis_codes"),
+            _codes(F.filter(entries, lambda e: ~e["diagnosis"])).alias("procedure_codes"),
         )
         .filter(F.size("diagnosis_codes") > 0)
     )

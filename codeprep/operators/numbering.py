@@ -63,14 +63,15 @@ def key_bounds(
 ) -> list[Row]:
     """Keys that cut ``df`` into buckets of about equal size, from a bounded sample.
 
-    About ``SAMPLE_KEYS`` keys reach the driver, whatever the size of ``df``. The bounds
-    only steer how even the buckets are; numbers built on them are exact for any bounds.
+    About ``SAMPLE_KEYS`` keys reach the driver, and never more than twice that, whatever
+    the size of ``df``. The bounds only steer how even the buckets are; numbers built on
+    them are exact for any bounds.
     """
     keys_only = df.select(*keys)
     rows = keys_only.count()
     fraction = min(1.0, SAMPLE_KEYS / max(rows, 1))
     sample = keys_only if fraction == 1.0 else keys_only.sample(fraction, seed=7)
-    picked = sample.orderBy(*keys).collect()
+    picked = sample.orderBy(*keys).limit(2 * SAMPLE_KEYS).collect()
     buckets = min(max(-(-rows // rows_per_bucket), MIN_BUCKETS), max_buckets)
     steps = [len(picked) * i // buckets for i in range(1, buckets)]
     return [picked[i] for i in dict.fromkeys(steps) if i < len(picked)]
@@ -104,18 +105,13 @@ def number_sorted(
     out: str,
     start: int = 1,
     total: str | None = None,
-    bounds: Sequence[Row] | None = None,
 ) -> DataFrame:
     """Number rows by ``keys``, whose combination is unique and not null.
 
-    ``bounds`` may come from a cheaper table with a similar spread of keys. Without them
-    ``df`` itself is sampled.
+    ``df`` is read several times; stage it first where it is costly.
     """
-    if bounds is None:
-        bounds = key_bounds(df, keys)
-    return number_in_buckets(
-        df, bucket_of(df, keys, bounds), list(keys), out, start=start, total=total
-    )
+    bucket = bucket_of(df, keys, key_bounds(df, keys))
+    return number_in_buckets(df, bucket, list(keys), out, start=start, total=total)
 
 
 def number_dense(

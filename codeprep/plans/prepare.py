@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeprep.config import PrepareSettings, dataset_version
 from codeprep.operators.audit import require_unique, stage_counts
-from codeprep.operators.fact import attach_text, fact_columns, fact_keys, number_fact
+from codeprep.operators.fact import attach_text, fact_columns, fact_keys, numbered_keys
 from codeprep.operators.notes import with_note_key
 from codeprep.operators.split import normalised_ratios, split_sequential, split_shuffled
 from codeprep.sources.facts import fact_path, read_fact, write_fact
@@ -33,13 +33,9 @@ def load_notes(
 def split_fact(
     tables: dict[str, DataFrame], notes: DataFrame, settings: PrepareSettings
 ) -> DataFrame:
-    """The fact table with its ``split`` column.
-
-    The rows without text are staged once: they are narrow, and they are read for the
-    bucket sizes, the numbers and the split. The text joins last, on the note key.
-    """
+    """The fact table with its ``split`` column; the text joins last, on the note key."""
     v = dataset_version(settings.version)
-    keys, narrow = fact_keys(
+    keys = fact_keys(
         notes,
         tables["DIAGNOSES_ICD"],
         tables["PROCEDURES_ICD"],
@@ -47,7 +43,7 @@ def split_fact(
         v,
         settings.num_patients,
     )
-    numbered = number_fact(staged(keys, "fact-keys"), narrow, v, total="n_rows")
+    numbered = numbered_keys(keys, v, total="n_rows")
     shares = normalised_ratios(settings.train, settings.val, settings.test)
     if settings.shuffled:
         labelled = split_shuffled(numbered, "row_id", *shares, seed=settings.seed)

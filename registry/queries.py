@@ -75,10 +75,8 @@ def whole_fact(t: ClinicalTables) -> DataFrame:
 
 def numbered_keys(t: ClinicalTables, total: str | None = "n_rows") -> DataFrame:
     """Fact rows without text, numbered."""
-    keys, narrow = fact.fact_keys(
-        t.notes, t.diagnoses, t.procedures, t.patients, t.version, None
-    )
-    return fact.number_fact(keys, narrow, t.version, total=total)
+    keys = fact.fact_keys(t.notes, t.diagnoses, t.procedures, t.patients, t.version)
+    return fact.numbered_keys(keys, t.version, total=total)
 
 
 def split_fact(t: ClinicalTables) -> DataFrame:

@@ -8,22 +8,37 @@ from pyspark.sql import functions as F
 from codeprep.config import INSTRUCTION
 
 # The 29 code points that Python's ``\s`` and ``str.strip`` treat as blank.
-# Java's ``\s`` and RE2's ``\s`` cover less, so they are spelled out for both engines.
-WHITESPACE = (
-    r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BLANKS = "".join(
+    map(
+        chr,
+        [
+            *range(0x09, 0x0E),
+            *range(0x1C, 0x21),
+            0x85,
+            0xA0,
+            0x1680,
+            *range(0x2000, 0x200B),
+            0x2028,
+            0x2029,
+            0x202F,
+            0x205F,
+            0x3000,
+        ],
+    )
 )
+# The same set for Java's regular expressions; spelling out the code points is far slower.
+BLANK_PATTERN = r"(?U)[\s\x1c-\x1f]"
 TOKEN_PATTERN = r"[A-Za-z0-9]+|[^A-Za-z0-9\s\x0b]"
 
 
 def strip(text: Column) -> Column:
     """Cut blanks of any kind at both ends (bare ``trim`` cuts spaces only)."""
-    return F.regexp_replace(text, F.lit(f"^{WHITESPACE}+|{WHITESPACE}+$"), F.lit(""))
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def clean_text(text: Column) -> Column:
     """Turn each run of blanks into one space and cut the ends."""
-    return F.trim(F.regexp_replace(text, F.lit(f"{WHITESPACE}+"), F.lit(" ")))
+    return F.trim(F.regexp_replace(text, F.lit(f"{BLANK_PATTERN}+"), F.lit(" ")))
 
 
 def prompt(text: Column, instruction: str = INSTRUCTION) -> Column:

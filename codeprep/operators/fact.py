@@ -9,7 +9,7 @@ from codeprep.config import DatasetVersion, dataset_version
 from codeprep.functions import codes as C
 from codeprep.operators.cohort import patient_cohort, restrict_to_cohort
 from codeprep.operators.grouping import ADMISSION, admission_codes
-from codeprep.operators.joins import skew_safe_join
+from codeprep.operators.joins import SALT, copied, dealt, hot_keys, skew_safe_join
 from codeprep.operators.notes import discharge_notes
 from codeprep.operators.numbering import number_sorted
 from codeprep.staging import staged
@@ -49,7 +49,10 @@ def fact_keys(
     """The fact table without row number and text.
 
     The note text takes no part in these joins. It is attached later by the unique note
-    key, so it is shuffled once and on a key that cannot be hot.
+    key, so it is shuffled once and on a key that cannot be hot. The salts of admissions
+    with very many notes are given to the codes before they are gathered, so the lists lie
+    ready for the join and are not shuffled again. The gender joins last: its shuffle
+    feeds the join directly, where adaptive execution splits a patient with many rows.
     """
     v = dataset_version(version)
     narrow = discharge_notes(notes, v).select(v.note_key, *ADMISSION, v.kind_col)
@@ -59,8 +62,14 @@ def fact_keys(
             restrict_to_cohort(df, cohort, num_patients)
             for df in (narrow, diagnoses, procedures)
         )
-    lists = with_gender(admission_codes(diagnoses, procedures, v), patients)
-    return skew_safe_join(narrow, lists, ADMISSION, "inner", [v.note_key])
+    narrow = narrow.dropna(subset=list(ADMISSION))
+    hot = hot_keys(narrow, ADMISSION)
+    on = [*ADMISSION, SALT]
+    lists = admission_codes(
+        copied(diagnoses, ADMISSION, hot), copied(procedures, ADMISSION, hot), v, on
+    )
+    joined = dealt(narrow, ADMISSION, hot, [v.note_key]).join(lists, on).drop(SALT)
+    return with_gender(joined, patients)
 
 
 def numbered_keys(

@@ -48,18 +48,22 @@ def group_codes(
 
 
 def admission_codes(
-    diagnoses: DataFrame, procedures: DataFrame, version: str | DatasetVersion
+    diagnoses: DataFrame,
+    procedures: DataFrame,
+    version: str | DatasetVersion,
+    keys: Sequence[str] = ADMISSION,
 ) -> DataFrame:
     """Both lists per admission in a single shuffle; admissions without a diagnosis drop out.
 
     The notes meet the diagnoses by an inner join and the procedures by a left join on
     the same key, so one aggregation over both tables and one join give the same rows.
+    ``keys`` may name further columns that both tables carry.
     """
     v = dataset_version(version)
 
     def tagged(df: DataFrame, diagnosis: bool) -> DataFrame:
         return df.filter(F.col(v.code_col).isNotNull()).select(
-            *ADMISSION,
+            *keys,
             "SEQ_NUM",
             F.col(v.code_col).alias("code"),
             F.lit(diagnosis).alias("diagnosis"),
@@ -68,11 +72,11 @@ def admission_codes(
     both = tagged(diagnoses, True).unionByName(tagged(procedures, False))
     entries = F.col("_entries")
     return (
-        both.repartition(*ADMISSION)
-        .groupBy(*ADMISSION)
+        both.repartition(*keys)
+        .groupBy(*keys)
         .agg(_entries(F.col("code"), F.col("diagnosis")).alias("_entries"))
         .select(
-            *ADMISSION,
+            *keys,
             _codes(F.filter(entries, lambda e: e["diagnosis"])).alias("diagnosis_codes"),
             _codes(F.filter(entries, lambda e: ~e["diagnosis"])).alias("procedure_codes"),
         )

@@ -8,10 +8,12 @@ buckets bounds its size.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 ROWS_PER_BUCKET = 1_000_000
 MIN_BUCKETS = 8
@@ -86,10 +88,10 @@ def bucket_of(df: DataFrame, keys: Sequence[str], bounds: Sequence[Row]) -> Colu
     if not bounds:
         return F.lit(0)
     types = {f.name: f.dataType for f in df.schema.fields}
-    key = F.struct(*[F.col(k).alias(k) for k in keys])
-    limits = F.array(
-        *[F.struct(*[F.lit(b[k]).cast(types[k]).alias(k) for k in keys]) for b in bounds]
-    )
+    kind = ArrayType(StructType([StructField(k, types[k]) for k in keys]))
+    text = json.dumps([b.asDict() for b in bounds], default=str)
+    limits = F.from_json(F.lit(text), kind)
+    key = F.struct(*keys)
     strides = [1 << i for i in reversed(range(len(bounds).bit_length()))]
 
     def advance(found: Column, stride: Column) -> Column:

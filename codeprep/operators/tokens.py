@@ -11,6 +11,7 @@ from codeprep.config import DEFAULT_MAX_LENGTH
 from codeprep.functions.text import clean_text, word_tokens
 from codeprep.operators.vocabulary import PAD_ID, UNKNOWN_ID, Vocabulary
 from codeprep.schemas import TOKENS
+from codeprep.staging import spread
 
 TOKEN_COLUMNS = ("input_ids", "attention_mask", "labels")
 
@@ -24,18 +25,21 @@ def token_ids(
 ) -> DataFrame:
     """Token ids per text in order, cut on the right at ``max_length``.
 
-    Rows are spread by their unique key while each is still one short array. The tokens
-    are then looked up and gathered again within the same partition, so the exploded
-    tokens themselves are never shuffled.
+    With a vocabulary that fits into the tasks, each row is handled by itself and nothing
+    is shuffled. A larger one is joined.
     """
     words = word_tokens(text)
     if max_length is not None:
         words = F.slice(words, 1, max_length)
-    spread = df.select(*keys, words.alias("_words")).repartition(*keys)
-    words_out = spread.select(*keys, F.posexplode_outer("_words").alias("_at", "token"))
-    found = words_out.join(
-        vocabulary.side().select("token", "token_id"), "token", "left"
-    )
+    if vocabulary.inline:
+        return df.select(*keys, vocabulary.ids_of(words).alias("ids"))
+    return _joined_ids(df.select(*keys, words.alias("_words")), keys, vocabulary)
+
+
+def _joined_ids(df: DataFrame, keys: Sequence[str], vocabulary: Vocabulary) -> DataFrame:
+    """Ids by a join; adaptive execution splits the partitions of very frequent tokens."""
+    words = df.select(*keys, F.posexplode_outer("_words").alias("_at", "token"))
+    found = words.join(vocabulary.table.select("token", "token_id"), "token", "left")
     entry = F.struct("_at", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))
     present = F.when(F.col("_at").isNotNull(), entry)
     return found.groupBy(*keys).agg(
@@ -54,15 +58,20 @@ def padded(df: DataFrame, keys: Sequence[str], max_length: int | None) -> DataFr
     return df.select(*keys, ids.alias("input_ids"), mask.alias("attention_mask"))
 
 
+def with_labels(df: DataFrame) -> DataFrame:
+    """Labels that copy the ids, padding included."""
+    return df.withColumn("labels", F.col("input_ids"))
+
+
 def causal_tokens(
     texts: DataFrame,
     keys: Sequence[str],
     vocabulary: Vocabulary,
     max_length: int = DEFAULT_MAX_LENGTH,
 ) -> DataFrame:
-    """Cut and padded ids, mask, and labels that copy the ids (padding included)."""
+    """Cut and padded ids, mask and labels."""
     ids = token_ids(texts, keys, F.col("text"), vocabulary, max_length)
-    return padded(ids, keys, max_length).withColumn("labels", F.col("input_ids"))
+    return with_labels(padded(ids, keys, max_length))
 
 
 def cleaned_tokens(
@@ -75,7 +84,7 @@ def cleaned_tokens(
 ) -> DataFrame:
     """Tokens of the cleaned text, optionally padded and cut."""
     cleaned = clean_text(F.col("text"))
-    ids = token_ids(texts, keys, cleaned, vocabulary, max_length if truncation else None)
+    ids = token_ids(spread(texts), keys, cleaned, vocabulary, max_length if truncation else None)
     return padded(ids, keys, max_length if padding else None)
 
 

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeprep.functions.text import word_tokens
+from codeprep.staging import spread
 
 # Ids of padding and of tokens outside the vocabulary.
 PAD_ID = 0
 UNKNOWN_ID = 1
 FIRST_ID = 2
 
-# A vocabulary of up to this many tokens is broadcast (some 20 bytes each).
-BROADCAST_TOKENS = 200_000
+# A vocabulary of up to this many tokens (some 30 bytes each) goes to every task whole.
+INLINE_TOKENS = 200_000
 
 
 @dataclass(frozen=True)
@@ -25,14 +28,52 @@ class Vocabulary:
     table: DataFrame
     size: int
 
-    def side(self) -> DataFrame:
-        """The table for a lookup join, broadcast only when its size allows."""
-        return F.broadcast(self.table) if self.size <= BROADCAST_TOKENS else self.table
+    @property
+    def inline(self) -> bool:
+        return self.size <= INLINE_TOKENS
+
+    @cached_property
+    def _buckets(self) -> tuple[str, int]:
+        """The vocabulary as JSON: a list of small maps, and how many there are."""
+        count = 1 << max(self.size - 1, 0).bit_length()
+        rows = (
+            self.table.select("token", "token_id", _bucket(F.col("token"), count).alias("at"))
+            .limit(self.size + 1)
+            .collect()
+        )
+        if len(rows) > self.size:
+            raise ValueError(f"the vocabulary has more than {self.size} tokens")
+        maps: list[dict[str, int]] = [{} for _ in range(count)]
+        for row in rows:
+            maps[row["at"]][row["token"]] = row["token_id"]
+        return json.dumps(maps), count
+
+    def ids_of(self, words: Column) -> Column:
+        """The id of each word in a list, without a join.
+
+        The vocabulary becomes a constant: a list of maps with about one token each,
+        reached by the token's hash. (A single map would be searched entry by entry.)
+        """
+        if not self.inline:
+            raise ValueError("this vocabulary is too large to travel with the tasks")
+        text, count = self._buckets
+        maps = F.from_json(F.lit(text), "array<map<string,int>>")
+        return F.transform(
+            words,
+            lambda w: F.coalesce(
+                F.try_element_at(F.get(maps, _bucket(w, count)), w), F.lit(UNKNOWN_ID)
+            ),
+        )
+
+
+def _bucket(token: Column, count: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(count)).cast("int")
 
 
 def token_counts(df: DataFrame, text: Column) -> DataFrame:
     """Occurrences per token; frequent tokens are summed before the shuffle."""
-    tokens = df.select(F.explode(word_tokens(text)).alias("token"))
+    texts = spread(df.select(text.alias("text")))
+    tokens = texts.select(F.explode(word_tokens(F.col("text"))).alias("token"))
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 

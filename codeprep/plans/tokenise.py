@@ -13,7 +13,7 @@ from codeprep.operators.examples import (
     training_examples,
 )
 from codeprep.operators.numbering import number_dense
-from codeprep.operators.tokens import causal_tokens
+from codeprep.operators.tokens import padded, token_ids, with_labels
 from codeprep.operators.vocabulary import Vocabulary, build_vocabulary
 from codeprep.sources.facts import read_fact
 from codeprep.sources.token_tables import token_path, write_tokens
@@ -42,14 +42,15 @@ def tokenise(
 ) -> Vocabulary:
     """Build the vocabulary from the training split and write the token tables.
 
-    Example ids are numbered on the two key columns alone and joined to the finished
-    arrays, so neither texts nor arrays are sorted for them.
+    Example ids are numbered on the two key columns alone and joined to the bare token ids,
+    so no text is shuffled.
     """
     texts = training_texts(read_fact(spark, out_dir, version), version)
     train = texts.filter(F.col("split") == "train")
     built = build_vocabulary(train, F.col("text"), vocabulary_size)
     vocabulary = Vocabulary(staged(built.table, "vocabulary"), built.size)
-    tokens = causal_tokens(texts, KEYS, vocabulary, max_length)
-    ids = with_example_ids(texts.select(*KEYS))
-    write_tokens(tokens.join(ids, list(KEYS)), token_path(out_dir, version))
+    ids = token_ids(texts, KEYS, F.col("text"), vocabulary, max_length)
+    numbered = ids.join(with_example_ids(texts.select(*KEYS)), list(KEYS))
+    tokens = with_labels(padded(numbered, [*KEYS, "id"], max_length))
+    write_tokens(tokens, token_path(out_dir, version))
     return vocabulary

@@ -41,3 +41,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Below this many bytes per core a table may lie in a single row group, that is one task.
+SMALL_BYTES_PER_CORE = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small table over all cores before costly work on each row.
+
+    Larger tables, by Spark's own size estimate, are read in many splits and left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df

@@ -32,7 +32,7 @@ from codeprep.plans import prepare as prepare_job
 from codeprep.plans import score as score_job
 from codeprep.plans import tokenise as tokenise_job
 from codeprep.sources import datasets, documents, facts, predictions, tables, token_tables
-from codeprep.staging import scratch_path
+from codeprep.staging import scratch_path, spread
 from codeprep.stand_ins import ClinicalTables, clinical_tables, dictionary, pages, table
 from registry.models import MODEL_VERSION, length_model, many_codes_model
 
@@ -367,9 +367,8 @@ def examples_required_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
-        "doc_id", X.clean_text(F.col("text")).alias("text")
-    )
+    texts = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return texts.select("doc_id", X.clean_text(F.col("text")).alias("text"))
 
 
 @query
@@ -433,7 +432,7 @@ def causal_tokens(spark: SparkSession, folder: str) -> DataFrame:
 def cleaned_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Whole cleaned documents, neither cut nor padded."""
     ids = tokens.cleaned_tokens(
-        table(spark, folder, "documents"),
+        table(spark, folder, "documents").select("doc_id", "text"),
         ["doc_id"],
         document_vocabulary(spark, folder),
         padding=False,
@@ -447,7 +446,9 @@ def cleaned_tokens(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def cleaned_tokens_padded(spark: SparkSession, folder: str) -> DataFrame:
     ids = tokens.cleaned_tokens(
-        table(spark, folder, "documents"), ["doc_id"], document_vocabulary(spark, folder)
+        table(spark, folder, "documents").select("doc_id", "text"),
+        ["doc_id"],
+        document_vocabulary(spark, folder),
     )
     return ids.select(
         "doc_id", spaced("input_ids").alias("input_ids"), spaced("attention_mask").alias("mask")

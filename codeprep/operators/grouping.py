@@ -75,10 +75,10 @@ def admission_codes(
         both.repartition(*keys)
         .groupBy(*keys)
         .agg(_entries(F.col("code"), F.col("diagnosis")).alias("_entries"))
+        .filter(F.exists(entries, lambda e: e["diagnosis"]))
         .select(
             *keys,
             _codes(F.filter(entries, lambda e: e["diagnosis"])).alias("diagnosis_codes"),
             _codes(F.filter(entries, lambda e: ~e["diagnosis"])).alias("procedure_codes"),
         )
-        .filter(F.size("diagnosis_codes") > 0)
     )

@@ -50,7 +50,9 @@ def read_documents(
     """Files under ``path`` with their text, one row each.
 
     ``extractor`` turns the bytes of one file into its page texts. A file stays in one row
-    from read to text, so nothing is shuffled. A file it cannot read gets an ``error``.
+    from read to text, so nothing is shuffled. A file it cannot read gets an ``error``;
+    Spark lists no files of zero bytes. For large files lower
+    ``spark.sql.execution.arrow.maxRecordsPerBatch``, which counts files per batch here.
     """
     require(spark, path)
     files = (

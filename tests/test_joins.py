@@ -1,0 +1,50 @@
+import pytest
+from pyspark.sql import functions as F
+
+from codeprep.operators import joins as J
+
+
+@pytest.fixture
+def sides(spark):
+    left = spark.range(1_000).select(
+        F.col("id").alias("u"),
+        F.when(F.col("id") % 3 == 0, 1)
+        .when(F.col("id") % 10 == 1, None)
+        .otherwise(F.col("id") % 40)
+        .cast("long")
+        .alias("k"),
+        (F.col("id") % 2).alias("h"),
+    )
+    right = spark.range(0, 40, 2).select(
+        F.col("id").alias("k"), F.lit(0).cast("long").alias("h"), (F.col("id") * 10).alias("v")
+    )
+    hot = right.sparkSession.createDataFrame([(1, 0, 11), (1, 1, 12)], "k long, h long, v long")
+    return left, right.filter("k <> 1").unionByName(hot)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("rows_per_task", [10, 1_000_000])
+def test_equals_the_plain_join(sides, rows, how, rows_per_task):
+    left, right = sides
+    mine = J.skew_safe_join(left, right, ["k", "h"], how, ["u"], rows_per_task)
+    plain = left.join(right, ["k", "h"], how)
+    assert rows(mine, "u", "k", "h", "v") == rows(plain, "u", "k", "h", "v")
+
+
+def test_hot_key_is_dealt_over_salts(sides):
+    left, _ = sides
+    hot = J.hot_keys(left, ["k"], rows_per_task=50)
+    salts = J.dealt(left, ["k"], hot, ["u"]).filter("k = 1").groupBy(J.SALT).count().collect()
+    assert len(salts) >= 5
+    assert max(r["count"] for r in salts) < 120
+
+
+def test_missing_keys_are_dealt_out(sides):
+    left, _ = sides
+    dealt = J.dealt(left, ["k"], J.hot_keys(left, ["k"]), ["u"])
+    assert dealt.filter("k is null").select(J.SALT).distinct().count() > 30
+
+
+def test_rejects_other_joins(sides):
+    with pytest.raises(ValueError):
+        J.skew_safe_join(*sides, ["k", "h"], "full", ["u"])

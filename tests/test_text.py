@@ -1,0 +1,48 @@
+import re
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from codeprep.functions import text as X
+
+ALPHABET = st.sampled_from(list("ab,.é😀​﻿") + list(X.BLANKS))
+
+
+def test_blanks_are_pythons():
+    assert X.BLANKS == "".join(chr(c) for c in range(0x3100) if chr(c).isspace())
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(texts=st.lists(st.text(ALPHABET, max_size=30), min_size=20, max_size=60))
+def test_clean_and_strip_equal_python(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = df.select("i", X.clean_text(F.col("t")).alias("c"), X.strip(F.col("t")).alias("s"))
+    for r in out.collect():
+        assert r["c"] == re.sub(r"\s+", " ", texts[r["i"]].strip())
+        assert r["s"] == texts[r["i"]].strip()
+
+
+def test_prompt_completion_and_echo(spark):
+    df = spark.createDataFrame([("note", ["A", "B"])], "t string, c array<string>")
+    r = df.select(
+        X.prompt(F.col("t")).alias("p"),
+        X.completion(F.col("c")).alias("c"),
+        X.prompt(F.col("t"), "Do:").alias("own"),
+        X.strip_prompt_echo(
+            F.concat(X.prompt(F.col("t")), F.lit("\n\t A, B \n")), X.prompt(F.col("t"))
+        ).alias("echo"),
+    ).collect()[0]
+    assert r["p"] == "Predict the medical codes for the following text:\n\nnote"
+    assert r["own"] == "Do:\n\nnote"
+    assert r["c"] == "A, B"
+    assert r["echo"] == "A, B"
+
+
+def test_words(spark):
+    df = spark.createDataFrame([("BP 120/80, é\x0bok.",), ("",), (" \n",)], "t string")
+    assert [r[0] for r in df.select(X.word_tokens(F.col("t"))).collect()] == [
+        ["BP", "120", "/", "80", ",", "é", "ok", "."],
+        [],
+        [],
+    ]

@@ -22,8 +22,8 @@ def with_note_key(
 ) -> DataFrame:
     """Keep the note key, or number the notes from 1 in the order of ``position``.
 
-    ``position`` must identify a row, such as the file and row index that
-    ``sources.tables.read_with_position`` adds.
+    ``position`` must identify a row. For a Parquet table read from files,
+    ``sources.tables.with_file_order_key`` numbers by file position without a shuffle.
     """
     v = dataset_version(version)
     if v.note_key in notes.columns:

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from codeprep.config import PrepareSettings, dataset_version
 from codeprep.operators.audit import require_unique, stage_counts
 from codeprep.operators.fact import attach_text, fact_columns, fact_keys, numbered_keys
-from codeprep.operators.notes import with_note_key
 from codeprep.operators.split import normalised_ratios, split_sequential, split_shuffled
 from codeprep.sources.facts import fact_path, read_fact, write_fact
 from codeprep.sources.paths import exists, under
-from codeprep.sources.tables import FILE, ROW, ingest, read_tables, read_with_position, table_path
-from codeprep.staging import staged
+from codeprep.sources.tables import (
+    ingest,
+    read_tables,
+    read_with_position,
+    table_path,
+    with_file_order_key,
+)
 
 
 def load_notes(
@@ -26,8 +30,7 @@ def load_notes(
         require_unique(notes, [v.note_key], "NOTEEVENTS")
         return notes
     placed = read_with_position(spark, table_path(out_dir, v, "NOTEEVENTS"))
-    keyed = with_note_key(placed.select(FILE, ROW), v, [FILE, ROW])
-    return placed.join(staged(keyed, "note-keys"), [FILE, ROW]).drop(FILE, ROW)
+    return with_file_order_key(placed, v.note_key)
 
 
 def split_fact(

@@ -12,6 +12,9 @@ from codeprep.functions import codes as C
 from codeprep.operators.descriptions import describe_codes
 from codeprep.operators.envelopes import error_envelope, response_envelope
 from codeprep.operators.scoring import ModelFn, batch_predict
+from codeprep.sources.paths import under
+from codeprep.sources.predictions import save_results
+from codeprep.staging import staged
 
 
 def predictions(
@@ -53,10 +56,34 @@ def responses(
 ) -> tuple[DataFrame, DataFrame]:
     """Response records of the documents that worked, error records of the others.
 
-    Both read ``scored``; stage it first, or the model runs for each of them.
+    Both read ``scored``; stage it first, as ``score_to_json`` does, or the model runs for
+    each of them.
     """
     worked = scored.filter(F.col("error").isNull())
     return (
         response_envelope(worked, keys, timestamp, *keys),
         error_envelope(scored, keys, timestamp, kind, *keys),
     )
+
+
+def score_to_json(
+    documents: DataFrame,
+    keys: Sequence[str],
+    model_fn: ModelFn,
+    model_version: str,
+    out_dir: str,
+    timestamp: str,
+    kind: str = "pdf",
+    **options,
+) -> DataFrame:
+    """Score once, then write response and error records as JSON under ``out_dir``.
+
+    Returns the scored rows. ``options`` go to ``score_documents``.
+    """
+    scored = staged(
+        score_documents(documents, keys, model_fn, model_version, **options), "scored"
+    )
+    worked, failed = responses(scored, keys, timestamp, kind)
+    save_results(worked, under(out_dir, "responses"))
+    save_results(failed, under(out_dir, "errors"))
+    return scored

@@ -75,9 +75,13 @@ def read_documents(
 def concat_pages(
     pages: DataFrame, keys: Sequence[str], page_no: str = "page_no", text: str = "text"
 ) -> DataFrame:
-    """One text and page count per document from a table with one row per page."""
+    """One text and page count per document from a table with one row per page.
+
+    The text of a document is one cell, so its pages meet in one row. They are shuffled as
+    they are; listing them on the map side first would only hold the texts in memory.
+    """
     page = F.struct(F.col(page_no).alias("no"), F.col(text).alias("text"))
     ordered = F.transform(F.array_sort(F.collect_list(page)), lambda p: p["text"])
-    return pages.groupBy(*keys).agg(
+    return pages.repartition(*keys).groupBy(*keys).agg(
         page_text(ordered).alias("content"), F.count(F.lit(1)).alias("page_count")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeprep.config import DatasetVersion, TableLayout, dataset_version
@@ -96,3 +96,22 @@ def read_with_position(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias(FILE),
         F.col("_metadata.row_index").alias(ROW),
     )
+
+
+def with_file_order_key(df: DataFrame, out: str) -> DataFrame:
+    """Number the rows of ``read_with_position`` from 1 in file order, without a shuffle.
+
+    A row's number is the row count of the files before its own plus its place in the
+    file. Only the file sizes are summed up; there is one per file of the scan, a list the
+    driver already holds, so they are broadcast.
+    """
+    sizes = df.groupBy(FILE).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy(FILE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        FILE, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")
+    )
+    return (
+        df.join(F.broadcast(offsets), FILE)
+        .withColumn(out, F.col("_before") + F.col(ROW) + 1)
+        .drop(FILE, ROW, "_before")
+    )

@@ -96,6 +96,15 @@ def test_documents_to_records(documents, tmp_path):
     assert sorted(json.loads(r[0])["id"] for r in lines) == [1, 2, 3, 4, 5]
 
 
+def test_score_to_json(documents, tmp_path):
+    spark, out = documents.sparkSession, str(tmp_path / "out")
+    scored = score.score_to_json(documents, ["id"], fake_model(), "v1.0", out, "now", max_codes=1)
+    assert scored.count() == 5
+    assert spark.read.json(f"{out}/responses").count() == 2
+    reasons = spark.read.json(f"{out}/errors").select("error.details.reason").collect()
+    assert sorted(r[0] for r in reasons)[-1] == "Test error" and len(reasons) == 3
+
+
 def test_text_errors(documents):
     failed = scoring.batch_predict(documents, fake_model(), "v1.0", "content")
     reply = envelopes.error_envelope(failed.filter("id = 2"), ["id"], "now").collect()[0]

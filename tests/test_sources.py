@@ -129,6 +129,17 @@ def test_splits_are_pruned(spark, tmp_path, plan):
     assert facts.read_fact(spark, str(tmp_path), "mimic-iii").count() == 30
 
 
+def test_file_order_key(spark, tmp_path, plan):
+    path = str(tmp_path / "t")
+    spark.range(1_000).repartition(7).write.parquet(path)
+    placed = tables.read_with_position(spark, path)
+    place = {r["id"]: (r["_file"], r["_row"]) for r in placed.collect()}
+    keyed = tables.with_file_order_key(placed, "NOTE_PK")
+    got = {r["id"]: r["NOTE_PK"] for r in keyed.collect()}
+    assert got == {i: n + 1 for n, i in enumerate(sorted(place, key=place.get))}
+    assert keyed.columns == ["id", "NOTE_PK"] and "SortMergeJoin" not in plan(keyed)
+
+
 def extractor():
     def pages(blob):
         if blob.startswith(b"bad"):

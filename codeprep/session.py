@@ -23,6 +23,6 @@ def recommended_settings(shuffled_bytes: int, cores: int) -> dict[str, str]:
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(BYTES_PER_TASK),
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
-        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
         "spark.sql.session.timeZone": "UTC",
     }

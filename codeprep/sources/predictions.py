@@ -7,10 +7,17 @@ import json
 from pyspark.sql import DataFrame
 
 
+# More rows than this belong in files, not on a console.
+MAX_PRINTED = 1_000
+
+
 def save_results(df: DataFrame, path: str | None = None) -> None:
-    """Write JSON lines under ``path``, or print them, one partition at a time."""
+    """Write JSON lines under ``path``, or print a short result."""
     if path is not None:
         df.write.mode("overwrite").json(path)
         return
-    for row in df.toJSON().toLocalIterator():
+    rows = df.toJSON().take(MAX_PRINTED + 1)
+    if len(rows) > MAX_PRINTED:
+        raise ValueError(f"more than {MAX_PRINTED} results; give a path")
+    for row in rows:
         print(json.dumps(json.loads(row), indent=2))

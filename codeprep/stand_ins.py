@@ -14,8 +14,19 @@ from pyspark.sql import functions as F
 from codeprep.config import MIMIC_III, DatasetVersion, dataset_version
 
 
+# Declared columns, so that opening a table needs no job to read its footer.
+COLUMNS = {
+    "documents": "doc_id bigint, text string, lang string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_linestatus string",
+    "customer": "c_custkey bigint",
+    "part": "p_partkey bigint, p_name string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def code_text(key: Column) -> Column:

@@ -114,6 +114,8 @@ def test_text_errors(documents):
 def test_results_are_printed(spark, capsys):
     save_results(spark.createDataFrame([(1, ["a"])], "id int, codes array<string>"))
     assert json.loads(capsys.readouterr().out) == {"id": 1, "codes": ["a"]}
+    with pytest.raises(ValueError, match="give a path"):
+        save_results(spark.range(1_001))
 
 
 def test_dictionary_table(spark):

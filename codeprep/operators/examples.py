@@ -9,7 +9,7 @@ from codeprep.config import DatasetVersion, dataset_version
 from codeprep.functions import codes as C
 from codeprep.functions import text as X
 from codeprep.operators.grouping import group_codes
-from codeprep.operators.joins import skew_safe_join
+from codeprep.operators.joins import SALT, copied, dealt, hot_keys
 
 
 def _metadata(v: DatasetVersion) -> Column:
@@ -63,10 +63,11 @@ def examples_by_admission(
     a note; it only serves to spread the notes of a very large admission over tasks.
     """
     v = dataset_version(version)
-    grouped = group_codes(codes, v, "codes", keys=["HADM_ID"])
-    matched = skew_safe_join(
-        notes.filter(F.col("HADM_ID") != 0), grouped, ["HADM_ID"], "inner", [row_key]
-    )
+    on = ["HADM_ID"]
+    admitted = notes.filter(F.col("HADM_ID") != 0)
+    hot = hot_keys(admitted, on)
+    grouped = group_codes(copied(codes, on, hot), v, "codes", keys=[*on, SALT])
+    matched = dealt(admitted, on, hot, [row_key]).join(grouped, [*on, SALT])
     return matched.select(
         *keep,
         F.coalesce(F.col("TEXT"), F.lit("")).alias("text"),

@@ -1,3 +1,5 @@
+import pytest
+
 from codeprep.config import MIMIC_III, MIMIC_IV
 from codeprep.operators import examples as E
 
@@ -38,7 +40,11 @@ def test_required_fields(spark):
     assert bare.count() == 2 and "metadata" in bare.columns
 
 
-def test_by_admission(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_by_admission(spark, monkeypatch, hot):
+    if hot:
+        real = E.hot_keys
+        monkeypatch.setattr(E, "hot_keys", lambda df, on: real(df, on, rows_per_task=1))
     notes = spark.createDataFrame(
         [
             (1, 5, 6, "Radiology", "a"),

@@ -18,8 +18,8 @@ def load_dataset(
     """A ``.csv`` or ``.json`` file (or folder of that name).
 
     JSON holds an array of records per file; with ``lines`` it holds one record per line,
-    which lets Spark split large files. Without a ``schema`` Spark reads the data once more to infer one; give it for large
-    files, and wherever codes have leading zeros.
+    which lets Spark split large files. Without a ``schema`` Spark reads the data once more
+    to infer one; give it for large files, and wherever codes have leading zeros.
     """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix not in ("csv", "json"):

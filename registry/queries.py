@@ -89,7 +89,8 @@ def split_fact(t: ClinicalTables) -> DataFrame:
 def flat_fact(df: DataFrame, *extra: str) -> DataFrame:
     lists = ("diagnosis_codes", "procedure_codes", "all_codes")
     columns = [c for c in df.columns if c not in lists and c not in extra]
-    return lower(df.select(*columns, *[F.size(c).cast("bigint").alias(f"n_{c}") for c in lists], *extra))
+    sizes = [F.size(c).cast("bigint").alias(f"n_{c}") for c in lists]
+    return lower(df.select(*columns, *sizes, *extra))
 
 
 def flat_examples(df: DataFrame, *keep: str) -> DataFrame:
@@ -111,7 +112,7 @@ def processed_fact_iv(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def processed_fact_cohort(spark: SparkSession, folder: str) -> DataFrame:
-    """The fact table of the first 100 patients, the reference's default."""
+    """The fact table of the first 100 patients, the default cohort."""
     t = clinical_tables(spark, folder)
     return flat_fact(
         fact.processed_fact(t.notes, t.diagnoses, t.procedures, t.patients, t.version, COHORT)
@@ -326,7 +327,7 @@ def prefixed_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def loose_examples(t: ClinicalTables) -> DataFrame:
-    """Every note with or without diagnoses; blank texts stand for Spanish ones."""
+    """Every note with or without diagnoses; some texts are blanked."""
     grouped = grouping.group_codes(t.diagnoses, t.version, "codes")
     v = t.version
     kept = t.notes.select(v.note_key, "SUBJECT_ID", "HADM_ID", v.kind_col, "TEXT")
@@ -588,11 +589,10 @@ def document_pages_concat(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def empty_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Only what the assistant says counts as text here, so some documents are empty."""
+    """Only long turns of the assistant count as text here, so some documents are empty."""
+    kept = (F.col("role") == "assistant") & (F.length("text") > 600)
     spoken = table(spark, folder, "conversations").select(
-        "conv_id",
-        F.col("turn").alias("page_no"),
-        F.when((F.col("role") == "assistant") & (F.length("text") > 600), F.col("text")).alias("text"),
+        "conv_id", F.col("turn").alias("page_no"), F.when(kept, F.col("text")).alias("text")
     )
     found = documents.concat_pages(spoken, ["conv_id"]).withColumn(
         "metadata",

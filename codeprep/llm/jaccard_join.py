@@ -7,10 +7,13 @@ the content of a whole fragment, not on single n-grams. Pairs that meet are then
 the order is cut into a few fragments, each counts its part of the overlap by itself, and
 the parts are summed per pair. That decides, by whole numbers.
 
-Groups of near copies are not expanded into pairs. In every list of documents that meet, all
-are compared with one of them; those found linked form a component, and only documents of
-different components that still meet are compared on. Each link between different texts is
-thus compared, or lies inside a component already.
+Groups of near copies are not expanded into pairs. Where few documents meet, all of them are
+compared. Where many do, each is compared with one of them, the hub. Two documents that are
+both linked with their hub need no comparison. Of the others, say x and y, the differences
+from the hub tell how far x and y are apart (their difference is the difference of these
+two), so x and y can only be linked if those share so many n-grams that the first few of
+each, in one order, have one in common. Such pairs are compared too. Every link between
+different texts is thus counted, or follows from others.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ GROWTH = 1.6  # sizes of one class of set sizes differ by this factor at most
 COUNTED_FRAGMENTS = 4
 FRAGMENT_BITS = 2
 PAIRS_PER_TASK = 500
-MIN_STARS, MAX_STARS = 2, 12
+FEW = 8  # documents that meet on a key and are all compared with each other
 
 
 def shingles(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
@@ -160,6 +163,16 @@ def meetings(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     return repeated(rows).select("key", F.col("a").alias("cls"), F.col("b").alias("n"))
 
 
+def different_lists(lists: DataFrame) -> DataFrame:
+    """One of the keys on which the same classes meet; near copies share very many."""
+    members = lists.groupBy("key").agg(
+        F.bit_xor(F.xxhash64("cls")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y"),
+    )
+    kept = members.groupBy("x", "y").agg(F.min("key").alias("key")).select("key")
+    return lists.join(kept, "key", "left_semi")
+
+
 def class_texts(docs: DataFrame, text: str, size: int, wanted: DataFrame) -> DataFrame:
     """(cls, body): the packed text of each wanted class once."""
 
@@ -184,33 +197,44 @@ def class_texts(docs: DataFrame, text: str, size: int, wanted: DataFrame) -> Dat
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(hub, cls, linked) for every pair (hub, cls), by partial overlaps per fragment.
+    """For every pair (hub, cls, star): both sizes, the n-grams shared, whether linked.
 
-    The pairs of a hub are dealt over as many tasks as their number asks for, and its
-    n-grams go to each; a task holds those of one hub and one fragment at a time.
+    Overlaps are counted per fragment and summed. With ``star`` the pair also gets
+    ``parts``: per fragment the n-grams that only cls and only the hub has. The pairs of a
+    hub are dealt over as many tasks as their number asks for, and its n-grams go to each;
+    a task holds those of one hub and one fragment at a time.
     """
     lots = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PAIRS_PER_TASK).alias("_lots"))
     salt = F.pmod(F.xxhash64("cls"), F.col("_lots")).alias("salt")
-    members = pairs.join(lots, "hub").select("hub", salt, F.lit(1).alias("rank"), "cls")
-    members = members.join(texts, "cls").select("hub", "salt", "rank", "cls", "body")
+    members = pairs.join(lots, "hub").select("hub", salt, F.lit(1).alias("rank"), "cls", "star")
+    members = members.join(texts, "cls").select("hub", "salt", "rank", "cls", "star", "body")
     hubs = lots.join(texts.withColumnRenamed("cls", "hub"), "hub").select(
         "hub",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lots") - 1)).alias("salt"),
         F.lit(0).alias("rank"),
         F.col("hub").alias("cls"),
+        F.lit(False).alias("star"),
         "body",
     )
+    names = ["hub", "salt", "rank", "cls", "star", "fragment", "n", "grams"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int64()]
+    kinds.append(pa.binary())
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             rows, held = [], 0
-            for hub, salt_, rank, cls, body in zip(*(c.to_pylist() for c in batch.columns)):
+            for hub, salt_, rank, cls, star, body in zip(*(c.to_pylist() for c in batch.columns)):
                 grams = shingles(unpacked(body), size, hashes)
                 parts = grams >> np.uint64(64 - FRAGMENT_BITS)
                 bounds = np.searchsorted(parts, np.arange(COUNTED_FRAGMENTS + 1))
                 for f, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-                    rows.append((hub, salt_, rank, cls, f, len(grams), grams[a:b].tobytes()))
+                    data = grams[a:b].tobytes()
+                    rows.append((hub, salt_, rank, cls, star, f, len(grams), data))
                 held += 8 * len(grams)
                 if held > 8_000_000:
                     yield batch_of(rows)
@@ -218,44 +242,93 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             if rows:
                 yield batch_of(rows)
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-        names = ["hub", "salt", "rank", "cls", "fragment", "n", "grams"]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names
-        )
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = ["hub", "cls", "n_hub", "n", "shared"]
         hub_grams, hub_n = np.empty(0, np.uint64), 0
         for batch in batches:
-            rows = []
-            for hub, rank, cls, n, grams in zip(
-                *(batch.column(c).to_pylist() for c in ("hub", "rank", "cls", "n", "grams"))
-            ):
+            rows, parts = [], []
+            columns = (batch.column(c).to_pylist() for c in ("hub", "rank", "cls", "star", "n", "grams"))
+            for hub, rank, cls, star, n, grams in zip(*columns):
                 some = np.frombuffer(grams, np.uint64)
                 if rank == 0:
                     hub_grams, hub_n = some, n
                     continue
                 at = np.searchsorted(hub_grams, some)
-                inside = at < len(hub_grams)
-                shared = int((hub_grams[at[inside]] == some[inside]).sum())
-                rows.append((hub, cls, hub_n, n, shared))
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], ["hub", "cls", "n_hub", "n", "shared"]
-            )
+                both = at < len(hub_grams)
+                both[both] = hub_grams[at[both]] == some[both]
+                rows.append((hub, cls, hub_n, n, int(both.sum())))
+                gone = np.ones(len(hub_grams), bool)
+                gone[at[both]] = False
+                parts.append(
+                    {"added": some[~both].tobytes(), "gone": hub_grams[gone].tobytes()}
+                    if star
+                    else None
+                )
+            columns = [pa.array(c, pa.int64()) for c in list(zip(*rows)) or [()] * 5]
+            kind = pa.struct([("added", pa.binary()), ("gone", pa.binary())])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, kind)], [*out, "part"])
 
-    kind = "hub bigint, salt bigint, rank int, cls bigint, fragment int, n bigint, grams binary"
+    kind = "hub bigint, salt bigint, rank int, cls bigint, star boolean, fragment int, n bigint, grams binary"
     parts = members.unionByName(hubs).mapInArrow(cut, kind)
     dealt = parts.repartition("hub", "salt", "fragment")
     dealt = dealt.sortWithinPartitions("hub", "salt", "fragment", "rank")
-    kind = "hub bigint, cls bigint, n_hub bigint, n bigint, shared bigint"
+    kind = (
+        "hub bigint, cls bigint, n_hub bigint, n bigint, shared bigint, "
+        "part struct<added:binary,gone:binary>"
+    )
     partial = dealt.mapInArrow(count, kind)
     sums = partial.groupBy("hub", "cls").agg(
-        F.sum("shared").alias("s"), F.max("n_hub").alias("h"), F.max("n").alias("n")
+        F.sum("shared").alias("shared"),
+        F.max("n_hub").alias("n_hub"),
+        F.max("n").alias("n"),
+        F.collect_list("part").alias("parts"),
     )
-    linked = 100 * F.col("s") >= percent * (F.col("h") + F.col("n") - F.col("s"))
-    return sums.select("hub", "cls", linked.alias("linked"))
+    union = F.col("n_hub") + F.col("n") - F.col("shared")
+    return sums.withColumn("linked", 100 * F.col("shared") >= percent * union)
+
+
+def first_differences(stars: DataFrame, percent: int) -> DataFrame:
+    """(hub, gram, at, cls, n, d, linked): the first n-grams in which each document differs.
+
+    ``d`` is how many there are in all, ``at`` the place of this one, from 0. In each hub's order come the n-grams that the hub
+    has not, then those that only it has, both by hash. With t percent, two documents x and
+    y of a hub that are linked differ in at most K = (100 - t) * (n_x + n_y) / (100 + t)
+    n-grams, so their differences from the hub share s >= (d_x + d_y - K) / 2. If x is not
+    linked with the hub, d_x is over the same bound for x and the hub, and from that follows
+    s > d_y * t / (100 + t). Also d_y >= d_x - K, so s >= d_x - K, and K is at most
+    (100 - t) * n_x / t. A document takes as many n-grams as leave fewer than that s out.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, repeat = [], []
+            for parts, n, linked in zip(
+                *(batch.column(c).to_pylist() for c in ("parts", "n", "linked"))
+            ):
+                added = np.sort(np.frombuffer(b"".join(p["added"] for p in parts), np.uint64))
+                gone = np.sort(np.frombuffer(b"".join(p["gone"] for p in parts), np.uint64))
+                grams = np.r_[added, gone]
+                d = len(grams)
+                if linked:
+                    least = d * percent // (100 + percent) + 1
+                else:
+                    least = max(1, d - (100 - percent) * n // percent)
+                found.append(grams[: max(d - least + 1, 0)].view(np.int64))
+                repeat.append(d)
+            taken = np.array([len(f) for f in found], np.int64)
+            rows = np.repeat(np.arange(len(found)), taken)
+            base = {c: batch.column(c).take(pa.array(rows)) for c in ("hub", "cls", "n", "linked")}
+            grams = np.concatenate(found) if found else np.empty(0, np.int64)
+            d = np.repeat(np.array(repeat, np.int64), taken)
+            at = np.arange(len(rows)) - np.repeat(np.cumsum(taken) - taken, taken)
+            yield pa.RecordBatch.from_arrays(
+                [base["hub"], pa.array(grams), pa.array(at), base["cls"], base["n"], pa.array(d),
+                 base["linked"]],
+                ["hub", "gram", "at", "cls", "n", "d", "linked"],
+            )
+
+    kind = "hub bigint, gram bigint, at bigint, cls bigint, n bigint, d bigint, linked boolean"
+    return stars.select("hub", "cls", "n", "linked", "parts").mapInArrow(scan, kind)
 
 
 def compatible(a: Column, b: Column, percent: int) -> Column:
@@ -263,64 +336,92 @@ def compatible(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` (node, component) after further links; only components are linked anew."""
+    u = groups.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+    v = groups.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+    known = links.join(u, "u", "left").join(v, "v", "left")
+    over = known.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    over = components(stage(over.distinct(), "over"))
+    over = over.withColumnRenamed("component", "_to").withColumnRenamed("node", "_from")
+    moved = groups.join(over, F.col("component") == F.col("_from"), "left")
+    moved = moved.select("node", F.coalesce("_to", "component").alias("component"))
+    alone = over.join(groups, F.col("_from") == F.col("node"), "left_anti")
+    return stage(
+        moved.union(alone.select(F.col("_from").alias("node"), F.col("_to"))), "groups"
+    )
+
+
+def first_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(hub, cls, star): all pairs of short lists, and of long ones each member with the hub.
+
+    The hub of a long list is the member that meets the most others: of many near copies
+    that is the one they are copies of, or one close to it.
+    """
+    sizes = lists.groupBy("key").agg(F.count("*").alias("size"))
+    sized = stage(lists.join(sizes, "key"), "sized")
+    short = sized.filter(F.col("size") <= FEW)
+    other = short.select("key", F.col("cls").alias("hub"), F.col("n").alias("hub_n"))
+    close = short.join(other, "key").filter("hub < cls")
+    close = close.filter(compatible(F.col("n"), F.col("hub_n"), percent))
+    long = sized.filter(F.col("size") > FEW)
+    degrees = long.groupBy("cls").agg(F.sum("size").alias("degree"))
+    known = long.join(degrees, "cls").groupBy("key")
+    hubs = known.agg(F.max(F.struct("degree", "cls"))["cls"].alias("hub"))
+    stars = long.join(hubs, "key").filter("hub <> cls").select("hub", "cls", F.lit(True).alias("star"))
+    every = close.select("hub", "cls", F.lit(False).alias("star")).union(stars)
+    return every.groupBy("hub", "cls").agg(F.max("star").alias("star"))
+
+
+def further_pairs(
+    checked: DataFrame, groups: DataFrame, percent: int
+) -> DataFrame:
+    """(hub, cls, star): pairs of different components that may be linked past their hub."""
+    stars = checked.filter(F.size("parts") > 0)
+    open_ = stars.filter(~F.col("linked")).select("hub").distinct()
+    rows = first_differences(stars.join(open_, "hub", "left_semi"), percent)
+    rows = rows.join(groups.withColumnRenamed("node", "cls"), "cls", "left")
+    rows = rows.withColumn("comp", F.coalesce("component", "cls")).drop("component")
+    rows = stage(rows, "differences")
+    apart = rows.filter(~F.col("linked")).select(
+        "hub", "gram", *[F.col(c).alias(f"x_{c}") for c in ("at", "cls", "n", "d", "comp")]
+    )
+    # No more than what lies behind the first n-gram in common can be shared.
+    furthest = (100 - percent) * (F.col("n") + F.col("x_n"))
+    behind = F.least(F.col("d") - F.col("at"), F.col("x_d") - F.col("x_at"))
+    enough = (F.col("d") + F.col("x_d") - 2 * behind) * (100 + percent) <= furthest
+    found = apart.join(
+        rows.withColumnsRenamed({"hub": "y_hub", "gram": "y_gram"}),
+        (F.col("hub") == F.col("y_hub"))
+        & (F.col("gram") == F.col("y_gram"))
+        & (F.col("comp") != F.col("x_comp"))
+        & (F.col("linked") | (F.col("cls") < F.col("x_cls")))
+        & (F.abs(F.col("d") - F.col("x_d")) * (100 + percent) <= furthest)
+        & enough
+        & compatible(F.col("n"), F.col("x_n"), percent),
+    )
+    pairs = found.select(
+        F.least("cls", "x_cls").alias("hub"), F.greatest("cls", "x_cls").alias("cls")
+    ).distinct()
+    before = checked.select(F.least("hub", "cls").alias("hub"), F.greatest("hub", "cls").alias("cls"))
+    return pairs.join(before, ["hub", "cls"], "left_anti").withColumn("star", F.lit(False))
+
+
 def class_components(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     """(node, component) of the set classes that are linked with another."""
     lists = stage(meetings(docs, text, size, percent), "meetings")
+    lists = stage(different_lists(lists), "lists")
     texts = stage(class_texts(docs, text, size, lists.select("cls").distinct()), "class-texts")
-    groups: DataFrame | None = None
-    checked: DataFrame | None = None
-    star = 0
-    while True:
-        tagged = lists.withColumn("comp", F.col("cls"))
-        if groups is not None:
-            tagged = lists.join(groups.withColumnRenamed("node", "cls"), "cls", "left")
-            tagged = tagged.withColumn("comp", F.coalesce("component", "cls")).drop("component")
-        # Only lists with documents of two components or more are open.
-        turn = F.struct(F.xxhash64(F.lit(star), "cls"), "cls", "n", "comp")
-        hubs = (
-            tagged.groupBy("key")
-            .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(turn).alias("h"))
-            .filter("lo < hi")
-        )
-        open_ = stage(
-            tagged.join(hubs.select("key", "h"), "key").select(
-                "key", "cls", "n", "comp", F.col("h.cls").alias("hub"),
-                F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp"),
-            ),
-            "open",
-        )
-        per = open_.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        per = per.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        left, rows = per.agg(
-            F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")
-        ).first()
-        if not left:
-            break
-        last = star >= MAX_STARS or (star >= MIN_STARS and left <= 2 * rows)
-        if last:
-            other = open_.select("key", F.col("cls").alias("hub"), F.col("n").alias("hub_n"),
-                                 F.col("comp").alias("hub_comp"))
-            found = open_.select("key", "cls", "n", "comp").join(other, "key")
-            found = found.filter("hub_comp < comp")
-        else:
-            found = open_.filter("hub_comp <> comp")
-        found = found.filter(compatible(F.col("n"), F.col("hub_n"), percent))
-        pairs = found.select("hub", "cls").distinct()
-        if checked is not None:
-            both = checked.select("hub", "cls").union(
-                checked.select(F.col("cls").alias("hub"), F.col("hub").alias("cls"))
-            )
-            pairs = pairs.join(both, ["hub", "cls"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        now = stage(verified(pairs, texts, size, percent), "verified")
-        checked = now if checked is None else checked.unionByName(now)
-        groups = components(checked.filter("linked").select(F.col("hub").alias("u"), F.col("cls").alias("v")))
-        star += 1
-        if last:
-            break
-    if groups is None:
-        return lists.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0)
-    return groups
+
+    def links(rows: DataFrame) -> DataFrame:
+        return rows.filter("linked").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
+
+    pairs = stage(first_pairs(lists, percent), "pairs")
+    checked = stage(verified(pairs, texts, size, percent), "verified")
+    groups = components(links(checked))
+    pairs = stage(further_pairs(checked, groups, percent), "further-pairs")
+    checked = stage(verified(pairs, texts, size, percent), "verified")
+    return merged(groups, links(checked))
 
 
 def jaccard_groups(

@@ -25,8 +25,9 @@ BANDS = (
     (1_024, 1.3, 2.15),
     (2_048, 1.5, 2.3),
     (4_096, 1.6, 2.35),
-    (16_384, 1.75, 2.55),
-    (None, 1.9, 2.75),
+    (16_384, 1.75, 2.6),
+    (65_536, 1.85, 2.9),
+    (None, 1.9, 3.3),
 )
 CHUNK = 4_096
 CHUNK_BAND = (1.4, 3.0)

@@ -4,7 +4,7 @@ import pytest
 
 # Names that the operators use for columns of their own.
 CLASHES = ("_id", "_text", "n", "cls", "key", "a", "b", "tokens", "row", "total", "_s", "slot")
-WORDS = "the of sun moon river stone bird tree house light road sea wind fire snow leaf".split()
+SYLLABLES = "the of an er in on ti ha sh ou re ed nt ble ly ea st wh th or ma lu ke vi po du".split()
 
 
 def prose(seed: int, n: int) -> str:
@@ -12,7 +12,7 @@ def prose(seed: int, n: int) -> str:
     draw = random.Random(seed)
     out = []
     for i in range(n):
-        word = draw.choice(WORDS) + str(draw.randrange(200))
+        word = "".join(draw.choices(SYLLABLES, k=draw.choice([1, 2, 2, 3, 4])))
         out.append(word + (".\n" if i % 13 == 12 else "," if i % 7 == 6 else ""))
     return " ".join(out)
 

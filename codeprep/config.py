@@ -82,13 +82,6 @@ DEFAULT_BATCH_SIZE = 4
 INSTRUCTION = "Predict the medical codes for the following text:"
 NO_DESCRIPTION = "Description not available"
 EMPTY_DOCUMENT = "No text could be extracted from the PDF"
-CODE_DESCRIPTIONS = {
-    "ICD-10:E11.9": "Type 2 diabetes mellitus without complications",
-    "ICD-10:I10": "Essential (primary) hypertension",
-    "ICD-10:E78.5": "Hyperlipidemia, unspecified",
-    "ICD-10:J44.9": "Chronic obstructive pulmonary disease, unspecified",
-    "ICD-10:F41.9": "Anxiety disorder, unspecified",
-}
 
 
 def dataset_version(name: str | DatasetVersion) -> DatasetVersion:
@@ -99,7 +92,7 @@ def dataset_version(name: str | DatasetVersion) -> DatasetVersion:
         return VERSIONS[name.lower()]
     except KeyError:
         raise ValueError(
-            f"Unsupported dataset version: {name}. Use one of {sorted(VERSIONS)}."
+            f"no dataset version is called {name}; there are {', '.join(sorted(VERSIONS))}"
         ) from None
 
 
@@ -107,7 +100,7 @@ def split_name(name: str) -> str:
     """Stored label of a split; ``validation`` is accepted for ``val``."""
     label = {"train": "train", "val": "val", "validation": "val", "test": "test"}.get(name.lower())
     if label is None:
-        raise ValueError(f"Unsupported split: {name}. Use 'train', 'val' or 'test'.")
+        raise ValueError(f"no split is called {name}; there are train, val and test")
     return label
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codeprep.config import DEFAULT_MAX_CODES, NO_DESCRIPTION
+from codeprep.functions.lookup import constant_lookup
 from codeprep.functions.text import strip
 from codeprep.schemas import CODES
 
@@ -55,20 +56,11 @@ def cap_codes(codes: Column, max_codes: int = DEFAULT_MAX_CODES) -> Column:
     return F.slice(codes, 1, max_codes)
 
 
-# A map literal is searched entry by entry, so it is only used for short dictionaries.
-MAX_INLINE_DESCRIPTIONS = 1_000
-
-
 def described(codes: Column, descriptions: dict[str, str]) -> Column:
-    """``{code, description}`` per entry from a short configured dictionary."""
-    if len(descriptions) > MAX_INLINE_DESCRIPTIONS:
-        raise ValueError("use operators.descriptions.describe_codes for a long dictionary")
-    if not descriptions:
-        lookup = lambda c: F.lit(NO_DESCRIPTION)
-    else:
-        pairs = F.create_map(*[F.lit(x) for kv in descriptions.items() for x in kv])
-        lookup = lambda c: F.coalesce(F.try_element_at(pairs, c), F.lit(NO_DESCRIPTION))
-    return F.transform(codes, lambda c: F.struct(c.alias("code"), lookup(c).alias("description")))
+    """``{code, description}`` per entry from a configured dictionary, without a join."""
+    find = constant_lookup(descriptions, "string")
+    told = lambda c: F.coalesce(find(c), F.lit(NO_DESCRIPTION))
+    return F.transform(codes, lambda c: F.struct(c.alias("code"), told(c).alias("description")))
 
 
 def undescribed(codes: Column) -> Column:

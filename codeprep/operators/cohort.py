@@ -7,34 +7,25 @@ from pyspark.sql import functions as F
 
 from codeprep.operators.numbering import number_sorted
 
-# Up to this many patient ids (8 bytes each) are sorted in one task and broadcast.
-SMALL_COHORT = 1_000_000
-
 
 def patient_cohort(notes: DataFrame, num_patients: int | None) -> DataFrame:
     """The ``num_patients`` lowest distinct patient ids among ``notes``; all when None.
 
     A missing id sorts last, so it is taken only when there are fewer patients than asked.
+    Ids are numbered without meeting in one task, for a cohort of any size.
     """
     patients = notes.select("SUBJECT_ID").distinct()
     if num_patients is None:
         return patients
-    if num_patients <= SMALL_COHORT:
-        return patients.orderBy(F.asc_nulls_last("SUBJECT_ID")).limit(num_patients)
-    known = patients.filter(F.col("SUBJECT_ID").isNotNull())
-    return number_sorted(known, ["SUBJECT_ID"], "_nth").filter(
-        F.col("_nth") <= num_patients
-    ).drop("_nth")
+    ordered = patients.withColumn("_missing", F.col("SUBJECT_ID").isNull())
+    numbered = number_sorted(ordered, ["_missing", "SUBJECT_ID"], "_nth")
+    return numbered.filter(F.col("_nth") <= num_patients).select("SUBJECT_ID")
 
 
-def restrict_to_cohort(
-    df: DataFrame, cohort: DataFrame, num_patients: int | None
-) -> DataFrame:
+def restrict_to_cohort(df: DataFrame, cohort: DataFrame) -> DataFrame:
     """Rows of the cohort's patients.
 
-    The cohort is broadcast only when ``num_patients`` proves it small. A larger one is
-    joined by a plain shuffle, where adaptive execution splits a patient with many rows.
+    There is no hint: Spark sends a small cohort along, and for a larger one joins by a
+    shuffle, where adaptive execution splits a patient with many rows.
     """
-    if num_patients is not None and num_patients <= SMALL_COHORT:
-        cohort = F.broadcast(cohort)
     return df.join(cohort, "SUBJECT_ID", "left_semi")

@@ -39,9 +39,14 @@ def example_records(fact: DataFrame, version: str | DatasetVersion, *keep: str)
     )
 
 
+def usable() -> Column:
+    """Whether an example has a text and at least one code."""
+    return (F.length("text") > 0) & (F.size("codes") > 0)
+
+
 def training_examples(examples: DataFrame) -> DataFrame:
     """Examples with a text and at least one code."""
-    return examples.filter((F.length("text") > 0) & (F.size("codes") > 0))
+    return examples.filter(usable())
 
 
 def examples_with_required_fields(examples: DataFrame) -> DataFrame:
@@ -55,20 +60,29 @@ def examples_with_required_fields(examples: DataFrame) -> DataFrame:
 
 
 def examples_by_admission(
-    notes: DataFrame, codes: DataFrame, version: str | DatasetVersion, row_key: str, *keep: str
+    notes: DataFrame,
+    codes: DataFrame,
+    version: str | DatasetVersion,
+    row_key: str,
+    *keep: str,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Notes of every kind with the codes of their admission, matched on the admission alone.
 
     Notes without an admission, or with admission 0, are left out. ``row_key`` identifies
-    a note; it only serves to spread the notes of a very large admission over tasks.
+    a note: the text takes no part in the match and joins by that key. ``hot`` is the table
+    of ``joins.hot_keys`` of the notes by admission, where it is known already.
     """
     v = dataset_version(version)
     on = ["HADM_ID"]
     admitted = notes.filter(F.col("HADM_ID") != 0)
-    hot = hot_keys(admitted, on)
+    narrow = admitted.select(*{row_key: 0, "HADM_ID": 0, "SUBJECT_ID": 0, v.kind_col: 0})
+    if hot is None:
+        hot = hot_keys(narrow, on)
     grouped = group_codes(copied(codes, on, hot), v, "codes", keys=[*on, SALT])
-    matched = dealt(admitted, on, hot, [row_key]).join(grouped, [*on, SALT])
-    return matched.select(
+    matched = dealt(narrow, on, hot, [row_key]).join(grouped, [*on, SALT])
+    texts = admitted.select(row_key, "TEXT").repartition(row_key)
+    return matched.join(texts, row_key).select(
         *keep,
         F.coalesce(F.col("TEXT"), F.lit("")).alias("text"),
         C.with_system(F.col("codes"), v.code_system).alias("codes"),

@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from codeprep.config import DatasetVersion, dataset_version
 from codeprep.functions import codes as C
-from codeprep.operators.cohort import patient_cohort, restrict_to_cohort
 from codeprep.operators.grouping import ADMISSION, admission_codes
-from codeprep.operators.joins import SALT, copied, dealt, hot_keys, skew_safe_join
+from codeprep.operators.joins import SALT, copied, dealt, skew_safe_join
 from codeprep.operators.notes import discharge_notes
-from codeprep.operators.numbering import number_sorted
-from codeprep.staging import staged
 
 
 def notes_with_diagnoses(
@@ -39,31 +36,21 @@ def with_gender(df: DataFrame, patients: DataFrame) -> DataFrame:
 
 
 def fact_keys(
-    notes: DataFrame,
+    narrow: DataFrame,
     diagnoses: DataFrame,
     procedures: DataFrame,
     patients: DataFrame,
+    hot: DataFrame,
     version: str | DatasetVersion,
-    num_patients: int | None = None,
 ) -> DataFrame:
-    """The fact table without row number and text.
+    """The fact table without row number and text, from ``narrow_notes``.
 
-    The note text takes no part in these joins. It is attached later by the unique note
-    key, so it is shuffled once and on a key that cannot be hot. The salts of admissions
-    with very many notes are given to the codes before they are gathered, so the lists lie
-    ready for the join and are not shuffled again. The gender joins last: its shuffle
-    feeds the join directly, where adaptive execution splits a patient with many rows.
+    The salts of admissions with very many notes (``hot``, see ``joins.hot_keys``) are
+    given to the codes before they are gathered, so the lists lie ready for the join and
+    are not shuffled again. The gender joins last: its shuffle feeds the join directly,
+    where adaptive execution splits a patient with many rows.
     """
     v = dataset_version(version)
-    narrow = discharge_notes(notes, v).select(v.note_key, *ADMISSION, v.kind_col)
-    if num_patients is not None:
-        cohort = patient_cohort(narrow, num_patients)
-        narrow, diagnoses, procedures = (
-            restrict_to_cohort(df, cohort, num_patients)
-            for df in (narrow, diagnoses, procedures)
-        )
-    narrow = narrow.dropna(subset=list(ADMISSION))
-    hot = hot_keys(narrow, ADMISSION)
     on = [*ADMISSION, SALT]
     lists = admission_codes(
         copied(diagnoses, ADMISSION, hot), copied(procedures, ADMISSION, hot), v, on
@@ -72,16 +59,10 @@ def fact_keys(
     return with_gender(joined, patients)
 
 
-def numbered_keys(
-    keys: DataFrame, version: str | DatasetVersion, total: str | None = None
-) -> DataFrame:
-    """Row numbers from 1 by patient, admission and note key.
-
-    The rows are staged first: they are narrow, and they are read for the bucket bounds,
-    the bucket sizes and the numbers, which would otherwise repeat the joins.
-    """
-    order = [*ADMISSION, dataset_version(version).note_key]
-    return number_sorted(staged(keys, "fact-keys"), order, "row_id", total=total)
+def narrow_notes(notes: DataFrame, version: str | DatasetVersion) -> DataFrame:
+    """Key columns of the discharge notes; the text takes no part in joins and sorts."""
+    v = dataset_version(version)
+    return discharge_notes(notes, v).select(v.note_key, *ADMISSION, v.kind_col)
 
 
 def fact_columns(df: DataFrame, version: str | DatasetVersion, *extra: str) -> DataFrame:
@@ -105,21 +86,17 @@ def fact_columns(df: DataFrame, version: str | DatasetVersion, *extra: str) -> D
     )
 
 
-def attach_text(keys: DataFrame, notes: DataFrame, version: str | DatasetVersion) -> DataFrame:
-    """Bring the note text in by the note key."""
-    v = dataset_version(version)
-    return keys.join(discharge_notes(notes, v).select(v.note_key, "TEXT"), v.note_key)
-
-
-def processed_fact(
-    notes: DataFrame,
-    diagnoses: DataFrame,
-    procedures: DataFrame,
-    patients: DataFrame,
-    version: str | DatasetVersion,
-    num_patients: int | None = None,
+def attach_text(
+    keys: DataFrame, notes: DataFrame, version: str | DatasetVersion, whole: bool = True
 ) -> DataFrame:
-    """The whole fact table: one row per discharge note of an admission with diagnoses."""
-    keys = fact_keys(notes, diagnoses, procedures, patients, version, num_patients)
-    numbered = numbered_keys(keys, version)
-    return fact_columns(attach_text(numbered, notes, version), version)
+    """Bring the note text in by the unique note key, which cannot be hot.
+
+    With ``whole`` the texts are dealt out by their key even where the keys would be small
+    enough to be sent along, so that the work that follows on them has many tasks. A cohort
+    needs few of the texts; they then stay where they are. A missing key is a key.
+    """
+    v = dataset_version(version)
+    texts = discharge_notes(notes, v).select(F.col(v.note_key).alias("_key"), "TEXT")
+    if whole:
+        texts = texts.repartition("_key")
+    return keys.join(texts, F.col(v.note_key).eqNullSafe(F.col("_key"))).drop("_key")

@@ -5,6 +5,7 @@ Here the right side is mostly the output of an aggregation on the same keys, so
 is made explicit. A key with more than ``rows_per_task`` left rows gets a number of salts:
 its left rows are dealt out over them, and its right rows are repeated once per salt. All
 other keys keep the single salt 0. Salts change where rows meet, never which rows meet.
+Left rows should be narrow (keys and a few values): a text joins later, by a unique key.
 """
 
 from __future__ import annotations
@@ -17,22 +18,20 @@ from pyspark.sql import functions as F
 
 SALT = "_salt"
 ROWS_PER_TASK = 2_000_000
-MAX_HOT_KEYS = 10_000
 MISSING_KEY_SALTS = 4_096
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Keys with too many rows for one task, and over how many salts to spread them.
 
-    Counts are combined on the map side. At most ``MAX_HOT_KEYS`` rows result, which makes
-    them safe to broadcast; a key beyond that is simply not split.
+    Counts are combined on the map side. There is at most one such key per
+    ``rows_per_task`` rows (50,000 for 100 billion), so the table is sent along. Stage it
+    where several steps use it: otherwise each counts again.
     """
     return (
         df.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > rows_per_task)
-        .orderBy(F.desc("_n"), *on)
-        .limit(MAX_HOT_KEYS)
         .select(*on, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_salts"))
     )
 
@@ -72,13 +71,18 @@ def skew_safe_join(
     how: str,
     spread_by: Sequence[str],
     rows_per_task: int = ROWS_PER_TASK,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Inner or left join of ``left`` to ``right`` with the hot keys of ``left`` spread out."""
+    """Inner or left join of ``left`` to ``right`` with the hot keys of ``left`` spread out.
+
+    ``hot`` is the table of ``hot_keys`` where it is known already.
+    """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     if how == "inner":
         left = left.dropna(subset=list(on))
-    hot = hot_keys(left, on, rows_per_task)
+    if hot is None:
+        hot = hot_keys(left, on, rows_per_task)
     return (
         dealt(left, on, hot, spread_by)
         .join(copied(right, on, hot), [*on, SALT], how)

@@ -1,104 +1,48 @@
 """Gap-free row numbers without sorting the whole table in one task.
 
-Rows are put into buckets that follow the wanted order. Each bucket is numbered by
-itself, and the sizes of the earlier buckets are added. Only the table of bucket sizes
-(one row per bucket) is ever brought together; it is broadcast, and the number of
-buckets bounds its size.
+The rows are dealt out by ranges of their sort keys, sorted within each range and written,
+one file per range. A row's number is then the row count of the files before its own plus
+its place in the file: one shuffle, no window, and no bucket bounds to choose. Spark samples
+the keys for the ranges in proportion to their number, and the number of ranges follows the
+session's shuffle partitions, which ``session.recommended_settings`` sizes by the data.
+
+Only the table of file sizes is summed up in one task: one row per range.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
 
-ROWS_PER_BUCKET = 1_000_000
-MIN_BUCKETS = 8
-MAX_BUCKETS = 1_024
-SAMPLE_KEYS = 8_192
+from codeprep.staging import placed, staged
 
+FILE, ROW = "_file", "_row"
 
-def number_in_buckets(
-    df: DataFrame,
-    bucket: Column,
-    order_by: Sequence[str | Column],
-    out: str,
-    within: Sequence[str] = (),
-    start: int = 1,
-    total: str | None = None,
+
+def number_placed(
+    df: DataFrame, out: str, start: int = 1, total: str | None = None
 ) -> DataFrame:
-    """Number rows from ``start`` in ``order_by`` order, separately per ``within`` group.
+    """Number rows that carry their file and place in it, in file order.
 
-    ``bucket`` must never fall as ``order_by`` rises, and ``order_by`` must be unique.
-    ``total`` names an optional column that receives the number of rows of the group.
+    Files are ordered by the number of the task that wrote them, then by name. The sizes
+    carry no hint: they are one row per file, and Spark sends them along while they are few.
     """
-    within = list(within)
-    tagged = df.withColumn("_bucket", bucket)
-    sizes = tagged.groupBy(*within, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    group = Window.partitionBy(*within)
-    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.regexp_extract(FILE, r"part-(\d+)[^/]*$", 1).try_cast("bigint")
+    sizes = df.groupBy(FILE).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy(part, FILE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *within,
-        "_bucket",
+        FILE,
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
-        F.sum("_size").over(group).alias("_total"),
+        F.sum("_size").over(Window.partitionBy()).alias("_total"),
     )
-    in_bucket = Window.partitionBy(*within, "_bucket").orderBy(*order_by)
-    numbered = (
-        tagged.withColumn("_rank", F.row_number().over(in_bucket))
-        .join(F.broadcast(offsets), [*within, "_bucket"])
-        .withColumn(out, F.col("_before") + F.col("_rank") + F.lit(start - 1))
+    numbered = df.join(offsets, FILE).withColumn(
+        out, F.col("_before") + F.col(ROW) + F.lit(start)
     )
     if total:
         numbered = numbered.withColumn(total, F.col("_total"))
-    return numbered.drop("_bucket", "_rank", "_before", "_total")
-
-
-def key_bounds(
-    df: DataFrame,
-    keys: Sequence[str],
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    max_buckets: int = MAX_BUCKETS,
-) -> list[Row]:
-    """Keys that cut ``df`` into buckets of about equal size, from a bounded sample.
-
-    About ``SAMPLE_KEYS`` keys reach the driver, and never more than twice that, whatever
-    the size of ``df``. The bounds only steer how even the buckets are; numbers built on
-    them are exact for any bounds.
-    """
-    keys_only = df.select(*keys)
-    rows = keys_only.count()
-    fraction = min(1.0, SAMPLE_KEYS / max(rows, 1))
-    sample = keys_only if fraction == 1.0 else keys_only.sample(fraction, seed=7)
-    picked = sample.orderBy(*keys).limit(2 * SAMPLE_KEYS).collect()
-    buckets = min(max(-(-rows // rows_per_bucket), MIN_BUCKETS), max_buckets)
-    steps = [len(picked) * i // buckets for i in range(1, buckets)]
-    return [picked[i] for i in dict.fromkeys(steps) if i < len(picked)]
-
-
-def bucket_of(df: DataFrame, keys: Sequence[str], bounds: Sequence[Row]) -> Column:
-    """How many ``bounds`` are not above the row's key, by binary search.
-
-    The bounds cover the whole key, so a leading column that holds a third of all rows
-    is cut at its later key columns.
-    """
-    if not bounds:
-        return F.lit(0)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    kind = ArrayType(StructType([StructField(k, types[k]) for k in keys]))
-    text = json.dumps([b.asDict() for b in bounds], default=str)
-    limits = F.from_json(F.lit(text), kind)
-    key = F.struct(*keys)
-    strides = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-
-    def advance(found: Column, stride: Column) -> Column:
-        passed = F.get(limits, found + stride - 1) <= key
-        return F.when(F.coalesce(passed, F.lit(False)), found + stride).otherwise(found)
-
-    return F.aggregate(F.array(*[F.lit(s) for s in strides]), F.lit(0), advance)
+    return numbered.drop(FILE, ROW, "_before", "_total")
 
 
 def number_sorted(
@@ -108,25 +52,23 @@ def number_sorted(
     start: int = 1,
     total: str | None = None,
 ) -> DataFrame:
-    """Number rows by ``keys``, whose combination is unique and not null.
+    """Number rows by ``keys``, whose combination is unique; missing keys come first.
 
-    ``df`` is read several times; stage it first where it is costly.
+    All columns of ``df`` are sorted and written, so give narrow rows and join the rest.
+    ``total`` names an optional column that receives the number of rows.
     """
-    bucket = bucket_of(df, keys, key_bounds(df, keys))
-    return number_in_buckets(df, bucket, list(keys), out, start=start, total=total)
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return number_placed(placed(staged(dealt, "sorted"), FILE, ROW), out, start, total)
 
 
-def number_dense(
-    df: DataFrame,
-    dense_id: str,
-    out: str,
-    within: Sequence[str] = (),
-    start: int = 1,
-    width: int = ROWS_PER_BUCKET,
+def number_within(
+    df: DataFrame, keys: Sequence[str], out: str, within: Sequence[str], start: int = 1
 ) -> DataFrame:
-    """Renumber rows that carry an almost gap-free unique id, in its order."""
-    bucket = F.floor(F.col(dense_id) / F.lit(width))
-    return number_in_buckets(df, bucket, [dense_id], out, within=within, start=start)
+    """Number rows by ``keys`` separately for each group, from one order of all rows."""
+    numbered = number_sorted(df, [*within, *keys], "_number")
+    firsts = numbered.groupBy(*within).agg(F.min("_number").alias("_first"))
+    shifted = F.col("_number") - F.col("_first") + F.lit(start)
+    return numbered.join(firsts, list(within)).withColumn(out, shifted).drop("_number", "_first")
 
 
 def shuffle_key(ident: Column, seed: float | int) -> Column:
@@ -141,19 +83,8 @@ def number_shuffled(
     out: str,
     start: int = 1,
     total: str | None = None,
-    digits: int = 3,
 ) -> DataFrame:
-    """Number rows in random order by a unique id.
-
-    The first hex digits of the hash are the bucket: ``16 ** digits`` even buckets,
-    4,096 of them unless told otherwise, and no key can be hot.
-    """
+    """Number rows in random order by a unique id; no hash can be hot."""
     keyed = df.withColumn("_shuffle", shuffle_key(F.col(ident), seed))
-    return number_in_buckets(
-        keyed,
-        F.substring("_shuffle", 1, digits),
-        ["_shuffle", ident],
-        out,
-        start=start,
-        total=total,
-    ).drop("_shuffle")
+    numbered = number_sorted(keyed, ["_shuffle", ident], out, start=start, total=total)
+    return numbered.drop("_shuffle")

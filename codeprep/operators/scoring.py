@@ -69,18 +69,23 @@ def batch_predict(
     """Add the codes predicted for each text; a failing text gets no codes and its error.
 
     ``model_fn`` receives up to ``batch_size`` prompts and returns one response each. A
-    missing or empty text is not sent to the model and gets the empty-document error.
+    missing or empty text is not sent to the model and gets the empty-document error. A row
+    that comes with an ``error`` (a file that could not be read) keeps it and is not sent
+    either. Other columns of the result's names are refused.
     """
-    asked = F.when(F.length(text) > 0, X.prompt(F.col(text)))
+    taken = {"codes", "model_version", "processing_time"} & set(df.columns)
+    if taken:
+        raise ValueError(f"the table already has {sorted(taken)}; rename or drop them")
+    told = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+    asked = F.when((F.length(text) > 0) & told.isNull(), X.prompt(F.col(text)))
     scored = df.withColumn("_prompt", asked).withColumn(
         "_scored", _model_column(model_fn, batch_size)(F.col("_prompt"))
     )
     answer = X.strip_prompt_echo(F.col("_scored.response"), F.col("_prompt"))
-    error = F.when(F.col("_prompt").isNull(), F.lit(EMPTY_DOCUMENT)).otherwise(
-        F.col("_scored.error")
-    )
+    empty = F.when(F.col("_prompt").isNull(), F.lit(EMPTY_DOCUMENT))
+    error = F.coalesce(told, empty, F.col("_scored.error"))
     return scored.select(
-        *df.columns,
+        *[c for c in df.columns if c != "error"],
         C.or_empty(C.extract_codes(answer)).alias("codes"),
         F.lit(model_version).alias("model_version"),
         F.col("_scored.processing_time").alias("processing_time"),

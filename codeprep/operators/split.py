@@ -23,7 +23,7 @@ def normalised_ratios(train: float, val: float, test: float) -> tuple[float, flo
 def checked_ratios(train: float, val: float, test: float) -> tuple[float, float, float]:
     """Accept only shares that already sum to one."""
     if abs(train + val + test - 1.0) > 1e-10:
-        raise ValueError("Dataset split ratios must sum to 1.0")
+        raise ValueError("the three shares of a split have to add up to 1")
     return train, val, test
 
 

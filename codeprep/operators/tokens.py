@@ -23,7 +23,9 @@ def token_ids(
     vocabulary: Vocabulary,
     max_length: int | None,
 ) -> DataFrame:
-    """Token ids per text in order, cut on the right at ``max_length``.
+    """Token ids per text in order, cut on the right at ``max_length``; none for a null text.
+
+    One row per row of ``df``, whether or not ``keys`` are unique.
 
     With a vocabulary that fits into the tasks, each row is handled by itself and nothing
     is shuffled. A larger one is joined.
@@ -32,19 +34,25 @@ def token_ids(
     if max_length is not None:
         words = F.slice(words, 1, max_length)
     if vocabulary.inline:
-        return df.select(*keys, vocabulary.ids_of(words).alias("ids"))
+        none = F.array().cast(TOKENS)
+        return df.select(*keys, F.coalesce(vocabulary.ids_of(words), none).alias("ids"))
     return _joined_ids(df.select(*keys, words.alias("_words")), keys, vocabulary)
 
 
 def _joined_ids(df: DataFrame, keys: Sequence[str], vocabulary: Vocabulary) -> DataFrame:
-    """Ids by a join; adaptive execution splits the partitions of very frequent tokens."""
-    words = df.select(*keys, F.posexplode_outer("_words").alias("_at", "token"))
+    """Ids by a join; adaptive execution splits the partitions of very frequent tokens.
+
+    A row keeps a number of its own, so rows with equal keys stay apart.
+    """
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    words = rows.select(*keys, "_row", F.posexplode_outer("_words").alias("_at", "token"))
     found = words.join(vocabulary.table.select("token", "token_id"), "token", "left")
     entry = F.struct("_at", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))
     present = F.when(F.col("_at").isNotNull(), entry)
-    return found.groupBy(*keys).agg(
+    gathered = found.groupBy(*keys, "_row").agg(
         F.transform(F.array_sort(F.collect_list(present)), lambda e: e["id"]).alias("ids")
     )
+    return gathered.drop("_row")
 
 
 def padded(df: DataFrame, keys: Sequence[str], max_length: int | None) -> DataFrame:
@@ -70,7 +78,7 @@ def causal_tokens(
     max_length: int = DEFAULT_MAX_LENGTH,
 ) -> DataFrame:
     """Cut and padded ids, mask and labels."""
-    ids = token_ids(texts, keys, F.col("text"), vocabulary, max_length)
+    ids = token_ids(spread(texts), keys, F.col("text"), vocabulary, max_length)
     return with_labels(padded(ids, keys, max_length))
 
 

@@ -2,43 +2,58 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeprep.config import PrepareSettings, dataset_version
-from codeprep.operators.audit import require_unique, stage_counts
-from codeprep.operators.fact import attach_text, fact_columns, fact_keys, numbered_keys
+from codeprep.operators.audit import require_unique, split_counts, stage_counts
+from codeprep.operators.examples import example_records, usable
+from codeprep.operators.fact import attach_text, fact_columns
+from codeprep.operators.numbering import FILE, ROW, number_placed
 from codeprep.operators.split import normalised_ratios, split_sequential, split_shuffled
+from codeprep.plans.fact import row_numbers, staged_keys, with_numbers
+from codeprep.session import applied
 from codeprep.sources.facts import fact_path, read_fact, write_fact
 from codeprep.sources.paths import exists, under
-from codeprep.sources.tables import (
-    ingest,
-    read_tables,
-    read_with_position,
-    table_path,
-    with_file_order_key,
-)
+from codeprep.sources.tables import ingest, read_tables
+from codeprep.staging import job_scratch, placed
 
 
 def load_notes(
-    spark: SparkSession, tables: dict[str, DataFrame], out_dir: str, version: str
+    spark: SparkSession, tables: dict[str, DataFrame], version: str
 ) -> DataFrame:
-    """The notes with a unique key; numbered in file order when they came without one."""
+    """The notes with a unique key for each.
+
+    Notes that came without a key column are numbered in file order. Where the column is
+    there and a key is missing, the note gets one from its place that no other can have: a
+    negative number, or ``row-`` and the number.
+    """
     v = dataset_version(version)
     notes = tables["NOTEEVENTS"]
-    if v.note_key in notes.columns:
-        require_unique(notes, [v.note_key], "NOTEEVENTS")
-        return notes
-    placed = read_with_position(spark, table_path(out_dir, v, "NOTEEVENTS"))
-    return with_file_order_key(placed, v.note_key)
+    if v.note_key not in notes.columns:
+        return number_placed(placed(notes, FILE, ROW), v.note_key)
+    require_unique(notes.dropna(subset=[v.note_key]), [v.note_key], "NOTEEVENTS")
+    if not notes.filter(F.col(v.note_key).isNull()).isEmpty():
+        notes = number_placed(placed(notes, FILE, ROW), "_place")
+        text = dict(notes.dtypes)[v.note_key] == "string"
+        own = F.concat(F.lit("row-"), F.col("_place")) if text else -F.col("_place")
+        notes = notes.withColumn(v.note_key, F.coalesce(v.note_key, own)).drop("_place")
+    return notes
 
 
 def split_fact(
     tables: dict[str, DataFrame], notes: DataFrame, settings: PrepareSettings
 ) -> DataFrame:
-    """The fact table with its ``split`` column; the text joins last, on the note key."""
+    """The fact table with its ``split`` column.
+
+    Row numbers and splits are made on three key columns. Lists and text join last, on the
+    note key.
+    """
     v = dataset_version(settings.version)
-    keys = fact_keys(
+    keys = staged_keys(
         notes,
         tables["DIAGNOSES_ICD"],
         tables["PROCEDURES_ICD"],
@@ -46,36 +61,64 @@ def split_fact(
         v,
         settings.num_patients,
     )
-    numbered = numbered_keys(keys, v, total="n_rows")
+    numbers = row_numbers(keys, v, total="n_rows")
     shares = normalised_ratios(settings.train, settings.val, settings.test)
     if settings.shuffled:
-        labelled = split_shuffled(numbered, "row_id", *shares, seed=settings.seed)
+        labelled = split_shuffled(numbers, "row_id", *shares, seed=settings.seed)
     else:
-        labelled = split_sequential(numbered, *shares)
-    return fact_columns(attach_text(labelled, notes, v), v, "split")
+        labelled = split_sequential(numbers, *shares)
+    whole = attach_text(
+        with_numbers(keys, labelled, v), notes, v, settings.num_patients is None
+    )
+    return fact_columns(whole, v, "split")
+
+
+def settings_path(out_dir: str, version: str) -> str:
+    return f"{fact_path(out_dir, version)}_settings"
+
+
+def described(settings: PrepareSettings) -> str:
+    """The settings that decide the rows of the fact table."""
+    kept = {k: v for k, v in asdict(settings).items() if k != "overwrite"}
+    return json.dumps(kept, sort_keys=True)
 
 
 def prepare(
-    spark: SparkSession, raw_dir: str, out_dir: str, settings: PrepareSettings
+    spark: SparkSession,
+    raw_dir: str,
+    out_dir: str,
+    settings: PrepareSettings,
+    shuffled_bytes: int | None = None,
 ) -> DataFrame:
     """Ingest, build and write the fact table; returns it as written.
 
-    A finished table is kept unless ``settings.overwrite`` is set.
+    A finished table with the same settings is kept unless ``settings.overwrite`` is set;
+    one with other settings is refused without it. With ``shuffled_bytes`` (about the size
+    of the texts) the job runs under ``session.recommended_settings``.
     """
-    ingest(spark, raw_dir, out_dir, settings.version, settings.overwrite)
     path = fact_path(out_dir, settings.version)
-    if settings.overwrite or not exists(spark, under(path, "_SUCCESS")):
-        tables = read_tables(spark, out_dir, settings.version)
-        notes = load_notes(spark, tables, out_dir, settings.version)
-        write_fact(split_fact(tables, notes, settings), path)
+    beside = settings_path(out_dir, settings.version)
+    finished = exists(spark, under(path, "_SUCCESS"))
+    if finished and not settings.overwrite:
+        made = spark.read.text(beside).first()[0] if exists(spark, beside) else "unknown"
+        if made != described(settings):
+            raise ValueError(
+                f"{path} was made with other settings ({made}); set overwrite to replace it"
+            )
+    with applied(spark, shuffled_bytes), job_scratch(spark):
+        ingest(spark, raw_dir, out_dir, settings.version, settings.overwrite)
+        if settings.overwrite or not finished:
+            tables = read_tables(spark, out_dir, settings.version)
+            notes = load_notes(spark, tables, settings.version)
+            write_fact(split_fact(tables, notes, settings), path)
+            one = spark.createDataFrame([(described(settings),)], "value string")
+            one.write.mode("overwrite").text(beside)
     return read_fact(spark, out_dir, settings.version)
 
 
 def report(spark: SparkSession, out_dir: str, version: str) -> DataFrame:
-    """Row counts of the ingested tables, the fact table and its splits."""
+    """Row counts of the ingested tables, the fact table, its splits and usable examples."""
     fact = read_fact(spark, out_dir, version)
-    stages = dict(read_tables(spark, out_dir, version))
-    stages["processed_data"] = fact
-    for split in ("train", "val", "test"):
-        stages[split] = fact.filter(F.col("split") == split)
-    return stage_counts(stages)
+    counts = stage_counts(read_tables(spark, out_dir, version))
+    records = example_records(fact, version, "split")
+    return counts.unionByName(split_counts(records, usable()))

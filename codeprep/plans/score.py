@@ -14,7 +14,6 @@ from codeprep.operators.envelopes import error_envelope, response_envelope
 from codeprep.operators.scoring import ModelFn, batch_predict
 from codeprep.sources.paths import under
 from codeprep.sources.predictions import save_results
-from codeprep.staging import staged
 
 
 def predictions(
@@ -25,8 +24,8 @@ def predictions(
 ) -> DataFrame:
     """Cap the codes and turn them into ``{code, description}`` records.
 
-    Without descriptions, or with a short configured dictionary, this is an expression
-    within the row. A dictionary table is joined.
+    Without descriptions, or with a configured dictionary, this is an expression within the
+    row. A dictionary table is joined.
     """
     capped = scored.withColumn("codes", C.cap_codes(F.col("codes"), max_codes))
     if isinstance(descriptions, DataFrame):
@@ -78,11 +77,13 @@ def score_to_json(
 ) -> DataFrame:
     """Score once, then write response and error records as JSON under ``out_dir``.
 
-    Returns the scored rows. ``options`` go to ``score_documents``.
+    Returns the scored rows, which lie there as Parquet. ``options`` go to
+    ``score_documents``.
     """
-    scored = staged(
-        score_documents(documents, keys, model_fn, model_version, **options), "scored"
-    )
+    found = score_documents(documents, keys, model_fn, model_version, **options)
+    path = under(out_dir, "scored")
+    found.write.mode("overwrite").parquet(path)
+    scored = documents.sparkSession.read.schema(found.schema).parquet(path)
     worked, failed = responses(scored, keys, timestamp, kind)
     save_results(worked, under(out_dir, "responses"))
     save_results(failed, under(out_dir, "errors"))

@@ -8,8 +8,11 @@ from pyspark.sql.types import StructType
 
 from codeprep.config import DatasetVersion, dataset_version
 from codeprep.operators.examples import examples_by_admission
+from codeprep.operators.joins import hot_keys
+from codeprep.operators.numbering import FILE, ROW, number_placed
 from codeprep.sources.paths import require, under
 from codeprep.sources.tables import read_csv_table
+from codeprep.staging import placed, staged
 
 
 def load_dataset(
@@ -24,7 +27,7 @@ def load_dataset(
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix not in ("csv", "json"):
         require(spark, path)
-        raise ValueError(f"Unsupported file format: .{suffix}")
+        raise ValueError(f"{path} is neither .csv nor .json")
     require(spark, path)
     reader = spark.read.option("multiLine", not lines)
     if schema is not None:
@@ -47,6 +50,8 @@ def load_csv_examples(
     v = dataset_version(version)
     notes = read_csv_table(spark, under(folder, notes_table or v.csv_notes), multiline=True)
     codes = read_csv_table(spark, under(folder, codes_table or v.csv_codes))
-    # The line number only spreads rows over tasks; a file scan gives it again on a retry.
-    numbered = notes.withColumn("_line", F.monotonically_increasing_id())
-    return examples_by_admission(numbered, codes, v, "_line")
+    # Parsed once: the notes are read for their keys and again for their texts.
+    lines = number_placed(placed(staged(notes, "csv-notes"), FILE, ROW), "_line")
+    lines = lines.select("_line", "HADM_ID", "SUBJECT_ID", v.kind_col, "TEXT")
+    hot = staged(hot_keys(lines.filter(F.col("HADM_ID") != 0), ["HADM_ID"]), "hot-admissions")
+    return examples_by_admission(lines, codes, v, "_line", hot=hot)

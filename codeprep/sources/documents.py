@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from codeprep.sources.paths import require
 
+# Fixed value: how the reason of an unreadable file begins in a result.
+UNREADABLE = "Could not process PDF"
+
 Extractor = Callable[[bytes], list[str | None]]
 
 _PAGES = T.StructType(
@@ -38,7 +41,7 @@ def _extract_column(extractor: Extractor):
                 try:
                     rows.append((list(extractor(bytes(blob))), None, time.perf_counter() - begun))
                 except Exception as failure:
-                    rows.append((None, f"Could not process PDF: {failure}", 0.0))
+                    rows.append((None, f"{UNREADABLE}: {failure}", 0.0))
             yield pd.DataFrame(rows, columns=["pages", "error", "seconds"])
 
     return F.pandas_udf(extract, _PAGES).asNondeterministic()

@@ -5,19 +5,13 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame
-
-
-# More rows than this belong in files, not on a console.
-MAX_PRINTED = 1_000
+from pyspark.sql import functions as F
 
 
 def save_results(df: DataFrame, path: str | None = None) -> None:
-    """Write JSON lines under ``path``, or print a short result."""
+    """Write JSON lines under ``path``, or print every row, one partition at a time."""
     if path is not None:
         df.write.mode("overwrite").json(path)
         return
-    rows = df.toJSON().take(MAX_PRINTED + 1)
-    if len(rows) > MAX_PRINTED:
-        raise ValueError(f"more than {MAX_PRINTED} results; give a path")
-    for row in rows:
-        print(json.dumps(json.loads(row), indent=2))
+    for row in df.select(F.to_json(F.struct("*")).alias("json")).toLocalIterator():
+        print(json.dumps(json.loads(row["json"]), indent=2))

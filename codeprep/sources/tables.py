@@ -2,26 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from codeprep.config import DatasetVersion, TableLayout, dataset_version
 from codeprep.operators.audit import require_unique
 from codeprep.schemas import RAW_TYPES
 from codeprep.sources.paths import exists, require, under
+from codeprep.staging import remove
 
-FILE, ROW = "_file", "_row"
+REJECTED = "_rejected"
 
 
 def upper_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.upper() for c in df.columns])
 
 
+def number_of(text: Column, kind: DataType) -> Column:
+    """A whole number from its text, also in the form ``163353.0``; null if it is none."""
+    trimmed = F.trim(text)
+    whole = F.regexp_extract(trimmed, r"^([+-]?[0-9]+)(?:\.0*)?$", 1)
+    return whole.try_cast(kind)
+
+
 def typed(df: DataFrame) -> DataFrame:
-    """Cast the known columns; codes and unknown columns stay text."""
-    return df.select(
-        *[F.col(c).cast(RAW_TYPES[c]).alias(c) if c in RAW_TYPES else F.col(c) for c in df.columns]
-    )
+    """Cast the known columns; codes and unknown columns stay text.
+
+    A value that is neither blank nor a whole number becomes null, and its row is marked in
+    a further column ``REJECTED`` with the names of such columns.
+    """
+    numbers = [c for c in df.columns if c in RAW_TYPES]
+    found = {c: number_of(F.col(c), RAW_TYPES[c]) for c in numbers}
+    wrong = [
+        F.when((F.trim(F.col(c)) != "") & found[c].isNull(), F.lit(c)) for c in numbers
+    ]
+    marks = F.array_compact(F.array(*wrong)) if wrong else F.array().cast("array<string>")
+    columns = [found[c].alias(c) if c in found else F.col(c) for c in df.columns]
+    return df.select(*columns, F.when(F.size(marks) > 0, F.concat_ws(",", marks)).alias(REJECTED))
 
 
 def read_csv_table(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -30,8 +48,14 @@ def read_csv_table(spark: SparkSession, path: str, multiline: bool = False) -> D
     All fields are read as text and matched by header name, so no pass over the data
     guesses types and leading zeros survive. Only tables with line breaks inside quotes
     need ``multiline``; Spark reads each such file in one task, so large ones should come
-    as many part files. The others are split freely.
+    as many part files. The others are split freely. Numbers that are none become null;
+    ``ingest`` sets such rows aside.
     """
+    return typed(raw_csv_table(spark, path, multiline)).drop(REJECTED)
+
+
+def raw_csv_table(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    """All fields as text, with upper-case names."""
     require(spark, path)
     raw = (
         spark.read.option("header", True)
@@ -40,7 +64,7 @@ def read_csv_table(spark: SparkSession, path: str, multiline: bool = False) -> D
         .option("escape", '"')
         .csv(path)
     )
-    return typed(upper_columns(raw))
+    return upper_columns(raw)
 
 
 def ingest(
@@ -53,7 +77,9 @@ def ingest(
     """Turn the version's CSV tables into Parquet, once.
 
     A table that is already there is kept unless ``overwrite`` is set. Patients are
-    checked for uniqueness, since a duplicate would multiply rows of the fact table.
+    checked for uniqueness, since a duplicate would multiply rows of the fact table. Rows
+    with a number that is none are not lost: they are written beside the table as they
+    came (``reject_path``).
     """
     v = dataset_version(version)
     require(spark, raw_dir)
@@ -68,10 +94,28 @@ def _ingest_one(
     source = require(spark, under(raw_dir, table.path))
     if not overwrite and exists(spark, under(target, "_SUCCESS")):
         return
-    df = read_csv_table(spark, source, table.multiline)
+    raw = raw_csv_table(spark, source, table.multiline)
+    df = typed(raw)
     if name == "PATIENTS":
-        require_unique(df, ["SUBJECT_ID"], name)
-    df.write.mode("overwrite").parquet(target)
+        require_unique(df.filter(F.col(REJECTED).isNull()), ["SUBJECT_ID"], name)
+    seen = Observation()
+    marked = df.observe(seen, F.count(REJECTED).alias("rejected"))
+    good = marked.filter(F.col(REJECTED).isNull()).drop(REJECTED)
+    # Rows are counted before the filter, in the pass that writes the table.
+    good.write.mode("overwrite").parquet(target)
+    aside = f"{target}_rejected"
+    if seen.get["rejected"]:
+        numbers = [c for c in raw.columns if c in RAW_TYPES]
+        kept = raw.withColumns({f"{c}_AS_TEXT": F.col(c) for c in numbers})
+        bad = typed(kept).filter(F.col(REJECTED).isNotNull())
+        bad.write.mode("overwrite").parquet(aside)
+    elif exists(spark, aside):
+        remove(spark, aside)
+
+
+def reject_path(out_dir: str, version: str | DatasetVersion, name: str) -> str:
+    """Where the rows of a table lie that could not be read; absent if there are none."""
+    return f"{table_path(out_dir, version, name)}_rejected"
 
 
 def table_path(out_dir: str, version: str | DatasetVersion, name: str) -> str:
@@ -87,31 +131,3 @@ def read_tables(
         name: spark.read.parquet(require(spark, table_path(out_dir, v, name)))
         for name in v.layout
     }
-
-
-def read_with_position(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table with each row's file and place in it, which identify the row."""
-    return spark.read.parquet(require(spark, path)).select(
-        "*",
-        F.col("_metadata.file_path").alias(FILE),
-        F.col("_metadata.row_index").alias(ROW),
-    )
-
-
-def with_file_order_key(df: DataFrame, out: str) -> DataFrame:
-    """Number the rows of ``read_with_position`` from 1 in file order, without a shuffle.
-
-    A row's number is the row count of the files before its own plus its place in the
-    file. Only the file sizes are summed up; there is one per file of the scan, a list the
-    driver already holds, so they are broadcast.
-    """
-    sizes = df.groupBy(FILE).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy(FILE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        FILE, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")
-    )
-    return (
-        df.join(F.broadcast(offsets), FILE)
-        .withColumn(out, F.col("_before") + F.col(ROW) + 1)
-        .drop(FILE, ROW, "_before")
-    )

@@ -14,6 +14,10 @@ def token_path(out_dir: str, version: str | DatasetVersion) -> str:
     return under(out_dir, f"{dataset_version(version).database}/tokens")
 
 
+def vocabulary_path(out_dir: str, version: str | DatasetVersion) -> str:
+    return under(out_dir, f"{dataset_version(version).database}/vocabulary")
+
+
 def write_tokens(df: DataFrame, path: str) -> None:
     """Replace the token table; ``df`` has ``split``, ``id`` and the three arrays."""
     columns = df.select("split", "id", *TOKEN_COLUMNS)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -28,30 +33,71 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the checkpoint folder that no other run uses."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _OPEN_JOBS:
+        made.append(path)
+    return path
+
+
+# Paths made so far by the jobs that are running, innermost last.
+_OPEN_JOBS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def job_scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the scratch tables that the job inside has made, once it has ended.
+
+    For jobs whose results are written tables: a result that still reads scratch tables
+    must not leave the block.
+    """
+    made: list[str] = []
+    _OPEN_JOBS.append(made)
+    try:
+        yield
+    finally:
+        _OPEN_JOBS.remove(made)
+        for path in made:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it lies."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
     Used where one result feeds several later steps, so that a lost executor
-    costs a re-read of files instead of a recomputation of the joins behind them.
+    costs a re-read of files instead of a recomputation of the joins behind them. The
+    shuffles behind the table are removed once it is written.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-# Below this many bytes per core a table may lie in a single row group, that is one task.
-SMALL_BYTES_PER_CORE = 4 << 20
+def placed(table: DataFrame, file: str, row: str) -> DataFrame:
+    """A Parquet table with each row's file and place in it, which identify the row."""
+    return table.select(
+        "*",
+        F.col("_metadata.file_path").alias(file),
+        F.col("_metadata.row_index").alias(row),
+    )
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small table over all cores before costly work on each row.
+    """Deal rows over all cores before costly work on each, if the scan feeds fewer tasks.
 
-    Larger tables, by Spark's own size estimate, are read in many splits and left alone.
+    A table in a single row group is one task whatever the split size. Tables that ingest
+    has written lie in many files and are left as they are, and so are large ones.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

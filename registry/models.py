@@ -5,6 +5,8 @@ Each is built inside a function, so that Spark ships it to the workers by value.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from codeprep.operators.scoring import ModelFn
 
 MODEL_VERSION = "v1.0"
@@ -30,3 +32,18 @@ def many_codes_model() -> ModelFn:
         return [f"{p} ICD-10:I10, ICD-9:{len(p)}, ICD-10:E11.9, {tail}" for p in prompts]
 
     return answer
+
+
+def page_reader() -> Callable[[bytes], list[str | None]]:
+    """Reads files of a kind and a text in base64 as two pages; refuses the kind ``bad``."""
+
+    def pages(data: bytes) -> list[str | None]:
+        import base64
+
+        kind, _, body = data.decode().strip().partition(":")
+        if kind == "bad":
+            raise ValueError("cannot read this file")
+        text = base64.b64decode(body).decode()
+        return [None] if kind == "empty" else [text[: len(text) // 2], text[len(text) // 2 :]]
+
+    return pages

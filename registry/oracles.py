@@ -9,7 +9,7 @@ from __future__ import annotations
 from codeprep import config
 from codeprep.functions.text import TOKEN_PATTERN
 from registry.models import MODEL_VERSION
-from registry.queries import COHORT, TIMESTAMP, VOCABULARY
+from registry.queries import COHORT, DESCRIPTIONS, TIMESTAMP, VOCABULARY
 
 # The code points Python treats as blank, for RE2, whose ``\s`` covers fewer.
 WHITESPACE = (
@@ -198,8 +198,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "loose": (
         ("notes", "dg"),
         """SELECT n.note_pk, n.subject_id, n.hadm_id, n.category,
-             CASE WHEN length(n.text) % 5 <> 0 THEN n.text ELSE '' END AS text,
-             coalesce(dg.codes, []) AS codes
+             n.text, dg.codes
            FROM notes n LEFT JOIN dg ON n.subject_id = dg.subject_id AND n.hadm_id = dg.hadm_id""",
     ),
     "documents_of": (
@@ -367,14 +366,14 @@ ORACLES: dict[str, str] = {
     "prefixed_codes": sql(f"SELECT row_id, {prefixed('a')} AS codes FROM fact", "fact"),
     "training_examples": sql(
         """SELECT note_pk, text, array_to_string(codes, '|') AS codes FROM loose
-           WHERE text <> '' AND len(codes) > 0""",
+           WHERE text <> '' AND codes IS NOT NULL""",
         "loose",
     ),
     "examples_required_fields": sql(
         """SELECT note_pk, text, array_to_string(codes, '|') AS codes,
              CASE WHEN category = 'Discharge summary' THEN hadm_id END AS hadm_id,
              CASE WHEN category = 'Discharge summary' THEN category END AS category
-           FROM loose WHERE text <> '' AND len(codes) <> 1""",
+           FROM loose WHERE text IS NOT NULL AND codes IS NOT NULL""",
         "loose",
     ),
     "clean_text": sql("SELECT doc_id, text FROM clean", "clean"),
@@ -392,7 +391,7 @@ ORACLES: dict[str, str] = {
             FROM (SELECT *, list_resize(ids, {LENGTH}, 0) AS padded FROM causal_ids)""",
         "causal_ids",
     ),
-    "token_table_read": sql(f"SELECT id, {tokens(64)} FROM val_ids", "val_ids"),
+    "token_table_read": sql(f"SELECT id, {tokens(LENGTH)} FROM val_ids", "val_ids"),
     "cleaned_tokens": sql(
         f"""SELECT doc_id, {spaced('ids')} AS input_ids,
               {spaced('list_transform(ids, lambda i: 1)')} AS mask FROM clean_ids""",
@@ -447,16 +446,18 @@ ORACLES: dict[str, str] = {
     "document_pages_concat": sql("SELECT * FROM documents_of", "documents_of"),
     "empty_documents": sql(
         f"""SELECT '{config.EMPTY_DOCUMENT}' AS error, '' AS codes,
-              'conversation-' || conv_id AS filename, count(*) AS page_count
+              'conversation-' || (-conv_id - 1) AS filename, count(*) AS page_count
             FROM conversations GROUP BY conv_id
-            HAVING count(*) FILTER (WHERE role = 'assistant' AND length(text) > 600) = 0"""
+            UNION ALL
+            SELECT '{config.EMPTY_DOCUMENT}', '', 'conversation-' || conv_id, count(*)
+            FROM conversations GROUP BY conv_id HAVING sum(length(coalesce(text, ''))) = 0"""
     ),
     "score_documents": sql(
         f"""SELECT conv_id, 'conversation-' || conv_id AS filename, page_count,
               '{MODEL_VERSION}' AS model_version, NULL::VARCHAR AS error,
-              'ICD-10:I10=Essential (primary) hypertension|ICD-9:' || length({PROMPT} content)
+              'ICD-10:I10={DESCRIPTIONS["ICD-10:I10"]}|ICD-9:' || length({PROMPT} content)
               || '=Description not available'
-              || '|ICD-10:E11.9=Type 2 diabetes mellitus without complications|'
+              || '|ICD-10:E11.9={DESCRIPTIONS["ICD-10:E11.9"]}|'
               || array_to_string(list_transform(range(7),
                    lambda i: 'N-' || i || '=Description not available'), '|') AS predictions
             FROM documents_of""",
@@ -467,4 +468,31 @@ ORACLES: dict[str, str] = {
         "SELECT subject_id, hadm_id, seq_num, code AS icd_code FROM diagnoses", "diagnoses"
     ),
     "dataset_json_load": "SELECT doc_id, text, lang FROM documents",
+    "dataset_csv_load": "SELECT doc_id, text, lang FROM documents",
+    "prepared_without_note_keys": sql(
+        f"""SELECT {FLAT.replace('note_pk', 'place AS note_pk')}, split
+            FROM labelled JOIN (SELECT note_pk, row_number() OVER (ORDER BY note_pk) AS place
+                                FROM notes) USING (note_pk)""",
+        "labelled",
+    ),
+    "csv_ingest_float_ids": sql(
+        """SELECT subject_id || CASE WHEN hadm_id % 10 = 0 THEN '?' ELSE '' END AS subject_id,
+             hadm_id, seq_num, code AS icd9_code, hadm_id % 10 = 0 AS aside FROM diagnoses""",
+        "diagnoses",
+    ),
+    "ingest_skips_what_is_there": sql(
+        "SELECT subject_id, gender, '?' AS replaced FROM patients", "patients"
+    ),
+    "documents_from_files": sql(
+        """SELECT doc_id,
+             CASE WHEN kind IS NULL AND n % 10 <> 0
+               THEN 'ICD-9:' || n || '|X-' || n % 7 || '|plain' END AS codes,
+             CASE WHEN kind IS NOT NULL OR n % 10 = 0 THEN 'PDF_PROCESSING_ERROR' END AS code,
+             CASE kind WHEN 'bad' THEN 'Could not process PDF: cannot read this file'
+               WHEN 'empty' THEN 'No text could be extracted from the PDF'
+               ELSE CASE WHEN n % 10 = 0 THEN 'cannot answer length ' || n END END AS reason
+           FROM (SELECT *, CASE doc_id % 100 WHEN 7 THEN 'bad' WHEN 8 THEN 'empty' END AS kind
+                 FROM asked)""",
+        "asked",
+    ),
 }

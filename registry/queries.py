@@ -6,6 +6,7 @@ Lists are joined to strings and records are flattened, so that results compare a
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,19 +23,21 @@ from codeprep.operators import (
     examples,
     fact,
     grouping,
+    joins,
     notes,
     scoring,
     split,
     tokens,
     vocabulary,
 )
+from codeprep.plans import fact as fact_job
 from codeprep.plans import prepare as prepare_job
 from codeprep.plans import score as score_job
 from codeprep.plans import tokenise as tokenise_job
 from codeprep.sources import datasets, documents, facts, predictions, tables, token_tables
-from codeprep.staging import scratch_path, spread
+from codeprep.staging import scratch_path, spread, staged
 from codeprep.stand_ins import ClinicalTables, clinical_tables, dictionary, pages, table
-from registry.models import MODEL_VERSION, length_model, many_codes_model
+from registry.models import MODEL_VERSION, length_model, many_codes_model, page_reader
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +46,7 @@ QUERIES: dict[str, Query] = {}
 COHORT = config.DEFAULT_PATIENTS
 VOCABULARY = 2_000
 TIMESTAMP = "2024-01-01T00:00:00"
+DESCRIPTIONS = {"ICD-10:I10": "high blood pressure", "ICD-10:E11.9": "sugar sickness"}
 KEYS = list(tokenise_job.KEYS)
 
 
@@ -70,19 +74,29 @@ def lower(df: DataFrame) -> DataFrame:
 
 
 def whole_fact(t: ClinicalTables) -> DataFrame:
-    return fact.processed_fact(t.notes, t.diagnoses, t.procedures, t.patients, t.version)
+    return fact_job.processed_fact(t.notes, t.diagnoses, t.procedures, t.patients, t.version)
+
+
+def staged_keys(t: ClinicalTables) -> DataFrame:
+    """Fact rows without text and number, written."""
+    return fact_job.staged_keys(t.notes, t.diagnoses, t.procedures, t.patients, t.version)
 
 
 def numbered_keys(t: ClinicalTables, total: str | None = "n_rows") -> DataFrame:
     """Fact rows without text, numbered."""
-    keys = fact.fact_keys(t.notes, t.diagnoses, t.procedures, t.patients, t.version)
-    return fact.numbered_keys(keys, t.version, total=total)
+    return fact_job.numbered_keys(staged_keys(t), t.version, total=total)
+
+
+def row_numbers(t: ClinicalTables, total: str | None = "n_rows") -> DataFrame:
+    """Only the keys of the fact rows with their number."""
+    return fact_job.row_numbers(staged_keys(t), t.version, total=total)
 
 
 def split_fact(t: ClinicalTables) -> DataFrame:
     """The fact table with its sequential split."""
-    labelled = split.split_sequential(numbered_keys(t))
-    whole = fact.attach_text(labelled, t.notes, t.version)
+    keys = staged_keys(t)
+    labelled = split.split_sequential(fact_job.row_numbers(keys, t.version, "n_rows"))
+    whole = fact.attach_text(fact_job.with_numbers(keys, labelled, t.version), t.notes, t.version)
     return fact.fact_columns(whole, t.version, "split")
 
 
@@ -115,13 +129,15 @@ def processed_fact_cohort(spark: SparkSession, folder: str) -> DataFrame:
     """The fact table of the first 100 patients, the default cohort."""
     t = clinical_tables(spark, folder)
     return flat_fact(
-        fact.processed_fact(t.notes, t.diagnoses, t.procedures, t.patients, t.version, COHORT)
+        fact_job.processed_fact(
+            t.notes, t.diagnoses, t.procedures, t.patients, t.version, COHORT
+        )
     )
 
 
 @query
 def fact_row_id(spark: SparkSession, folder: str) -> DataFrame:
-    keys = numbered_keys(clinical_tables(spark, folder), total=None)
+    keys = row_numbers(clinical_tables(spark, folder), total=None)
     return lower(keys.select("row_id", "NOTE_PK", "SUBJECT_ID", "HADM_ID"))
 
 
@@ -157,7 +173,7 @@ def patient_cohort(spark: SparkSession, folder: str) -> DataFrame:
 def cohort_diagnoses(spark: SparkSession, folder: str) -> DataFrame:
     t = clinical_tables(spark, folder)
     patients = cohort.patient_cohort(notes.discharge_notes(t.notes, t.version), COHORT)
-    return lower(cohort.restrict_to_cohort(t.diagnoses, patients, COHORT))
+    return lower(cohort.restrict_to_cohort(t.diagnoses, patients))
 
 
 # Code lists and joins
@@ -211,7 +227,10 @@ def notes_with_gender(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def notes_codes_by_admission(spark: SparkSession, folder: str) -> DataFrame:
     t = clinical_tables(spark, folder)
-    found = examples.examples_by_admission(t.notes, t.diagnoses, t.version, "NOTE_PK", "NOTE_PK")
+    hot = staged(joins.hot_keys(t.notes.filter("HADM_ID <> 0"), ["HADM_ID"]), "hot-admissions")
+    found = examples.examples_by_admission(
+        t.notes, t.diagnoses, t.version, "NOTE_PK", "NOTE_PK", hot=hot
+    )
     return lower(flat_examples(found, "NOTE_PK"))
 
 
@@ -243,7 +262,7 @@ def code_strings(spark: SparkSession, folder: str) -> DataFrame:
 def stage_counts(spark: SparkSession, folder: str) -> DataFrame:
     t = clinical_tables(spark, folder)
     discharge = notes.discharge_notes(t.notes, t.version)
-    whole = split_fact(t)
+    records = examples.example_records(split_fact(t), t.version, "split")
     stages = {
         "NOTEEVENTS": t.notes,
         "DIAGNOSES_ICD": t.diagnoses,
@@ -251,13 +270,9 @@ def stage_counts(spark: SparkSession, folder: str) -> DataFrame:
         "PATIENTS": t.patients,
         "discharge_notes": discharge,
         "limited_patients": cohort.patient_cohort(discharge, COHORT),
-        "processed_data": whole,
-        "train": facts.one_split(whole, "train"),
-        "val": facts.one_split(whole, "validation"),
-        "test": facts.one_split(whole, "test"),
-        "examples": examples.training_examples(examples.example_records(whole, t.version)),
     }
-    return audit.stage_counts(stages)
+    in_fact = audit.split_counts(records, examples.usable())
+    return audit.stage_counts(stages).unionByName(in_fact)
 
 
 # Splits
@@ -265,13 +280,13 @@ def stage_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def split_sequential(spark: SparkSession, folder: str) -> DataFrame:
-    keys = numbered_keys(clinical_tables(spark, folder))
+    keys = row_numbers(clinical_tables(spark, folder))
     return lower(split.split_sequential(keys).select("row_id", "NOTE_PK", "split"))
 
 
 @query
 def split_shuffled(spark: SparkSession, folder: str) -> DataFrame:
-    keys = numbered_keys(clinical_tables(spark, folder), total=None)
+    keys = row_numbers(clinical_tables(spark, folder), total=None)
     return lower(split.split_shuffled(keys).select("row_id", "NOTE_PK", "split"))
 
 
@@ -301,7 +316,7 @@ def read_split_train(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def split_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return split.split_sizes(
-        split.split_sequential(numbered_keys(clinical_tables(spark, folder)))
+        split.split_sequential(row_numbers(clinical_tables(spark, folder)))
     )
 
 
@@ -327,34 +342,31 @@ def prefixed_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def loose_examples(t: ClinicalTables) -> DataFrame:
-    """Every note with or without diagnoses; some texts are blanked."""
+    """Every note with its whole text, with or without diagnoses."""
     grouped = grouping.group_codes(t.diagnoses, t.version, "codes")
     v = t.version
     kept = t.notes.select(v.note_key, "SUBJECT_ID", "HADM_ID", v.kind_col, "TEXT")
     joined = kept.join(grouped, ["SUBJECT_ID", "HADM_ID"], "left")
     return joined.select(
         v.note_key,
-        F.when(F.length("TEXT") % 5 != 0, F.col("TEXT")).otherwise("").alias("text"),
-        C.or_empty(F.col("codes")).alias("codes"),
+        F.col("TEXT").alias("text"),
+        F.col("codes"),
     )
 
 
 @query
 def training_examples(spark: SparkSession, folder: str) -> DataFrame:
-    """Some texts and code lists are empty here, so that the rule has rows to drop."""
-    kept = examples.training_examples(loose_examples(clinical_tables(spark, folder)))
+    """Notes of admissions without diagnoses have an empty list, and drop out."""
+    loose = loose_examples(clinical_tables(spark, folder))
+    kept = examples.training_examples(loose.withColumn("codes", C.or_empty(F.col("codes"))))
     return lower(kept.withColumn("codes", lined("codes")))
 
 
 @query
 def examples_required_fields(spark: SparkSession, folder: str) -> DataFrame:
-    """Blank texts and lists count as missing here; metadata is missing for other notes."""
+    """Lists are missing where an admission has no diagnoses, metadata for other notes."""
     t = clinical_tables(spark, folder)
-    loose = loose_examples(t).select(
-        "NOTE_PK",
-        F.nullif(F.col("text"), F.lit("")).alias("text"),
-        F.when(F.size("codes") != 1, F.col("codes")).alias("codes"),
-    )
+    loose = loose_examples(t)
     kinds = t.notes.select(
         "NOTE_PK",
         F.when(
@@ -472,7 +484,7 @@ def token_json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def example_ids(spark: SparkSession, folder: str) -> DataFrame:
-    labelled = split.split_sequential(numbered_keys(clinical_tables(spark, folder)))
+    labelled = split.split_sequential(row_numbers(clinical_tables(spark, folder)))
     return lower(tokenise_job.with_example_ids(labelled.select("split", "row_id", "NOTE_PK")))
 
 
@@ -589,12 +601,12 @@ def document_pages_concat(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def empty_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Only long turns of the assistant count as text here, so some documents are empty."""
-    kept = (F.col("role") == "assistant") & (F.length("text") > 600)
-    spoken = table(spark, folder, "conversations").select(
-        "conv_id", F.col("turn").alias("page_no"), F.when(kept, F.col("text")).alias("text")
+    """All conversations, and each once more as a scan: pages without any text."""
+    whole = pages(spark, folder)
+    scans = whole.select(
+        (-F.col("conv_id") - 1).alias("conv_id"), "page_no", F.lit(None).cast("string").alias("text")
     )
-    found = documents.concat_pages(spoken, ["conv_id"]).withColumn(
+    found = documents.concat_pages(whole.unionByName(scans), ["conv_id"]).withColumn(
         "metadata",
         F.struct(
             F.concat(F.lit("conversation-"), F.col("conv_id")).alias("filename"), "page_count"
@@ -620,7 +632,7 @@ def score_documents(spark: SparkSession, folder: str) -> DataFrame:
         ["conv_id"],
         many_codes_model(),
         MODEL_VERSION,
-        descriptions=config.CODE_DESCRIPTIONS,
+        descriptions=DESCRIPTIONS,
     )
     return told.select(
         "conv_id",
@@ -679,6 +691,100 @@ def dataset_json_load(spark: SparkSession, folder: str) -> DataFrame:
     return datasets.load_dataset(spark, path, source.schema, lines=True)
 
 
+def written_notes(t: ClinicalTables) -> DataFrame:
+    """The notes in one file, in the order of their key."""
+    return t.notes.repartition(1).sortWithinPartitions(t.version.note_key)
+
+
+@query
+def prepared_without_note_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole job on notes that come without a key: numbered by their place in the file."""
+    t = clinical_tables(spark, folder)
+    raw, out = scratch_path(spark, "raw"), scratch_path(spark, "tables")
+    write_raw_csv(replace(t, notes=written_notes(t).drop("NOTE_PK")), raw)
+    settings = PrepareSettings(version=t.version.name, num_patients=None)
+    return flat_fact(prepare_job.prepare(spark, raw, out, settings), "split")
+
+
+@query
+def csv_ingest_float_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes whose ids were written as floats, and rows set aside: every tenth is no number."""
+    t = clinical_tables(spark, folder)
+    raw, out = scratch_path(spark, "raw"), scratch_path(spark, "tables")
+    patient = F.concat(F.col("SUBJECT_ID"), F.when(F.col("HADM_ID") % 10 == 0, "?").otherwise(".0"))
+    floats = t.diagnoses.withColumns(
+        {"SUBJECT_ID": patient, "HADM_ID": F.concat(F.col("HADM_ID"), F.lit(".00"))}
+    )
+    write_raw_csv(replace(t, diagnoses=floats), raw)
+    good = tables.ingest(spark, raw, out, t.version)["DIAGNOSES_ICD"]
+    columns = ["HADM_ID", "SEQ_NUM", t.version.code_col]
+    bad = spark.read.parquet(tables.reject_path(out, t.version, "DIAGNOSES_ICD"))
+    bad = bad.select(F.col("SUBJECT_ID_AS_TEXT").alias("SUBJECT_ID"), *columns)
+    good = good.select(F.col("SUBJECT_ID").cast("string").alias("SUBJECT_ID"), *columns)
+    return lower(
+        good.withColumn("aside", F.lit(False)).unionByName(bad.withColumn("aside", F.lit(True)))
+    )
+
+
+@query
+def ingest_skips_what_is_there(spark: SparkSession, folder: str) -> DataFrame:
+    """A second ingest of other files keeps the tables; with overwrite it replaces them."""
+    t = clinical_tables(spark, folder)
+    raw, other, out = (scratch_path(spark, n) for n in ("raw", "raw", "tables"))
+    write_raw_csv(t, raw)
+    write_raw_csv(replace(t, patients=t.patients.withColumn("GENDER", F.lit("?"))), other)
+    tables.ingest(spark, raw, out, t.version)
+    kept = staged(tables.ingest(spark, other, out, t.version)["PATIENTS"], "kept")
+    new = tables.ingest(spark, other, out, t.version, overwrite=True)["PATIENTS"]
+    return lower(kept.join(new.withColumnRenamed("GENDER", "REPLACED"), "SUBJECT_ID"))
+
+
+@query
+def dataset_csv_load(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{scratch_path(spark, 'dataset')}.csv"
+    source = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    source.write.option("header", True).option("escape", '"').csv(path)
+    return datasets.load_dataset(spark, path, source.schema)
+
+
+@query
+def documents_from_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts as files, read as documents, scored, and written as responses and errors.
+
+    Every hundredth text lies in a file that its reader refuses, and every hundredth in one
+    without text.
+    """
+    path, out = scratch_path(spark, "files"), scratch_path(spark, "scored")
+    kind = F.when(F.col("doc_id") % 100 == 7, "bad").when(F.col("doc_id") % 100 == 8, "empty")
+    texts = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("name"),
+        F.coalesce(kind, F.lit("good")).alias("kind"),
+        F.base64(F.encode("text", "UTF-8")).alias("value"),
+    )
+    # Spark writes text files; one folder per document makes one file of each.
+    rows = texts.withColumn("value", F.concat_ws(":", "kind", "value")).drop("kind")
+    rows.repartition("name").write.partitionBy("name").text(path)
+    found = documents.read_documents(spark, path, page_reader(), "part-*")
+    score_job.score_to_json(found, ["path"], length_model(), MODEL_VERSION, out, TIMESTAMP)
+    name = F.regexp_extract("path", r"name=(\d+)", 1).cast("bigint").alias("doc_id")
+    good = spark.read.schema(
+        "path string, predictions array<struct<code:string,description:string>>"
+    ).json(f"{out}/responses")
+    failed = spark.read.schema(
+        "path string, error struct<code:string,details:struct<reason:string>>"
+    ).json(f"{out}/errors")
+    return good.select(
+        name,
+        lined(F.transform("predictions", lambda p: p["code"])).alias("codes"),
+        F.lit(None).cast("string").alias("code"),
+        F.lit(None).cast("string").alias("reason"),
+    ).unionByName(
+        failed.select(
+            name, F.lit(None).cast("string").alias("codes"), "error.code", "error.details.reason"
+        )
+    )
+
+
 @query
 def prepared_fact(spark: SparkSession, folder: str) -> DataFrame:
     """CSV files to the written fact table, the whole preparation job."""
@@ -695,7 +801,7 @@ def token_table_read(spark: SparkSession, folder: str) -> DataFrame:
     t = clinical_tables(spark, folder)
     out = scratch_path(spark, "tables")
     facts.write_fact(split_fact(t), facts.fact_path(out, t.version))
-    tokenise_job.tokenise(spark, out, t.version.name, VOCABULARY, max_length=64)
+    tokenise_job.tokenise(spark, out, t.version.name, VOCABULARY)
     read = token_tables.read_tokens(spark, out, t.version, "validation")
     return read.select(
         F.col("id").cast("bigint").alias("id"), *[spaced(c).alias(c) for c in tokens.TOKEN_COLUMNS]

@@ -41,15 +41,17 @@ def test_lists(spark):
 
 
 def test_descriptions(spark):
-    known = {"ICD-10:I10": "Essential (primary) hypertension"}
-    got = one(spark, ["ICD-10:I10", "X-1"], "array<string>", lambda c: C.described(c, known))
+    known = {"SYS-1:Q7": "an invented illness"}
+    got = one(spark, ["SYS-1:Q7", "X-1"], "array<string>", lambda c: C.described(c, known))
     assert [tuple(r) for r in got] == [
-        ("ICD-10:I10", "Essential (primary) hypertension"),
+        ("SYS-1:Q7", "an invented illness"),
         ("X-1", "Description not available"),
     ]
     none = one(spark, ["X-1"], "array<string>", lambda c: C.described(c, {}))
     assert [tuple(r) for r in none] == [("X-1", "Description not available")]
     bare = one(spark, ["X-1"], "array<string>", C.undescribed)
     assert [tuple(r) for r in bare] == [("X-1", None)]
-    with pytest.raises(ValueError):
-        C.described(F.col("x"), {str(i): "" for i in range(C.MAX_INLINE_DESCRIPTIONS + 1)})
+    long = {f"é{i}": f"d{i}" for i in range(3_000)}
+    codes = ["é0", "é2999", "é3000", None]
+    got = one(spark, codes, "array<string>", lambda c: C.described(c, long))
+    assert [r[1] for r in got] == ["d0", "d2999", *["Description not available"] * 2]

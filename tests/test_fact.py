@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from codeprep.config import MIMIC_III, MIMIC_IV
 from codeprep.operators import cohort, fact, grouping, notes
+from codeprep.plans import fact as job
 
 DS = MIMIC_III.discharge_kind
 
@@ -69,7 +70,7 @@ def test_group_codes_without_sequence_numbers(tables, rows):
 
 
 def test_fact(tables):
-    got = fact.processed_fact(**tables, version="mimic-iii").orderBy("row_id").collect()
+    got = job.processed_fact(**tables, version="mimic-iii").orderBy("row_id").collect()
     assert [tuple(r) for r in got] == [
         (1, 1, 10, 100, DS, "first", ["25000", "0389", "0389", "9"], ["3893"],
          ["25000", "0389", "0389", "9", "3893"], "25000,0389,0389,9", "3893",
@@ -83,31 +84,40 @@ def test_fact(tables):
 
 
 def test_fact_survives_hot_admissions(tables, rows, monkeypatch):
-    plain = rows(fact.processed_fact(**tables, version="mimic-iii"))
-    real = fact.hot_keys
-    monkeypatch.setattr(fact, "hot_keys", lambda df, on: real(df, on, rows_per_task=1))
-    assert rows(fact.processed_fact(**tables, version="mimic-iii")) == plain
+    plain = rows(job.processed_fact(**tables, version="mimic-iii"))
+    real = job.hot_keys
+    monkeypatch.setattr(job, "hot_keys", lambda df, on: real(df, on, rows_per_task=1))
+    assert rows(job.processed_fact(**tables, version="mimic-iii")) == plain
 
 
 def test_fact_of_a_cohort(tables):
-    got = fact.processed_fact(**tables, version="mimic-iii", num_patients=2)
+    got = job.processed_fact(**tables, version="mimic-iii", num_patients=2)
     assert [r["NOTE_PK"] for r in got.orderBy("row_id").collect()] == [1, 2, 5]
 
 
-def test_cohort_order_and_missing_ids(tables, rows, monkeypatch):
+def test_cohort_order_and_missing_ids(tables, rows, plan):
     discharge = notes.discharge_notes(tables["notes"], MIMIC_III)
     everyone = [10, 11, 12, 13, 14]
     got = cohort.patient_cohort(discharge, 3)
     assert rows(got) == [(10,), (11,), (12,)]
+    assert "TakeOrdered" not in plan(got)
+    assert {r[0] for r in cohort.patient_cohort(discharge, 5).collect()} == {*everyone}
     assert {r[0] for r in cohort.patient_cohort(discharge, 6).collect()} == {*everyone, None}
+    assert {r[0] for r in cohort.patient_cohort(discharge, 9).collect()} == {*everyone, None}
     assert {r[0] for r in cohort.patient_cohort(discharge, None).collect()} == {*everyone, None}
-    monkeypatch.setattr(cohort, "SMALL_COHORT", 1)
-    large = cohort.patient_cohort(discharge, 3)
-    assert rows(large) == rows(got)
-    kept = cohort.restrict_to_cohort(tables["diagnoses"], large, 3)
+    kept = cohort.restrict_to_cohort(tables["diagnoses"], got)
     assert {r["SUBJECT_ID"] for r in kept.collect()} == {10, 11, 12}
 
 
+def test_a_missing_note_key_is_a_key(tables):
+    nameless = F.when(F.col("NOTE_PK") != 2, F.col("NOTE_PK")).alias("NOTE_PK")
+    noted = tables["notes"].select(nameless, "SUBJECT_ID", "HADM_ID", "CATEGORY", "TEXT")
+    got = job.processed_fact(**{**tables, "notes": noted}, version="mimic-iii")
+    assert {r["NOTE_PK"]: r["TEXT"] for r in got.collect()} == {
+        1: "first", None: "second", 5: "no procedures", 9: None
+    }
+
+
 def test_left_procedures_keep_notes_without_keys(tables):
     grouped = grouping.group_codes(tables["procedures"], MIMIC_III, "procedure_codes")
     got = fact.notes_left_procedures(tables["notes"], grouped, MIMIC_III)
@@ -128,10 +138,16 @@ def test_note_key(tables, rows):
 
 
 def test_text_is_shuffled_only_by_the_note_key(tables, plan):
-    text = plan(fact.processed_fact(**tables, version="mimic-iii"))
+    text = plan(job.processed_fact(**tables, version="mimic-iii"))
     for line in text.splitlines():
-        if "Exchange hashpartitioning" in line and "_bucket" not in line:
-            assert "NOTE_PK" in line.split("hashpartitioning(")[1]
+        if "Exchange hashpartitioning" in line and "_file" not in line:
+            assert "NOTE_PK" in line or "_key" in line or "_noted" in line
+
+
+def test_lists_are_not_sorted_for_the_numbers(tables, plan):
+    keys = job.staged_keys(**tables, version="mimic-iii")
+    text = plan(job.row_numbers(keys, "mimic-iii"))
+    assert "codes" not in text and "TEXT" not in text
 
 
 def test_gender_join_splits_a_hot_patient(spark):

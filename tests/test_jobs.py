@@ -52,10 +52,12 @@ def test_prepare_and_tokenise(spark, raw, tmp_path):
         "train": 16,
         "val": 2,
         "test": 2,
+        "examples": 20,
     }
 
-    again = prepare.prepare(spark, raw, out, PrepareSettings(version="mimic-iv", num_patients=10))
-    assert again.count() == 20
+    assert prepare.prepare(spark, raw, out, settings).count() == 20
+    with pytest.raises(ValueError, match="other settings"):
+        prepare.prepare(spark, raw, out, PrepareSettings(version="mimic-iv", num_patients=10))
     redo = PrepareSettings(version="mimic-iv", num_patients=10, overwrite=True, shuffled=True)
     assert prepare.prepare(spark, raw, out, redo).count() == 10
     prepare.prepare(spark, raw, out, PrepareSettings(version="mimic-iv", overwrite=True))
@@ -75,4 +77,32 @@ def test_existing_note_keys_must_be_unique(spark, raw, tmp_path):
     tables = ingest(spark, raw, str(tmp_path / "out"), "mimic-iv")
     tables["NOTEEVENTS"] = tables["NOTEEVENTS"].withColumn("NOTE_ID", F.lit("same"))
     with pytest.raises(ValueError, match="NOTE_ID=same"):
-        prepare.load_notes(spark, tables, str(tmp_path / "out"), "mimic-iv")
+        prepare.load_notes(spark, tables, "mimic-iv")
+
+
+def test_missing_note_keys_are_given(spark, raw, tmp_path):
+    notes = spark.createDataFrame(
+        [("a", 1), (None, 2), (None, 3)], "NOTE_ID string, SUBJECT_ID long"
+    )
+    notes.coalesce(1).write.parquet(str(tmp_path / "n"))
+    stored = spark.read.parquet(str(tmp_path / "n"))
+    found = prepare.load_notes(spark, {"NOTEEVENTS": stored}, "mimic-iv").collect()
+    assert {r["SUBJECT_ID"]: r["NOTE_ID"] for r in found} == {1: "a", 2: "row-2", 3: "row-3"}
+    numbered = stored.withColumn("NOTE_PK", F.when(F.col("NOTE_ID") == "a", 7).cast("long"))
+    numbered.drop("NOTE_ID").write.parquet(str(tmp_path / "m"))
+    stored = spark.read.parquet(str(tmp_path / "m"))
+    found = prepare.load_notes(spark, {"NOTEEVENTS": stored}, "mimic-iii").collect()
+    assert {r["SUBJECT_ID"]: r["NOTE_PK"] for r in found} == {1: 7, 2: -2, 3: -3}
+
+
+def test_a_job_leaves_no_scratch_tables(spark, raw, tmp_path):
+    import os
+
+    from codeprep.staging import checkpoint_dir
+
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    settings = PrepareSettings(version="mimic-iv", num_patients=None)
+    prepare.prepare(spark, raw, str(tmp_path / "out"), settings, shuffled_bytes=1 << 20)
+    tokenise.tokenise(spark, str(tmp_path / "out"), "mimic-iv", 50, 16, shuffled_bytes=1 << 20)
+    assert set(os.listdir(folder)) == before

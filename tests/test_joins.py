@@ -45,6 +45,13 @@ def test_missing_keys_are_dealt_out(sides):
     assert dealt.filter("k is null").select(J.SALT).distinct().count() > 30
 
 
+def test_every_hot_key_is_found(sides):
+    left, _ = sides
+    hot = {r["k"]: r["_salts"] for r in J.hot_keys(left, ["k"], rows_per_task=1).collect()}
+    counts = {r["k"]: r["count"] for r in left.groupBy("k").count().collect()}
+    assert hot == {k: n for k, n in counts.items() if n > 1}
+
+
 def test_rejects_other_joins(sides):
     with pytest.raises(ValueError):
         J.skew_safe_join(*sides, ["k", "h"], "full", ["u"])

@@ -111,7 +111,7 @@ def test_dataset_files(spark, tmp_path):
         assert sorted((r["n"], r["text"]) for r in got.collect()) == [(1, "a\nb"), (2, "c")]
     typed = datasets.load_dataset(spark, str(tmp_path / "d.csv"), "text string, n string")
     assert dict(typed.dtypes) == {"text": "string", "n": "string"}
-    with pytest.raises(ValueError, match="Unsupported file format"):
+    with pytest.raises(ValueError, match="neither .csv nor .json"):
         datasets.load_dataset(spark, str(tmp_path / "d.txt"))
     with pytest.raises(FileNotFoundError):
         datasets.load_dataset(spark, str(tmp_path / "none.csv"))
@@ -129,15 +129,29 @@ def test_splits_are_pruned(spark, tmp_path, plan):
     assert facts.read_fact(spark, str(tmp_path), "mimic-iii").count() == 30
 
 
-def test_file_order_key(spark, tmp_path, plan):
-    path = str(tmp_path / "t")
-    spark.range(1_000).repartition(7).write.parquet(path)
-    placed = tables.read_with_position(spark, path)
-    place = {r["id"]: (r["_file"], r["_row"]) for r in placed.collect()}
-    keyed = tables.with_file_order_key(placed, "NOTE_PK")
-    got = {r["id"]: r["NOTE_PK"] for r in keyed.collect()}
-    assert got == {i: n + 1 for n, i in enumerate(sorted(place, key=place.get))}
-    assert keyed.columns == ["id", "NOTE_PK"] and "SortMergeJoin" not in plan(keyed)
+def test_numbers_in_float_form_and_rejects(spark, raw, tmp_path):
+    (raw / "DIAGNOSES_ICD.csv").write_text(
+        "subject_id,hadm_id,seq_num,icd9_code\n"
+        "163353.0, 100 ,1.,0389\nabc,100,2,V1\n,,,E9\n10,1e3,3,X\n10,100,99999999999,Y\n"
+        "-5,+7,1.000,Z\n1.5,2,3,W\n"
+    )
+    out = str(tmp_path / "out")
+    good = tables.ingest(spark, str(raw), out, "mimic-iii")["DIAGNOSES_ICD"].collect()
+    assert sorted((tuple(r) for r in good), key=repr) == sorted(
+        [(163353, 100, 1, "0389"), (None, None, None, "E9"), (-5, 7, 1, "Z")], key=repr
+    )
+    bad = spark.read.parquet(tables.reject_path(out, "mimic-iii", "DIAGNOSES_ICD")).collect()
+    told = {r["ICD9_CODE"]: (r[tables.REJECTED], r["SUBJECT_ID_AS_TEXT"]) for r in bad}
+    assert told == {
+        "V1": ("SUBJECT_ID", "abc"),
+        "X": ("HADM_ID", "10"),
+        "Y": ("SEQ_NUM", "10"),
+        "W": ("SUBJECT_ID", "1.5"),
+    }
+    (raw / "DIAGNOSES_ICD.csv").write_text(CODES)
+    tables.ingest(spark, str(raw), out, "mimic-iii", overwrite=True)
+    with pytest.raises(Exception, match="(?i)path"):
+        spark.read.parquet(tables.reject_path(out, "mimic-iii", "DIAGNOSES_ICD")).collect()
 
 
 def extractor():

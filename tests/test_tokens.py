@@ -37,11 +37,23 @@ def test_ids_by_both_ways(texts, monkeypatch, length, inline):
     vocabulary = V.build_vocabulary(texts, F.col("text"), 4)
     if not inline:
         monkeypatch.setattr(V, "INLINE_TOKENS", 0)
-    got = K.token_ids(texts.fillna(""), ["id"], F.col("text"), vocabulary, length).collect()
+    # Null texts, a key that is missing, and rows with equal keys.
+    more = texts.unionByName(texts.filter("id < 2")).unionByName(
+        texts.select(F.lit(None).cast("int").alias("id"), "text")
+    )
+    got = K.token_ids(more, ["id"], F.col("text"), vocabulary, length).collect()
     known = ranked(4)
-    assert {r["id"]: r["ids"] for r in got} == {
-        i: [known.get(w, 1) for w in words(t)][:length] for i, t in enumerate(TEXTS)
-    }
+    ids = [[known.get(w, 1) for w in words(t)][:length] for t in TEXTS]
+    wanted = [*enumerate(ids), (0, ids[0]), (1, ids[1]), *[(None, i) for i in ids]]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, wanted))
+
+
+def test_causal_records_are_the_same_both_ways(texts, monkeypatch, rows):
+    vocabulary = V.build_vocabulary(texts, F.col("text"), 4)
+    inline = rows(K.causal_tokens(texts, ["id"], vocabulary, 8))
+    monkeypatch.setattr(V, "INLINE_TOKENS", 0)
+    assert rows(K.causal_tokens(texts, ["id"], vocabulary, 8)) == inline
+    assert (3, [0] * 8, [0] * 8, [0] * 8) in inline  # the null text
 
 
 def test_causal_records(texts):
@@ -78,7 +90,25 @@ def test_json_round_trip(texts, rows):
 def test_lookup_needs_no_shuffle(texts, plan):
     vocabulary = V.build_vocabulary(texts, F.col("text"), 4)
     text = plan(K.causal_tokens(texts, ["id"], vocabulary, 8))
-    assert "Exchange" not in text and "Join" not in text
+    assert "hashpartitioning" not in text and "Join" not in text
+
+
+def test_top_k_is_not_gathered(texts, plan):
+    for size in (2, 50):
+        text = plan(V.build_vocabulary(texts, F.col("text"), size).table)
+        assert "TakeOrdered" not in text
+
+
+def test_cutoff(spark):
+    counts = spark.createDataFrame([(f"t{i}", 1 + i // 3) for i in range(9)], "token string, n long")
+    assert [V.cutoff(counts, k) for k in (1, 3, 4, 9, 10)] == [3, 3, 2, 1, None]
+
+
+def test_tokens_lie_in_several_tasks(spark):
+    texts = spark.range(64).select("id", F.lit("a b c").alias("text")).coalesce(1)
+    vocabulary = V.build_vocabulary(texts, F.col("text"), 4)
+    ids = K.causal_tokens(texts, ["id"], vocabulary, 8)
+    assert ids.select(F.spark_partition_id()).distinct().count() > 1
 
 
 def test_oversized_table_is_refused(texts):

@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeprep.llm.grams import mix
-from codeprep.llm.ordering import running_totals
+from codeprep.llm.ordering import order_buckets
 from codeprep.llm.stage import stage
 from codeprep.llm.tokenizer import RANKS, Encoder, read_ranks
 from codeprep.staging import scratch_path
@@ -26,6 +27,7 @@ LENGTH = 512
 SHARD_SEQUENCES = 1_024
 END = 50_256
 FEISTEL_ROUNDS = 6
+BUCKET_ROWS = 50_000
 BYTES = 2
 
 
@@ -50,22 +52,58 @@ def slots(numbers: np.ndarray, total: int, key: int) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, ident: str, text: str, ranks: dict[bytes, int]) -> DataFrame:
-    """(row, id, n, tokens): the ids of each text with the end token, as bytes.
+    """(bucket, inside, n, tokens) in id order: the ids of each text with the end token.
 
-    The table is written, which fixes the row numbers.
+    ``inside`` is how many tokens lie before in the same bucket, a range of ids of some
+    ``BUCKET_ROWS`` documents. The tokens cross one shuffle to their bucket's task, are
+    sorted by id (null first), then by the hash of the tokens, and written.
     """
 
     @F.arrow_udf("binary")
-    def encode(texts: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(ranks)
         end = np.array([END], "<u2").tobytes()
-        return pa.array([encoder.ids(t.as_py() or "") + end for t in texts], pa.binary())
+        for texts in batches:
+            yield pa.array([encoder.ids(t.as_py() or "") + end for t in texts], pa.binary())
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, before = None, 0
+        for batch in batches:
+            buckets = batch.column("bucket").to_numpy()
+            sizes = pc.binary_length(batch.column("tokens")).to_numpy().astype(np.int64) // BYTES
+            sums = np.cumsum(sizes) - sizes
+            starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]][: len(buckets)])
+            inside = sums - np.repeat(sums[starts], np.diff(np.append(starts, len(sums))))
+            if len(buckets):
+                if buckets[0] == now:
+                    inside[buckets == now] += before
+                now, before = buckets[-1], int(inside[-1] + sizes[-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("bucket"), pa.array(inside), pa.array(sizes), batch.column("tokens")],
+                ["bucket", "inside", "n", "tokens"],
+            )
+
+    _, bucket = order_buckets(docs.select(F.col(ident).alias("id")), "id", BUCKET_ROWS)
     found = docs.select(F.col(ident).alias("id"), encode(F.col(text)).alias("tokens"))
-    found = found.withColumn("row", F.monotonically_increasing_id())
-    return stage(found.withColumn("n", F.length("tokens") / BYTES), "tokens").withColumn(
-        "n", F.col("n").cast("long")
+    found = found.select(
+        bucket.cast("long").alias("bucket"), "id", F.xxhash64("tokens").alias("tie"), "tokens"
     )
+    order = ["bucket", F.asc_nulls_first("id"), "tie"]
+    dealt = found.repartition("bucket").sortWithinPartitions(*order).select("bucket", "tokens")
+    return stage(dealt.mapInArrow(count, "bucket bigint, inside bigint, n bigint, tokens binary"), "tokens")
+
+
+def with_offsets(rows: DataFrame) -> DataFrame:
+    """(offset, tokens): where each document begins in the whole stream.
+
+    Only the sums of buckets, one row per ``BUCKET_ROWS`` documents, are added up in one
+    task and joined, without a hint.
+    """
+    sums = rows.groupBy("bucket").agg(F.sum("n").alias("_sum"))
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    placed = rows.join(stage(bases, "bases"), "bucket")
+    return placed.select((F.col("_base") + F.col("inside")).alias("offset"), "tokens")
 
 
 def pieces(rows: DataFrame, total: int, length: int, key: int, shard: int) -> DataFrame:
@@ -74,26 +112,30 @@ def pieces(rows: DataFrame, total: int, length: int, key: int, shard: int) -> Da
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets = batch.column("offset").to_numpy()
-            for begin, data in zip(offsets.tolist(), batch.column("tokens")):
-                tokens = data.as_py()
-                stop = begin + len(tokens) // BYTES
-                first, last = begin // length, (stop - 1) // length
-                numbers = np.arange(first, last + 1)
-                starts = np.maximum(numbers * length, begin)
-                ends = np.minimum((numbers + 1) * length, stop)
-                where = slots(numbers, sequences, key)
-                cuts = zip((starts - begin).tolist(), (ends - begin).tolist())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(where // shard),
-                        pa.array(where),
-                        pa.array(starts - numbers * length),
-                        pa.array(numbers),
-                        pa.array([tokens[a * BYTES : b * BYTES] for a, b in cuts], pa.binary()),
-                    ],
-                    ["shard", "slot", "at", "sequence", "data"],
-                )
+            begin = batch.column("offset").to_numpy()
+            tokens = batch.column("tokens")
+            stop = begin + pc.binary_length(tokens).to_numpy().astype(np.int64) // BYTES
+            first = begin // length
+            count = (stop - 1) // length - first + 1
+            row = np.repeat(np.arange(len(begin)), count)
+            numbers = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            starts = np.maximum(numbers * length, begin[row])
+            ends = np.minimum((numbers + 1) * length, stop[row])
+            where = slots(numbers, sequences, key)
+            bodies = tokens.to_pylist()
+            froms, tos = (starts - begin[row]) * BYTES, (ends - begin[row]) * BYTES
+            cuts = zip(row.tolist(), froms.tolist(), tos.tolist())
+            data = pa.array([bodies[r][a:b] for r, a, b in cuts], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(where // shard),
+                    pa.array(where),
+                    pa.array(starts - numbers * length),
+                    pa.array(numbers),
+                    data,
+                ],
+                ["shard", "slot", "at", "sequence", "data"],
+            )
 
     kind = "shard bigint, slot bigint, at bigint, sequence bigint, data binary"
     return rows.select("offset", "tokens").mapInArrow(cut, kind)
@@ -167,12 +209,8 @@ def materialise(
     """
     rows = tokenised(docs, ident, text, read_ranks(ranks_path))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    narrow = rows.select("row", "id", "n", F.xxhash64("tokens").alias("tie"))
-    offsets = running_totals(narrow, "id", "tie", "n", "offset").select("row", "offset")
-    placed = rows.select("row", "tokens").join(offsets, "row")
-    written = shards(pieces(placed, total, length, key, shard_size), length)
-    written.write.mode("overwrite").parquet(path)
-    return docs.sparkSession.read.schema(written.schema).parquet(path)
+    written = shards(pieces(with_offsets(rows), total, length, key, shard_size), length)
+    return stage(written, "shards", path)
 
 
 def read_slots(written: DataFrame, length: int = LENGTH, first: int = 0) -> DataFrame:

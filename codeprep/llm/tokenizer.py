@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ def read_ranks(path: str = RANKS) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Pre-tokens to their token ids (little-endian uint16), remembered within a task."""
+    """Texts to token ids; the sizes of pre-tokens are remembered within a task."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.pattern = regex.compile(PATTERN)
@@ -35,33 +37,35 @@ class Encoder:
         self.known = _Known(self.encoding)
 
     def ids(self, text: str) -> bytes:
-        """All token ids of a text as bytes, two per token."""
-        self.known.trim()
-        return b"".join(map(self.known.__getitem__, self.pattern.findall(text)))
+        """All token ids of a text as bytes, two per token (little-endian)."""
+        found = array("H", self.encoding.encode_ordinary(text))
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
 
     def pre_tokens(self, text: str, start: int = 0) -> Iterator[tuple[int, int]]:
         """(end, number of tokens) of each pre-token from ``start`` on, one by one."""
         for match in self.pattern.finditer(text, start):
-            yield match.end(), len(self.known[match.group()]) // 2
+            yield match.end(), self.known[match.group()]
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Lengths in characters and tokens of all pre-tokens."""
         self.known.trim()
         found = self.pattern.findall(text)
         chars = np.fromiter(map(len, found), np.int64, len(found))
-        sizes = map(len, map(self.known.__getitem__, found))
-        return chars, np.fromiter(sizes, np.int64, len(found)) // 2
+        return chars, np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
 
 
 class _Known(dict):
+    """Pre-tokens to their number of tokens."""
+
     def __init__(self, encoding: tiktoken.Encoding):
         super().__init__()
         self.encoding = encoding
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encoding.encode_ordinary(piece), "<u2").tobytes()
-        self[piece] = ids
-        return ids
+    def __missing__(self, piece: str) -> int:
+        size = self[piece] = len(self.encoding.encode_ordinary(piece))
+        return size
 
     def trim(self) -> None:
         if len(self) > REMEMBERED:

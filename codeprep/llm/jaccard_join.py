@@ -122,9 +122,7 @@ def meeting_keys(grams: np.ndarray, classes: SizeClasses) -> np.ndarray:
 def sets(text: Column, size: int) -> Column:
     """struct(n, cls): the number of n-grams, and a number for sets that are equal."""
 
-    @F.arrow_udf("struct<n:bigint,cls:bigint>")
-    def measure(texts: pa.Array) -> pa.Array:
-        hashes = WordHashes()
+    def measure_batch(texts: pa.Array, hashes: WordHashes) -> pa.Array:
         found = [shingles(t.as_py() or b"", size, hashes) for t in texts]
         return pa.StructArray.from_arrays(
             [
@@ -134,6 +132,12 @@ def sets(text: Column, size: int) -> Column:
             ["n", "cls"],
         )
 
+    @F.arrow_udf("struct<n:bigint,cls:bigint>")
+    def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = WordHashes()
+        for texts in batches:
+            yield measure_batch(texts, hashes)
+
     return measure(text.cast("binary"))
 
 

@@ -9,6 +9,7 @@ and a Viterbi fold over the ends keeps the best path of all words at once.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -213,9 +214,7 @@ def encoded(text: Column, table: PieceTable) -> Column:
     without a piece become byte pieces. Null and empty texts have no pieces.
     """
 
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        words = Words(table)
+    def encode_batch(texts: pa.Array, words: Words) -> pa.Array:
         found: list[bytes] = []
         group: list[str] = []
         size = 0
@@ -231,6 +230,12 @@ def encoded(text: Column, table: PieceTable) -> Column:
         flat = np.frombuffer(b"".join(found), "<i4")
         return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
 
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = Words(table)
+        for texts in batches:
+            yield encode_batch(texts, words)
+
     return encode(text)
 
 

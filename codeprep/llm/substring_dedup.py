@@ -64,9 +64,7 @@ SEQUENCE = "struct<n:bigint,cls:bigint,sha:string>"
 def sequence(text: Column) -> Column:
     """Number of words, class of equal word sequences, SHA-256 of the words joined by blanks."""
 
-    @F.arrow_udf(SEQUENCE)
-    def measure(texts: pa.Array) -> pa.Array:
-        hashes = WordHashes()
+    def measure_batch(texts: pa.Array, hashes: WordHashes) -> pa.Array:
         n, cls, sha = [], [], []
         for t in texts:
             words = (t.as_py() or b"").split()
@@ -78,6 +76,12 @@ def sequence(text: Column) -> Column:
             ["n", "cls", "sha"],
         )
 
+    @F.arrow_udf(SEQUENCE)
+    def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = WordHashes()
+        for texts in batches:
+            yield measure_batch(texts, hashes)
+
     return measure(text.cast("binary"))
 
 

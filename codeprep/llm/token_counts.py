@@ -7,6 +7,7 @@ with the old ones at the end of a leaf, and then updates the sums above those le
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,9 +114,7 @@ def counted(text: Column, edits: Column, ranks: dict[bytes, int]) -> Column:
     deletes.
     """
 
-    @F.arrow_udf(COUNTS)
-    def count(texts: pa.Array, changes: pa.Array) -> pa.Array:
-        encoder = Encoder(ranks)
+    def count_batch(texts: pa.Array, changes: pa.Array, encoder: Encoder) -> pa.Array:
         rows = []
         for value, edits_ in zip(texts, changes):
             body = value.as_py() or ""
@@ -132,6 +131,12 @@ def counted(text: Column, edits: Column, ranks: dict[bytes, int]) -> Column:
         names = ["n_tokens", "n_pretokens", "n_tokens_edited", "n_chars_edited", "n_reencoded"]
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
+    @F.arrow_udf(COUNTS)
+    def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        encoder = Encoder(ranks)
+        for texts, changes in batches:
+            yield count_batch(texts, changes, encoder)
+
     return count(text, edits)
 
 

@@ -26,7 +26,7 @@ def order_buckets(docs: DataFrame, ident: str, rows_per_bucket: int) -> tuple[Co
     high = seen["high"] if seen["high"] is not None else 0
     edges = [low, *[c for c in sorted(set(seen["cuts"] or [])) if low < c], high + 1]
     fine = max(1, -(-seen["n"] // (rows_per_bucket * (len(edges) - 1))))
-    limits = F.array(*[F.lit(e).cast("decimal(20,0)") for e in edges])
+    limits = F.array(*[F.lit(str(e)).cast("decimal(20,0)") for e in edges])
     at = F.coalesce(F.col(ident), F.lit(low)).cast("decimal(20,0)")
     coarse = F.size(F.filter(F.slice(limits, 1, len(edges) - 1), lambda e: e <= at)) - 1
     begin, end = F.get(limits, coarse), F.get(limits, coarse + 1)

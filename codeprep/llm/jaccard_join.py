@@ -380,16 +380,24 @@ def first_pairs(lists: DataFrame, percent: int) -> DataFrame:
 def further_pairs(
     checked: DataFrame, groups: DataFrame, percent: int
 ) -> DataFrame:
-    """(hub, cls, star): pairs of different components that may be linked past their hub."""
+    """(hub, cls, star): pairs of different components that may be linked past their hub.
+
+    Two documents that share several hubs are looked at under one of them, that with most
+    documents.
+    """
     stars = checked.filter(F.size("parts") > 0)
+    weights = stars.groupBy("hub").agg(F.count("*").alias("w"))
+    hubs = stars.select("hub", "cls").join(weights, "hub")
+    hubs = hubs.groupBy("cls").agg(F.collect_list(F.struct("w", "hub")).alias("hubs"))
     open_ = stars.filter(~F.col("linked")).select("hub").distinct()
     rows = first_differences(stars.join(open_, "hub", "left_semi"), percent)
     rows = rows.join(groups.withColumnRenamed("node", "cls"), "cls", "left")
     rows = rows.withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    rows = stage(rows, "differences")
+    rows = stage(rows.join(weights, "hub").join(hubs, "cls"), "differences")
     apart = rows.filter(~F.col("linked")).select(
-        "hub", "gram", *[F.col(c).alias(f"x_{c}") for c in ("at", "cls", "n", "d", "comp")]
+        "hub", "gram", *[F.col(c).alias(f"x_{c}") for c in ("at", "cls", "n", "d", "comp", "hubs")]
     )
+    shared_hub = F.array_max(F.array_intersect("hubs", "x_hubs"))
     # No more than what lies behind the first n-gram in common can be shared.
     furthest = (100 - percent) * (F.col("n") + F.col("x_n"))
     behind = F.least(F.col("d") - F.col("at"), F.col("x_d") - F.col("x_at"))
@@ -402,6 +410,7 @@ def further_pairs(
         & (F.col("linked") | (F.col("cls") < F.col("x_cls")))
         & (F.abs(F.col("d") - F.col("x_d")) * (100 + percent) <= furthest)
         & enough
+        & (shared_hub == F.struct("w", F.col("y_hub").alias("hub")))
         & compatible(F.col("n"), F.col("x_n"), percent),
     )
     pairs = found.select(

@@ -90,6 +90,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-# Raking, learned models, hash functions of one engine and tokenizers have no SQL form that
+# Fixed value: what the contract takes for a word.
+WORD = r"[^\x20\x09-\x0D]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+# Raking, learned models, zstandard, hashes of one engine and tokenizers have no SQL form that
 # gives the same rows; those queries are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_jaccard_join": f"""
+        WITH RECURSIVE d AS (
+          SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{WORD}') AS w
+          FROM documents),
+        s AS (
+          SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS g
+          FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d
+                WHERE len(w) > 0)),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        p AS (SELECT a.r AS x, b.r AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.r < b.r
+              GROUP BY a.r, b.r),
+        l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y
+              WHERE 100 * i >= 85 * (a.n + b.n - i)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        reach AS (SELECT r, r AS q FROM d UNION SELECT reach.r, e.y FROM reach JOIN e ON q = e.x)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles,
+          min(other.doc_id) AS component_id
+        FROM d JOIN reach USING (r) JOIN d other ON other.r = reach.q LEFT JOIN n ON n.r = d.r
+        GROUP BY d.r, d.doc_id""",
+    "op9_substring_dedup": f"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id,
+            regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+        g AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g
+              FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+        again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS n FROM g)
+                  WHERE n > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS spot FROM again),
+        kept AS (
+          SELECT r, string_agg(word, ' ' ORDER BY spot) AS words, count(*) AS n
+          FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS spot FROM d)
+          ANTI JOIN gone USING (r, spot) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+          sha256(coalesce(words, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)""",
+}

@@ -52,6 +52,18 @@ def test_query_has_a_row_per_input_row(spark, name):
     assert found.count() == spark.read.parquet(f"{FOLDER}/{source}.parquet").count()
 
 
+@needs_tables
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
+def test_query_equals_sql(spark, rows, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    result = duck.execute(Q.ORACLES[name])
+    columns = [c[0] for c in result.description]
+    assert rows(Q.QUERIES[name](spark, FOLDER), *columns) == sorted(result.fetchall(), key=repr)
+
+
 def test_registered_only_where_present():
     code = (
         "import sys, importlib.abc\n"

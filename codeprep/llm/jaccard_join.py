@@ -142,7 +142,11 @@ def sets(text: Column, size: int) -> Column:
 
 
 def meetings(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
-    """(key, cls, n) of the keys on which sets of two classes or more meet."""
+    """(key, cls, n), each once, of the keys on which sets of two classes or more meet.
+
+    A class with copies in several tasks may be first for a key in one and not in another,
+    and then ``repeated`` gives it out from two partitions.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, out, seen = WordHashes(), Flusher(), set()
@@ -164,7 +168,8 @@ def meetings(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
         yield from out.flush()
 
     rows = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(scan, schema())
-    return repeated(rows).select("key", F.col("a").alias("cls"), F.col("b").alias("n"))
+    met = repeated(rows).select("key", F.col("a").alias("cls"), F.col("b").alias("n"))
+    return met.distinct()
 
 
 def different_lists(lists: DataFrame) -> DataFrame:

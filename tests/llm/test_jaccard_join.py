@@ -6,6 +6,8 @@ import pytest
 from codeprep.llm import jaccard_join as J
 from codeprep.llm.components import components
 
+from .conftest import near_copy, prose
+
 
 def shingle_sets(rows, size):
     out = []
@@ -96,3 +98,35 @@ def test_components(spark):
 def test_percent_has_a_range(odd_docs):
     with pytest.raises(ValueError):
         J.jaccard_groups(odd_docs, percent=50)
+
+
+def test_copies_in_every_task(spark):
+    """Near copies of which each task has exact copies, in differing order, keep a key."""
+    n_groups = 12
+    groups = [[prose(1_000 + g, 120)] * 2 for g in range(n_groups)]
+    groups = [[a, near_copy(b, g, 1)] for g, (a, b) in enumerate(groups)]
+    rows = [(t,) for part in range(4) for g in groups for t in (g if part % 2 else g[::-1])]
+    settings = {
+        "spark.sql.shuffle.partitions": "211",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        docs = spark.sparkContext.parallelize(rows, 4).toDF("text string")
+        lists = J.meetings(docs, "text", 5, 80).persist()
+        met = [tuple(r) for r in lists.collect()]
+        kept = J.different_lists(lists).collect()
+        lists.unpersist()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(met) == len(set(met))
+    members = {}
+    for r in kept:
+        members.setdefault(r["key"], set()).add(r["cls"])
+    hashes = J.WordHashes()
+    for texts in groups:
+        pair = {J.set_class(J.shingles(t.encode(), 5, hashes)) for t in texts}
+        assert len(pair) == 2 and any(pair <= found for found in members.values())

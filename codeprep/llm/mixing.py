@@ -100,11 +100,13 @@ def worst_gap(fitted: DataFrame, columns: Sequence[str]) -> float:
 
 
 def with_rates(cells: DataFrame, keep: float) -> DataFrame:
-    """``rate``: the chance with which a document of a cell is taken.
+    """``copies``: how often a document of a cell is expected in the mix; ``rate``: the
+    chance with which it is taken when each document may come once at most.
 
-    Rates follow fitted weight over present weight, scaled so that a share ``keep`` of
-    the total weight is expected; rates that would pass 1 stay 1 and the others are raised
-    until the total fits or every cell with a target is taken whole.
+    Both follow fitted weight over present weight, scaled so that a share ``keep`` of the
+    total weight is expected. Copies may pass 1 and meet the targets. Rates that would
+    pass 1 stay 1 and the others are raised until the total fits or every cell with a
+    target is taken whole; where that happens they no longer meet the targets.
     """
     ratio = F.when(F.col("total") > 0, F.col("fitted") / F.col("total")).otherwise(0.0)
     cells = stage(cells.withColumn("_ratio", ratio), "ratios")
@@ -119,6 +121,7 @@ def with_rates(cells: DataFrame, keep: float) -> DataFrame:
         before, scale = scale, max(scale, (wanted - full) / rest if rest > 0 else scale)
         if scale <= before:
             break
+    cells = cells.withColumn("copies", F.col("_ratio") * wanted)
     return cells.withColumn("rate", F.least(F.col("_ratio") * scale, F.lit(1.0))).drop("_ratio")
 
 
@@ -137,10 +140,14 @@ def mixed(
     keep: float = 0.8,
     seed: int = 42,
 ) -> DataFrame:
-    """``docs`` with ``fitted_share``, ``probability`` and ``selected``.
-
-    Shares of every marginal are tempered by ``power``, cells are raked to them, and each
-    document is taken with its cell's rate, by a hash of its id: equal rows share a fate,
+    """``docs`` with ``fitted_share``, ``expected_copies``, ``n_copies``, ``probability`` and
+    ``selected``.
+
+    Shares of every marginal are tempered by ``power`` and cells are raked to them. The mix
+    that meets the targets has each document ``n_copies`` times: the whole part of
+    ``expected_copies``, and one more by a draw of the fraction. ``selected`` is the draw
+    in which no document repeats, with ``probability``; small cells that are taken whole
+    stay below their targets there. Draws are a hash of the id: equal rows share a fate,
     and a rerun takes the same documents. A null category is a category, a null id draws
     like any value, a null weight counts 0, and documents without weight are taken at the
     rate of their cell. An empty table gives an empty result. The cells are joined back
@@ -156,13 +163,17 @@ def mixed(
         rates.select(
             *[F.col(c).alias(n) for c, n in names.items()],
             F.col("fitted").alias("fitted_share"),
+            F.col("copies").alias("expected_copies"),
             F.col("rate").alias("probability"),
         ),
         "rates",
     )
     on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    whole = F.floor("expected_copies")
+    more = draw([ident], seed) < F.col("expected_copies") - whole
     return (
         docs.join(table, on, "left")
         .drop(*names.values())
+        .withColumn("n_copies", whole + more.cast("long"))
         .withColumn("selected", draw([ident], seed) < F.col("probability"))
     )

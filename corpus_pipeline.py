@@ -31,12 +31,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that sources, languages and topics meet tempered weights."""
+    """Documents drawn so that sources, languages and topics meet tempered weights.
+
+    A document that is drawn several times comes as so many equal rows.
+    """
     topic, tokens = free_name("_topic", docs.columns), free_name("_tokens", docs.columns)
     tagged = docs.withColumn(topic, mixing.topic(F.col("text")))
     tagged = tagged.withColumn(tokens, mixing.token_weight(F.col("text")))
     taken = mixing.mixed(tagged, ["source", "lang", topic], tokens, "doc_id")
-    return taken.filter("selected").select(*docs.columns)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))
+    taken = taken.filter("n_copies > 0").select("*", copies.alias(free_name("_copy", taken.columns)))
+    return taken.select(*docs.columns)
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

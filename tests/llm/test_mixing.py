@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from codeprep.llm import mixing as M
 
 
@@ -72,6 +73,42 @@ def test_sample_meets_the_targets(corpus):
     assert set(again.filter("selected").toPandas().doc_id) == set(taken.doc_id)
 
 
+def test_copies_meet_the_targets_of_small_categories(spark):
+    """At the registered parameters, where rates of small cells pass 1."""
+    docs = spark.range(40_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 50 == 0, "rare").otherwise("common").alias("source"),
+        F.when(F.col("id") % 7 == 0, "de").when(F.col("id") % 97 == 1, None).otherwise("en").alias("lang"),
+        (F.col("id") % 90 + 1).alias("n_tokens"),
+    )
+    found = M.mixed(docs, ["source", "lang"], "n_tokens", "doc_id").toPandas()
+    assert (found.expected_copies > 1).any()
+    expected, drawn = found.expected_copies * found.n_tokens, found.n_copies * found.n_tokens
+    total = found.n_tokens.sum()
+    assert abs(expected.sum() / total - 0.8) < 1e-4 and abs(drawn.sum() / total - 0.8) < 0.02
+    assert (abs(found.n_copies - found.expected_copies) < 1).all()
+    for column in ("source", "lang"):
+        whole = found.groupby(column, dropna=False).n_tokens.sum() ** 0.7
+        goal = whole / whole.sum()
+        for tokens, gap in ((expected, 1e-4), (drawn, 0.01)):
+            share = tokens.groupby(found[column], dropna=False).sum() / tokens.sum()
+            assert np.abs(share - goal).max() < gap
+
+
+def test_pipeline_repeats_documents(spark):
+    docs = spark.range(2_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 100 == 0, "rare").otherwise("common").alias("source"),
+        F.lit("en").alias("lang"),
+        F.lit("plain words here").alias("text"),
+    )
+    taken = corpus_pipeline.mixing_weights(spark, docs, "")
+    assert taken.columns == docs.columns
+    tokens = taken.groupBy("source").count().toPandas().set_index("source")["count"]
+    goal = 20**0.7 / (20**0.7 + 1_980**0.7)
+    assert abs(tokens["rare"] / tokens.sum() - goal) < 0.02
+
+
 def test_odd_rows(odd_docs, no_docs):
     def drawn(docs):
         docs = docs.withColumn("w", M.token_weight(F.col("text")))

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from codeprep.llm.tokenizer import RANKS, Encoder, read_ranks
 
 LEAF = 64
+# Characters behind a pre-token that decide its end: "'re" for "'", "\n\nW" for the first "\n".
+LOOK_AHEAD = 2
 
 
 @dataclass
@@ -76,8 +78,9 @@ def edited(tree: SegmentTree, text: str, edit: tuple, encoder: Encoder) -> tuple
     end = min(max(edit[1], start), len(text))
     new = text[:start] + edit[2] + text[end:]
     grown = len(new) - len(text)
-    # The pre-token before the edit may look ahead into it or go on into it.
-    first, begin = tree.find(min(max(start - 1, 0), max(len(text) - 1, 0)))
+    # The pre-token before the edit may go on into it, and one that ends a leaf looked two
+    # characters ahead: it stands only if those lie before the edit.
+    first, begin = tree.find(max(start - LOOK_AHEAD, 0))
     last, close = first, begin + int(tree.chars[tree.leaves + first])
     chars = tokens = done = 0
     at = begin

@@ -118,3 +118,20 @@ def test_layout_of_the_input_does_not_matter(odd_docs, no_docs, rows):
     b = O.training_order(odd_docs.repartition(7), length=32, shard_size=8)
     assert rows(a) == rows(b)
     assert O.training_order(no_docs).count() == 0
+
+
+def test_edits_just_behind_a_leaf(encoder, monkeypatch):
+    """With a pre-token a leaf, edits where a pre-token before them looked ahead."""
+    monkeypatch.setattr(T, "LEAF", 1)
+    cases = [("a\n\nWord Next", (3, 7, "")), ("so 'rx", (5, 6, "e")), ("x'", (2, 2, "re"))]
+    draw = random.Random(7)
+    for _ in range(4_000):
+        text = "".join(draw.choices("\n\n  'reW1.", k=draw.randrange(12)))
+        start = draw.randrange(len(text) + 1)
+        put = "".join(draw.choices("\n 'reW1.", k=draw.randrange(4)))
+        cases.append((text, (start, start + draw.randrange(4), put)))
+    for text, edit in cases:
+        tree = T.SegmentTree.of(*encoder.spans(text))
+        new, _ = T.edited(tree, text, edit, encoder)
+        chars, tokens = encoder.spans(new)
+        assert (tree.chars[1], tree.tokens[1]) == (chars.sum(), tokens.sum()), (text, edit)

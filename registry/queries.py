@@ -692,13 +692,13 @@ def dataset_json_load(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def written_notes(t: ClinicalTables) -> DataFrame:
-    """The notes in one file, in the order of their key."""
-    return t.notes.repartition(1).sortWithinPartitions(t.version.note_key)
+    """The notes as part files whose rows, file by file, are in the order of their key."""
+    return t.notes.repartitionByRange(t.version.note_key).sortWithinPartitions(t.version.note_key)
 
 
 @query
 def prepared_without_note_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole job on notes that come without a key: numbered by their place in the file."""
+    """The whole job on notes that come without a key: numbered by their place in the files."""
     t = clinical_tables(spark, folder)
     raw, out = scratch_path(spark, "raw"), scratch_path(spark, "tables")
     write_raw_csv(replace(t, notes=written_notes(t).drop("NOTE_PK")), raw)

@@ -4,10 +4,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from registry.oracles import ORACLES
-from registry.queries import QUERIES
+from registry.queries import QUERIES, clinical_tables, written_notes
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "customer part orders lineitem documents conversations".split()
@@ -41,3 +42,15 @@ def test_query_equals_sql(spark, duck, name):
     mine = sorted((repr(tuple(r)) for r in df.select(*columns).collect()))
     assert mine == sorted(repr(tuple(r)) for r in result.fetchall())
     assert mine
+
+
+def test_notes_without_keys_come_in_many_files(spark, duck):
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "false")
+        notes = written_notes(clinical_tables(spark, FOLDER))
+        assert notes.select(F.spark_partition_id()).distinct().count() > 1
+        test_query_equals_sql(spark, duck, "prepared_without_note_keys")
+    finally:
+        spark.conf.set(setting, before)

@@ -30,7 +30,10 @@ BANDS = (
     (None, 1.9, 3.3),
 )
 CHUNK = 4_096
-CHUNK_BAND = (1.4, 3.0)
+CHUNK_BAND = (1.4, 3.0)  # of chunks, which are all of one size
+# Up to this many bytes: how many percent of a text's chunks may lie outside the band. In a
+# short text one chunk is a large part.
+BAD_CHUNKS = ((16_384, 0), (None, 12))
 LEVEL = 3
 
 RESULT = pa.struct(
@@ -96,14 +99,18 @@ def judge(text: bytes, packer: zstandard.ZstdCompressor, bands: Sequence[tuple])
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     ratio = ratio_of(text, packer)
     low, high = band_of(len(text), bands)
-    # Whole chunks only; what is left at the end counts with the text as a whole.
-    starts = range(0, len(text) - CHUNK + 1, CHUNK)
+    # What is left at the end is judged in a last chunk that overlaps the one before; a text
+    # below one chunk is judged by the narrow band of its whole.
+    starts = list(range(0, len(text) - CHUNK + 1, CHUNK))
+    if starts and len(text) % CHUNK:
+        starts.append(len(text) - CHUNK)
     bad = sum(
         not CHUNK_BAND[0] <= ratio_of(text[at : at + CHUNK], packer) <= CHUNK_BAND[1]
         for at in starts
     )
     failed = n < MIN_WORDS or 100 * repeats > MAX_REPEATED_PERCENT * n
-    kept = not failed and low <= ratio <= high and 2 * bad <= len(starts)
+    most = next(percent for size, percent in BAD_CHUNKS if size is None or len(text) <= size)
+    kept = not failed and low <= ratio <= high and 100 * bad <= most * len(starts)
     lines = duplicate_lines(text)
     return (n, word_chars, symbols, lines, repeats, ratio, len(starts), bad, failed, kept)
 
@@ -113,8 +120,8 @@ def quality(text: Column, bands: Sequence[tuple] = BANDS) -> Column:
 
     Null and empty texts have no words: all counts are 0, ``base_failed`` is true and
     ``kept`` false. A text is kept when it passes the base rules, its ratio lies in the
-    band of its length, and at most half of its whole ``CHUNK``-byte chunks lie outside
-    ``CHUNK_BAND``. Texts are taken as bytes, so broken UTF-8 is measured as it stands.
+    band of its length, and no more of its ``CHUNK``-byte chunks lie outside ``CHUNK_BAND``
+    than ``BAD_CHUNKS`` allows for its length; chunks cover a text to its end. Texts are taken as bytes, so broken UTF-8 is measured as it stands.
     Each row is judged alone: ties and repeated rows get equal verdicts.
     """
     bands = tuple(bands)

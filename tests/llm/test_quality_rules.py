@@ -53,6 +53,17 @@ def test_bad_chunks_reject_a_text_with_a_good_whole():
     assert found[6] >= 2 and found[7] == found[6] and not found[-1]
 
 
+def test_a_bad_tail_or_a_bad_third_rejects_a_text(all_rows):
+    packer = zstandard.ZstdCompressor(level=Q.LEVEL)
+    good = dict(all_rows)[10].encode()
+    wide = [(None, 0.0, 1e9)]
+    assert Q.judge(good[:8_000], packer, wide)[6:8] == (2, 0)
+    tail = Q.judge(good[: 2 * Q.CHUNK] + b"same again " * 360, packer, wide)
+    assert tail[6:8] == (3, 1) and not tail[-2] and not tail[-1]
+    third = Q.judge(good[: 10 * Q.CHUNK] + b"same again " * 1_862, packer, wide)
+    assert third[7] > 2 and not third[-2] and not third[-1]
+
+
 def test_filter_keeps_columns_and_empty_tables(odd_docs, no_docs):
     kept = Q.quality_filter(odd_docs)
     assert kept.columns == odd_docs.columns

@@ -13,7 +13,9 @@ from codeprep.llm import (
     jaccard_join,
     mixing,
     pieces,
+    prefix_trie,
     quality_rules,
+    simhash,
     substring_dedup,
     token_counts,
     token_output,
@@ -74,6 +76,14 @@ def op10_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_output.training_order(table(spark, folder, "documents"))
 
 
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, folder, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_substring_dedup,
         op10_token_output,
+        op11_simhash,
+        op12_prefix_trie,
     )
 }
 
@@ -133,4 +145,47 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
           sha256(coalesce(words, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (r)""",
+    "op12_prefix_trie": """
+        WITH t AS (
+          SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id
+            ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS r
+          FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+                FROM conversations WHERE conv_id IS NOT NULL)),
+        c AS (
+          SELECT conv_id, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(
+              flatten([[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]
+                       FOR x IN string_split(conv_id::VARCHAR, '')]),
+              lambda s, b: CASE WHEN b >= 0 THEN xor(s, b)
+                ELSE xor(s >> 1, CASE WHEN s & 1 = 1 THEN 3988292384 ELSE 0 END) END,
+              4294967295::BIGINT)) % 9 AS h
+          FROM t GROUP BY conv_id),
+        b AS (
+          SELECT c.conv_id, 0 AS own, r, role, text FROM c JOIN t ON t.conv_id = c.base AND r <= h
+          UNION ALL
+          SELECT conv_id, 1, r, role, text FROM c JOIN t USING (conv_id) WHERE r > h),
+        d AS (
+          SELECT conv_id, strlen(text) AS size,
+            row_number() OVER (PARTITION BY conv_id ORDER BY own, r) AS depth,
+            string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY own, r) AS k
+          FROM b),
+        m AS (
+          SELECT conv_id, depth, size, k, left(k, -64) AS p FROM d
+          UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c),
+        ends AS (
+          SELECT depth, k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+          FROM m JOIN (SELECT conv_id, max(depth) AS depth FROM m GROUP BY conv_id)
+          USING (conv_id, depth) GROUP BY depth, k),
+        v AS (
+          SELECT depth, k, p, min(conv_id) AS conv_id, count(*) AS n_convs,
+            (count(*) - 1) * any_value(size) AS saved FROM m GROUP BY depth, k, p),
+        kids AS (SELECT p AS k, count(*) AS n FROM v WHERE depth > 0 GROUP BY p),
+        below AS (
+          SELECT m.depth, m.k, sum(saved) AS saved, sum((n IS NULL)::INT) AS leaves
+          FROM (SELECT v.*, n FROM v LEFT JOIN kids USING (k)) AS x
+          JOIN m ON m.conv_id = x.conv_id AND m.depth <= x.depth GROUP BY m.depth, m.k)
+        SELECT v.conv_id, v.depth::BIGINT AS depth, above.conv_id AS parent_conv_id, v.n_convs,
+          coalesce(kids.n, 0) AS n_children, below.leaves::BIGINT AS n_leaves,
+          below.saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM v JOIN below USING (depth, k) LEFT JOIN kids USING (k) LEFT JOIN ends USING (depth, k)
+        LEFT JOIN v AS above ON above.k = v.p AND above.depth = v.depth - 1""",
 }

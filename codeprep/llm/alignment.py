@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from codeprep.llm.tokenizer import PATTERN
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+LONG_BLANK = 50_000
+BLANK_RUN = re.compile(rf"\s{{{LONG_BLANK}}}")
 LANE = 8  # values that gallop from the place of the first of them
 BYTES_AT_ONCE = 1 << 20  # texts are aligned together up to this size; a longer one is alone
 BLOCK_PAIRS = 1 << 21  # pairs of documents and ids in a block: 12 bytes each
@@ -64,10 +67,9 @@ def gallop(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return low, long[low] == short
 
 
-def byte_level_ranks(path: str) -> dict[bytes, int]:
+def byte_level_ranks(vocabulary_file: str) -> dict[bytes, int]:
     """Tokens as bytes with their ids; a vocabulary whose ids do not follow its merges is refused."""
-    with open(path, encoding="utf-8") as file:
-        model = json.load(file)
+    model = json.loads(vocabulary_file)
     special = {t["id"] for t in model["added_tokens"]}
     vocabulary, merges = model["model"]["vocab"], model["model"]["merges"]
     # Printable bytes stand for themselves, the others for characters from 256 on.
@@ -77,16 +79,18 @@ def byte_level_ranks(path: str) -> dict[bytes, int]:
     parts = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
     made = [vocabulary["".join(p)] for p in parts]
     if made != sorted(made):
-        raise ValueError(f"the ids in {path} are not in the order of the merges")
+        raise ValueError("the ids of the vocabulary are not in the order of its merges")
     return {bytes(value[c] for c in t): i for t, i in vocabulary.items() if i not in special}
 
 
 class Tokenizers:
     """Both tokenizers, and their tokens as bytes; made once in each task."""
 
-    def __init__(self, ranks: dict[bytes, int], pieces: bytes):
+    def __init__(self, vocabulary_file: str, pieces: bytes):
         import sentencepiece
 
+        ranks = byte_level_ranks(vocabulary_file)
+        self.vocabulary_file = vocabulary_file
         self.a = tiktoken.Encoding(
             "ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
@@ -106,6 +110,16 @@ class Tokenizers:
         self.n_b, self.n_shown = len(self.b_bytes), n
         self.shown = [b"%d%s" % (i, sign) for sign in (b",", b"|", b";") for i in range(n)]
 
+    def a_ids(self, text: str) -> list[int]:
+        """Ids of the byte-level vocabulary; the faster library gives up on very long blank runs."""
+        if len(text) < LONG_BLANK or not BLANK_RUN.search(text):
+            return self.a.encode_ordinary(text)
+        from tokenizers import Tokenizer
+
+        slow = Tokenizer.from_str(self.vocabulary_file)
+        slow.encode_special_tokens = True
+        return slow.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def encode(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of each text by both; none where either does not give the bytes back."""
         a, b = [], []
@@ -117,7 +131,7 @@ class Tokenizers:
             whole = b" " + text
             if not text or b"".join(map(self.b_bytes.__getitem__, ids)) != whole:
                 continue
-            other = self.a.encode_ordinary(" " + string)
+            other = self.a_ids(" " + string)
             if b"".join(map(self.a_bytes.__getitem__, other)) == whole:
                 a[-1], b[-1] = np.array(other, np.int64), np.array(ids, np.int64)
         return a, b
@@ -255,7 +269,9 @@ def tokenized(
     docs: DataFrame, ident: str, text: str, a_path: str, b_path: str
 ) -> DataFrame:
     """The staged blocks: rows of documents (``docs`` null) and rows of pairs (``pairs`` not null)."""
-    ranks = byte_level_ranks(a_path)
+    with open(a_path, encoding="utf-8") as file:
+        vocabulary_file = file.read()
+    byte_level_ranks(vocabulary_file)
     with open(b_path, "rb") as file:
         pieces = file.read()
     given = docs.select(F.col(ident).alias("ident"), F.col(text).cast("binary").alias("body"))
@@ -277,7 +293,7 @@ def tokenized(
     kept = pa.schema([schema.field(n) for n in names])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = Tokenizers(ranks, pieces)
+        tok = Tokenizers(vocabulary_file, pieces)
         block = Block(first_block())
         for batch in batches:
             for start, lot in steps(batch.column("body")):

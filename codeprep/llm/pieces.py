@@ -1,9 +1,11 @@
-"""SentencePiece encoding over a piece table, and decoding.
-
-A text is cut into words at places that no piece crosses. The distinct words of a batch form
-a lattice, kept as tables (numpy arrays): every substring up to the longest piece is a row,
-an equi-join with the piece table turns rows into edges, edges are grouped by word and end,
-and a Viterbi fold over the ends keeps the best path of all words at once.
+"""SentencePiece encoding by a relational lattice over distinct words, and decoding.
+
+A text is cut into words at places that no piece crosses, so a word has the same pieces
+wherever it stands. The distinct words of all texts form the lattice: every substring up to
+the longest piece is a row, an equi-join with the piece table keeps those that are pieces,
+the edges are grouped by word, and a fold over the ends of each word keeps the best path to
+each. Blocks of documents hold words as places in a list of their own, and get the pieces of
+that list back (``block_values``).
 """
 
 from __future__ import annotations
@@ -14,18 +16,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from codeprep.llm.grams import STEP, mix, pair
+from codeprep.llm.block_values import first_block, with_values
+from codeprep.llm.stage import stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Fixed value: how far below the lowest piece an unknown character scores.
 UNKNOWN_PENALTY = 10.0
-WORDS_AT_ONCE = 20_000
-REMEMBERED = 500_000
-FILTER_BITS = 21
+LONG = 64  # longer words are cut wherever no piece holds the two characters side by side
+LATTICE = 256  # words still longer than this are folded one by one, without a lattice table
+BLOCK_WORDS = 400_000  # distinct words of a block
+BLOCK_CHARS = 8_000_000  # and their characters
+BLOCK_SPOTS = 1 << 22  # and words in all, 4 bytes each
 
 
 @dataclass
@@ -57,6 +65,14 @@ class PieceTable:
             model.unk_id(),
         )
 
+    @property
+    def longest(self) -> int:
+        return max(map(len, self.pieces), default=1)
+
+    @property
+    def unknown_score(self) -> float:
+        return float(self.scores[self.scores > -1e8].min(initial=0.0) - UNKNOWN_PENALTY)
+
     def word_pattern(self) -> re.Pattern:
         """Words of an escaped text. No piece of the table may cross the end of one."""
         inner = re.compile(rf"[^{SPACE}]{SPACE}|.\n|\n.", re.S)
@@ -67,176 +83,330 @@ class PieceTable:
             return re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         return re.compile(rf"{SPACE}*[^\W\d_]++(?=[.,])|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
+    def neighbours(self) -> np.ndarray:
+        """Every two characters that stand side by side in some piece, as sorted numbers."""
+        found = {ord(a) << 21 | ord(b) for p in self.pieces for a, b in zip(p, p[1:])}
+        return np.array(sorted(found), np.int64)
+
 
 def escaped(text: str) -> str:
     """The text as pieces see it: blanks are marked, and one is put in front."""
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-class Lattice:
-    """Best paths of many words over one piece table."""
+class Cutter:
+    """Texts to words."""
 
     def __init__(self, table: PieceTable):
-        self.table = table
-        self.longest = max(map(len, table.pieces), default=1)
-        self.unknown = table.scores[table.scores > -1e8].min(initial=0.0) - UNKNOWN_PENALTY
-        hashes = np.empty(len(table.pieces), np.uint64)
-        by_size: dict[int, list[int]] = {}
-        for i, p in enumerate(table.pieces):
-            by_size.setdefault(len(p), []).append(i)
-        for size, rows in by_size.items():
-            points = np.frombuffer(
-                "".join(table.pieces[i] for i in rows).encode("utf-32-le"), np.uint32
-            ).reshape(-1, size)
-            hashes[rows] = self.extend(points.astype(np.uint64).T)
-        order = np.argsort(hashes)
-        self.hashes, self.rows = hashes[order], order
-        self.may_hit = np.zeros(1 << FILTER_BITS, bool)
-        self.may_hit[hashes >> np.uint64(64 - FILTER_BITS)] = True
-
-    @staticmethod
-    def extend(points: np.ndarray) -> np.ndarray:
-        """Hashes of equally long strings, given as one row per character."""
-        h = mix(points[0] * STEP)
-        for row in points[1:]:
-            h = pair(h, mix(row * STEP))
-        return h
-
-    def join(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of ``hashes`` that are pieces, and which."""
-        maybe = np.flatnonzero(self.may_hit[hashes >> np.uint64(64 - FILTER_BITS)])
-        found = np.searchsorted(self.hashes, hashes[maybe])
-        found[found == len(self.hashes)] = 0
-        hit = self.hashes[found] == hashes[maybe]
-        return maybe[hit], self.rows[found[hit]]
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each (non-empty) word as int32 bytes."""
-        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
-        sizes = np.array([len(words[i]) for i in order])
-        text = "".join(words[i] for i in order)
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        offset = np.arange(len(points)) - np.repeat(starts, sizes)  # place in the word
-        # Substrings (rows) and their join with the pieces: score and id by length and end.
-        depth = min(self.longest, int(sizes[0]))
-        score = np.full((depth, len(points)), -np.inf)
-        piece = np.zeros((depth, len(points)), np.int32)
-        single = mix(points.astype(np.uint64) * STEP)
-        h = single
-        for size in range(1, depth + 1):
-            if size > 1:
-                h = pair(h[:-1], single[size - 1 :])
-            ends = np.flatnonzero(offset[size - 1 :] >= size - 1)
-            at, which = self.join(h[ends])
-            score[size - 1, ends[at] + size - 1] = self.table.scores[which]
-            piece[size - 1, ends[at] + size - 1] = self.table.ids[which]
-        missing = np.isneginf(score[0])
-        score[0, missing] = self.unknown
-        piece[0, missing] = -1
-        # Fold over the ends: words are sorted by length, so those still open come first.
-        best = np.zeros(len(points))
-        step = np.zeros(len(points), np.int32)
-        counts = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
-        for end, open_ in enumerate(counts.tolist()):
-            here = starts[:open_] + end
-            top = np.full(open_, -np.inf)
-            pick = np.zeros(open_, np.int32)
-            # Longer pieces first: of equal paths the one with the longer last piece stays.
-            for size in range(min(depth, end + 1), 0, -1):
-                value = score[size - 1, here]
-                if size <= end:
-                    value = value + best[here - size]
-                better = value > top
-                top[better] = value[better]
-                pick[better] = size
-            best[here] = top
-            step[here] = pick
-        # Walk back from all word ends together.
-        word, place = np.arange(len(sizes)), starts + sizes - 1
-        owners, ids, points_ = [], [], []
-        while len(word):
-            size = step[place]
-            owners.append(word)
-            ids.append(piece[size - 1, place])
-            points_.append(points[place])
-            place = place - size
-            going = place >= starts[word]
-            word, place = word[going], place[going]
-        owner = np.concatenate(owners[::-1])
-        flat, chars = np.concatenate(ids[::-1]), np.concatenate(points_[::-1])
-        by_word = np.argsort(owner, kind="stable")
-        flat, chars, owner = flat[by_word], chars[by_word], owner[by_word]
-        bounds = np.searchsorted(owner, np.arange(len(sizes) + 1))
-        data = flat.astype("<i4").tobytes()
-        out = [data[a * 4 : b * 4] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        for i in np.unique(owner[flat < 0]).tolist():
-            out[i] = self.fallback(flat[bounds[i] : bounds[i + 1]], chars[bounds[i] : bounds[i + 1]])
-        result = [b""] * len(words)
-        for i, ids_ in zip(order, out):
-            result[i] = ids_
-        return result
-
-    def fallback(self, ids: np.ndarray, points: np.ndarray) -> bytes:
-        """Characters without a piece as the pieces of their bytes."""
-        found: list[int] = []
-        for i, point in zip(ids.tolist(), points.tolist()):
-            if i >= 0:
-                found.append(i)
-            else:
-                found.extend(self.table.byte_ids[b] for b in chr(point).encode("utf-8", "replace"))
-        return np.array(found, "<i4").tobytes()
-
-
-class Words(dict):
-    """Words already encoded in this task."""
-
-    def __init__(self, table: PieceTable):
-        super().__init__()
-        self.lattice = Lattice(table)
         self.pattern = table.word_pattern()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > REMEMBERED:
-            self.clear()
-        cut = [self.pattern.findall(escaped(t)) for t in texts]
-        new = list(dict.fromkeys(w for words in cut for w in words if w not in self))
-        for at in range(0, len(new), WORDS_AT_ONCE):
-            some = new[at : at + WORDS_AT_ONCE]
-            self.update(zip(some, self.lattice.encode(some)))
-        return [b"".join(map(self.__getitem__, words)) for words in cut]
+        self.neighbours = table.neighbours()
+
+    def words(self, text: str) -> list[str]:
+        found = self.pattern.findall(escaped(text))
+        if max(map(len, found), default=0) <= LONG:
+            return found
+        return [part for word in found for part in (self.cut(word) if len(word) > LONG else [word])]
+
+    def cut(self, word: str) -> list[str]:
+        """The parts of a long word between which no piece can lie."""
+        points = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64)
+        beside = points[:-1] << 21 | points[1:]
+        at = np.minimum(np.searchsorted(self.neighbours, beside), len(self.neighbours) - 1)
+        joined = self.neighbours[at] == beside if len(self.neighbours) else np.zeros(len(beside), bool)
+        bounds = [0, *(np.flatnonzero(~joined) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+class Spots(dict):
+    """Words to places in the order in which they are met, and their characters in all."""
+
+    chars = 0
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.chars += len(word)
+        return place
+
+
+class Block:
+    """Documents of one block and its distinct words, until it is full."""
+
+    def __init__(self, number: int):
+        self.number = number
+        self.spots = Spots()
+        self.docs: list[np.ndarray] = []
+        self.rows: list[pa.RecordBatch] = []
+        self.prints: list[bytes] = []
+        self.size = 0
+
+    def add(self, words: list[str]) -> bool:
+        """Take a document's words; true when the block is full."""
+        self.docs.append(np.fromiter(map(self.spots.__getitem__, words), np.int32, len(words)))
+        self.size += len(words) + 1
+        words_full = len(self.spots) >= BLOCK_WORDS or self.spots.chars >= BLOCK_CHARS
+        return words_full or self.size >= BLOCK_SPOTS
+
+    def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """Rows of documents, with packed places of their words, and rows of the words.
+
+        Frequent words get low places, which pack well.
+        """
+        if not self.docs:
+            return
+        often = np.bincount(np.concatenate(self.docs), minlength=len(self.spots))
+        order = np.argsort(-often, kind="stable")
+        place = np.empty(len(order), "<i4")
+        place[order] = np.arange(len(order))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        done = 0
+        for rows in self.rows:
+            n = rows.num_rows
+            docs = self.docs[done : done + n]
+            columns = {
+                "row": rows.column("row"),
+                "block": pa.array([self.number] * n, pa.int64()),
+                "words": pa.array([pack(place[d].tobytes()) for d in docs], pa.binary()),
+                "print": pa.array(self.prints[done : done + n], pa.binary()),
+            }
+            done += n
+            yield padded(columns, schema)
+        words = list(self.spots)
+        for at in range(0, len(words), 20_000):
+            some = [words[i] for i in order[at : at + 20_000].tolist()]
+            columns = {
+                "block": pa.array([self.number], pa.int64()),
+                "base": pa.array([at], pa.int32()),
+                "list": pa.array([some], pa.list_(pa.string())),
+            }
+            yield padded(columns, schema)
+
+
+def padded(columns: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of ``schema`` whose other columns are null."""
+    n = len(next(iter(columns.values())))
+    arrays = [columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def cut_texts(rows: DataFrame, table: PieceTable) -> DataFrame:
+    """Staged blocks of (row, body): rows of documents (``words`` not null) and of words (``list``).
+
+    ``print`` is a 128-bit hash of the text's bytes. Bytes that are no UTF-8 become U+FFFD.
+    """
+    kind = rows.select(
+        "row",
+        F.lit(0).cast("long").alias("block"),
+        F.lit(b"").alias("words"),
+        F.lit(b"").alias("print"),
+        F.lit(0).alias("base"),
+        F.array(F.lit("")).alias("list"),
+    ).schema
+    for field in kind:
+        field.nullable = True
+    schema = to_arrow_schema(kind)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, block = Cutter(table), Block(first_block())
+        for batch in batches:
+            start = 0
+            bodies = batch.column("body")
+            for i in range(batch.num_rows):
+                body = bodies[i].as_py() or b""
+                full = block.add(cutter.words(body.decode("utf-8", "replace")))
+                block.prints.append(xxhash.xxh3_128_digest(body))
+                if full or i + 1 == batch.num_rows or i + 1 - start == 1_000:
+                    block.rows.append(batch.slice(start, i + 1 - start))
+                    start = i + 1
+                if full:
+                    yield from block.batches(schema)
+                    block = Block(block.number + 1)
+        yield from block.batches(schema)
+
+    return stage(rows.mapInArrow(scan, kind), "word-blocks")
+
+
+def piece_rows(words: DataFrame, table: PieceTable) -> DataFrame:
+    """(piece, id, score): one row per piece, so its size is that of the vocabulary."""
+    rows = list(zip(table.pieces, table.ids.tolist(), table.scores.tolist()))
+    return words.sparkSession.createDataFrame(rows, "piece string, id int, score double")
+
+
+def edges(words: DataFrame, table: PieceTable) -> DataFrame:
+    """(word, end, size, score, ids): the substrings of each word that are pieces.
+
+    A character without a piece is an edge too, with the pieces of its bytes.
+    """
+    starts = words.select("word", F.explode(F.expr("sequence(1, length(word))")).alias("start"))
+    most = F.least(F.lit(table.longest), F.expr("length(word) - start + 1"))
+    spans = starts.select("word", "start", F.explode(F.sequence(F.lit(1), most)).alias("size"))
+    spans = spans.select(
+        "word",
+        (F.col("start") + F.col("size") - 1).alias("end"),
+        "size",
+        F.expr("substring(word, start, size)").alias("piece"),
+    )
+    found = spans.join(F.broadcast(piece_rows(words, table)), "piece", "left")
+    found = found.filter("id IS NOT NULL OR size = 1")
+    of_byte = F.array(*[F.lit(int(i)) for i in table.byte_ids])
+    code = lambda k: F.conv(F.substring(F.hex("piece"), 2 * k - 1, F.lit(2)), 16, 10).cast("int")
+    fallback = F.transform(
+        F.sequence(F.lit(1), F.octet_length("piece")), lambda k: F.get(of_byte, code(k))
+    )
+    return found.select(
+        "word",
+        "end",
+        "size",
+        F.coalesce("score", F.lit(table.unknown_score)).alias("score"),
+        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fallback).alias("ids"),
+    )
 
 
-def encoded(text: Column, table: PieceTable) -> Column:
-    """Piece ids of a text: the path with the highest sum of scores.
+def best_paths(lattice: DataFrame) -> DataFrame:
+    """(word, ids): the path with the highest sum of scores; of equal ones that whose last
+    piece is longer, at every end. Entry i of the fold is the best path to the end i."""
+    grouped = lattice.groupBy("word").agg(
+        F.collect_list(F.struct("end", "size", "score", "ids")).alias("edges")
+    )
+    paths = F.expr(
+        """
+        aggregate(
+          sequence(1, length(word)),
+          array(named_struct('score', 0D, 'size', 0, 'ids', cast(array() AS array<int>))),
+          (best, i) -> array_append(best, array_max(transform(
+            filter(edges, e -> e.end = i),
+            e -> named_struct(
+              'score', get(best, i - e.size).score + e.score,
+              'size', e.size,
+              'ids', concat(get(best, i - e.size).ids, e.ids))))),
+          best -> element_at(best, -1).ids)
+        """
+    )
+    return grouped.select("word", paths.alias("ids"))
+
+
+def folded(words: Column, table: PieceTable) -> Column:
+    """The same path for very long words, kept as steps back, one word at a time."""
+    known = dict(zip(table.pieces, zip(table.ids.tolist(), table.scores.tolist())))
+    longest, unknown, byte_ids = table.longest, table.unknown_score, table.byte_ids.tolist()
+
+    def path(word: str) -> list[int]:
+        best, steps = [0.0], [0]
+        for end in range(1, len(word) + 1):
+            top, step = -np.inf, 1
+            for size in range(min(longest, end), 0, -1):
+                piece = known.get(word[end - size : end])
+                if piece or size == 1:
+                    score = best[end - size] + (piece[1] if piece else unknown)
+                    if score > top:
+                        top, step = score, size
+            best.append(top)
+            steps.append(step)
+        out, end = [], len(word)
+        while end:
+            piece = word[end - steps[end] : end]
+            out.append([known[piece][0]] if piece in known else [byte_ids[b] for b in piece.encode()])
+            end -= steps[end]
+        return [i for ids in reversed(out) for i in ids]
 
-    Of paths with equal sums the one whose last pieces are longer is taken. Characters
-    without a piece become byte pieces. Null and empty texts have no pieces.
-    """
+    @F.arrow_udf("array<int>")
+    def fold(batch: pa.Array) -> pa.Array:
+        return pa.array([path(w.as_py()) for w in batch], pa.list_(pa.int32()))
+
+    return fold(words)
+
+
+def word_pieces(words: DataFrame, table: PieceTable) -> DataFrame:
+    """(word, ids) of distinct words: by the lattice, very long ones by a fold of their own."""
+    short = best_paths(edges(words.filter(F.length("word") <= LATTICE), table))
+    long = words.filter(F.length("word") > LATTICE)
+    return short.unionByName(long.select("word", folded(F.col("word"), table).alias("ids")))
+
+
+def packed_values(values: DataFrame) -> DataFrame:
+    """(block, spot, ids) as few rows per block and task: places, sizes and ids, packed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            blocks = batch.column("block").to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(blocks) else []
+            rows = []
+            for a, b in zip(starts, [*starts[1:], len(blocks)]):
+                part = batch.slice(a, b - a)
+                ids = part.column("ids")
+                sizes = ids.value_lengths().to_numpy(zero_copy_only=False)
+                columns = (part.column("spot").to_numpy(zero_copy_only=False), sizes, ids.flatten().to_numpy())
+                rows.append((int(blocks[a]), 0, *(squeeze(c.astype("<i4").tobytes()) for c in columns)))
+            names = ["block", "spot", "spots", "sizes", "ids"]
+            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3]
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    ordered = values.sortWithinPartitions("block", "spot").select("block", "spot", "ids")
+    return ordered.mapInArrow(pack, "block bigint, spot int, spots binary, sizes binary, ids binary")
+
+
+class Pieces:
+    """The pieces of a block's words, as one array and where each word's begin."""
+
+    def __init__(self, values: pa.RecordBatch):
+        open_ = zstandard.ZstdDecompressor().decompress
+        spots, sizes, ids = (
+            np.concatenate([np.frombuffer(open_(v), "<i4") for v in values.column(c).to_pylist()])
+            for c in ("spots", "sizes", "ids")
+        )
+        self.sizes = np.zeros(len(spots), np.int64)
+        self.sizes[spots] = sizes
+        self.starts = np.zeros(len(spots), np.int64)
+        self.starts[spots] = np.cumsum(sizes) - sizes
+        self.ids = ids
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[words]
+        shift = self.starts[words] - np.cumsum(sizes) + sizes
+        return self.ids[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
+
+
+def encoded_rows(rows: DataFrame, table: PieceTable) -> DataFrame:
+    """(row, ids, same) of (row, body): piece ids, and whether decoding gives the text back."""
+    blocks = cut_texts(rows, table)
+    words = blocks.filter("list IS NOT NULL").select(
+        "block", "base", F.posexplode("list").alias("at", "word")
+    )
+    words = words.select("block", (F.col("base") + F.col("at")).alias("spot"), "word")
+    known = stage(word_pieces(words.select("word").distinct(), table), "word-pieces")
+    values = stage(packed_values(words.join(known, "word").select("block", "spot", "ids")), "values")
+    docs = blocks.filter("words IS NOT NULL").select("block", "row", "words", "print")
+    known_bodies = body_of(table)
+    bodies = [known_bodies.get(i, b"\xef\xbf\xbd") for i in range(max(known_bodies, default=0) + 1)]
+    mark = SPACE.encode()
+    held: list = [None, None]
+
+    def use(values: pa.RecordBatch | None, part: pa.RecordBatch) -> pa.RecordBatch:
+        open_ = zstandard.ZstdDecompressor().decompress
+        if values is not held[0]:
+            held[:] = values, Pieces(values)
+        found, same = [], []
+        for words, hashed in zip(part.column("words").to_pylist(), part.column("print").to_pylist()):
+            places = np.frombuffer(open_(words), "<i4")
+            ids = held[1].of(places) if len(places) else np.empty(0, np.int32)
+            text = b"".join(map(bodies.__getitem__, ids.tolist())).replace(mark, b" ")[1:]
+            found.append(ids)
+            same.append(xxhash.xxh3_128_digest(text) == hashed)
+        bounds = np.cumsum([0, *map(len, found)])
+        lists = pa.ListArray.from_arrays(
+            pa.array(bounds, pa.int32()), pa.array(np.concatenate(found).astype(np.int32))
+        )
+        return pa.RecordBatch.from_arrays([part.column("row"), lists, pa.array(same)], ["row", "ids", "same"])
 
-    def encode_batch(texts: pa.Array, words: Words) -> pa.Array:
-        found: list[bytes] = []
-        group: list[str] = []
-        size = 0
-        for t in texts:  # a few MB of text at a time
-            value = t.as_py() or ""
-            group.append(value)
-            size += len(value)
-            if size > 4_000_000:
-                found += words.encode(group)
-                group, size = [], 0
-        found += words.encode(group)
-        bounds = np.cumsum([0, *map(len, found)]) // 4
-        flat = np.frombuffer(b"".join(found), "<i4")
-        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
+    kind = rows.select("row", F.array(F.lit(0)).alias("ids"), F.lit(True).alias("same")).schema
+    return with_values(docs, values, use, kind)
 
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = Words(table)
-        for texts in batches:
-            yield encode_batch(texts, words)
 
-    return encode(text)
+def body_of(table: PieceTable) -> dict[int, bytes]:
+    """The bytes that each id stands for."""
+    body = {int(i): p.encode() for i, p in zip(table.ids, table.pieces)}
+    return body | {int(i): bytes([b]) for b, i in enumerate(table.byte_ids) if i != table.unknown_id}
 
 
 def decoded(ids: Column, table: PieceTable) -> Column:
@@ -244,8 +414,7 @@ def decoded(ids: Column, table: PieceTable) -> Column:
 
     Null ids give null; ids outside the table and parts that are no UTF-8 give U+FFFD.
     """
-    body = {int(i): p.encode() for i, p in zip(table.ids, table.pieces)}
-    body |= {int(i): bytes([b]) for b, i in enumerate(table.byte_ids) if i != table.unknown_id}
+    body = body_of(table)
 
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
@@ -263,8 +432,13 @@ def decoded(ids: Column, table: PieceTable) -> Column:
 
 
 def with_pieces(docs: DataFrame, out: str, text: str = "text", path: str = MODEL) -> DataFrame:
-    """``docs`` with the piece ids of ``text`` in a new column; rows are handled alone."""
-    return docs.withColumn(out, encoded(F.col(text), PieceTable.read(path)))
+    """``docs`` with the piece ids of ``text`` in a new column; every row stays as it is.
+
+    Null and empty texts have no pieces. Bytes that are no UTF-8 count as U+FFFD.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).cast("binary").alias("body"))
+    found = encoded_rows(rows, PieceTable.read(path))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("ids").alias(out))
 
 
 def round_trip(
@@ -272,16 +446,14 @@ def round_trip(
 ) -> DataFrame:
     """id, ids, n_pieces and whether decoding gives the text back (null counts as empty).
 
-    It does for every text without U+2581, which stands for a blank. Repeated rows get
-    equal pieces; an empty table gives an empty result; other columns are not looked at.
+    It does for every text in UTF-8 without U+2581, which stands for a blank. Repeated rows
+    get equal pieces; an empty table gives an empty result; other columns are not looked at.
     """
-    table = PieceTable.read(path)
-    found = docs.select(
-        F.col(ident), F.coalesce(F.col(text), F.lit("")).alias("_text")
-    ).withColumn("ids", encoded(F.col("_text"), table))
+    rows = docs.select(F.struct(F.col(ident).alias("id")).alias("row"), F.col(text).cast("binary").alias("body"))
+    found = encoded_rows(rows, PieceTable.read(path))
     return found.select(
-        ident,
+        F.col("row.id").alias(ident),
         "ids",
         F.size("ids").cast("long").alias("n_pieces"),
-        (decoded(F.col("ids"), table) == F.col("_text")).alias("round_trip"),
+        F.col("same").alias("round_trip"),
     )

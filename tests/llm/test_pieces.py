@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,13 +47,47 @@ TEXTS = [
 ]
 
 
-def test_lattice_equals_one_text_at_a_time(table):
-    words = P.Words(table)
-    found = words.encode(TEXTS)
-    import numpy as np
+def pieces_of(spark, texts, table):
+    """Piece ids of each text, through the whole operator."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    rows = rows.select(F.struct("i").alias("row"), F.col("text").cast("binary").alias("body"))
+    found = {r.row.i: r.ids for r in P.encoded_rows(rows, table).collect()}
+    return [found[i] for i in range(len(texts))]
+
+
+def test_lattice_equals_one_text_at_a_time(spark, table, monkeypatch):
+    expected = [best_path(t, table) for t in TEXTS]
+    assert pieces_of(spark, TEXTS, table) == expected
+    # The same in small blocks, and with all but short words folded one by one.
+    monkeypatch.setattr(P, "BLOCK_WORDS", 20)
+    monkeypatch.setattr(P, "LATTICE", 4)
+    assert pieces_of(spark, TEXTS, table) == expected
+
+
+def test_lattice_shuffles_no_edges(spark, table, plan):
+    words = spark.createDataFrame([("ab",)], "word string").distinct()
+    text = plan(P.best_paths(P.edges(words, table)))
+    exchanges = [line for line in text.split("*** Final")[0].splitlines() if "Exchange hash" in line]
+    assert "BroadcastHashJoin" in text and len(set(exchanges)) <= 2
+
+
+def test_long_unbroken_texts(spark, table):
+    draw = random.Random(5)
+    base64 = "".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(200_000))
+    cjk = "".join(chr(draw.randrange(0x4E00, 0x9FA5)) for _ in range(200_000))
+    texts = ["x" * 200_000, base64, cjk, "x" * 700 + base64[:900] + cjk[:300]]
+    found = pieces_of(spark, texts, table)
+    assert found[3] == best_path(texts[3], table)
+    body = P.body_of(table)
+    for text, ids in zip(texts, found):
+        assert b"".join(body[i] for i in ids).decode() == P.escaped(text)
+
 
-    for text, data in zip(TEXTS, found):
-        assert np.frombuffer(data, "<i4").tolist() == best_path(text, table)
+def test_bytes_that_are_no_utf8(spark):
+    docs = spark.sql("SELECT 1L doc_id, CAST(X'61FF62' AS STRING) text")
+    row = P.round_trip(docs).first()
+    assert row.round_trip is False and row.n_pieces == len(row.ids) > 0
+    assert P.with_pieces(docs, "ids").count() == 1
 
 
 def test_words_are_cut_where_no_piece_crosses(table):
@@ -83,10 +119,9 @@ def test_decoding_equals_the_library(spark, table):
     assert found[99] is None and set(found[100]) == {"�"}
 
 
-def test_a_table_whose_pieces_cross_words(table):
+def test_a_table_whose_pieces_cross_words(spark, table):
     import numpy as np
 
     own = P.PieceTable(["▁", "a", "b", "a▁b", "▁a"], np.arange(5, dtype=np.int32),
                        np.array([-1.0, -1.0, -1.0, -0.5, -3.0]), table.byte_ids, 0)
-    data = P.Words(own).encode(["a b"])[0]
-    assert np.frombuffer(data, "<i4").tolist() == [0, 3]
+    assert pieces_of(spark, ["a b"], own) == [[0, 3]]

@@ -12,20 +12,25 @@ import zstandard
 # Odd multipliers of the 64-bit mixing steps.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = np.uint64(0xBF58476D1CE4E5B9)
-# A task remembers the hashes of this many words before it starts anew.
-REMEMBERED = 1_000_000
+# A task remembers words until they take so many bytes, with what each costs besides its own.
+REMEMBERED = 24_000_000
+ENTRY = 190
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash; each word is hashed once."""
+    """Word to 64-bit hash; a word is hashed once while it is remembered."""
+
+    size = 0
 
     def __missing__(self, word: bytes) -> int:
+        self.size += ENTRY + len(word)
+        if self.size > REMEMBERED:
+            self.clear()
+            self.size = 0
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > REMEMBERED:
-            self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

@@ -36,6 +36,7 @@ GROWTH = 1.6  # sizes of one class of set sizes differ by this factor at most
 COUNTED_FRAGMENTS = 4
 FRAGMENT_BITS = 2
 PAIRS_PER_TASK = 500
+REMEMBERED_CLASSES = 100_000  # a class met again after so many others is only given out twice
 FEW = 8  # documents that meet on a key and are all compared with each other
 
 
@@ -188,6 +189,8 @@ def class_texts(docs: DataFrame, text: str, size: int, wanted: DataFrame) -> Dat
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
+            if len(seen) > REMEMBERED_CLASSES:
+                seen.clear()
             classes, bodies = [], []
             for t in batch.column(0):
                 data = t.as_py() or b""

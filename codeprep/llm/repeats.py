@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from codeprep.llm.grams import mix
 
-# Rows that one task looks at together: 8 bytes a column, some 64 MB in all.
-FLUSH_ROWS = 1_000_000
+# Rows that one task looks at together: 8 bytes a column, some 40 MB with all copies.
+FLUSH_ROWS = 250_000
 
 
 def schema(extras: Sequence[str] = ()) -> str:

@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame
 
 from codeprep.staging import scratch_path
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Set while a table is written: shuffles behind it go when it is there, and Python workers
+# get texts in batches that stay small.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 
 
 def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -19,12 +24,14 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    before = {key: spark.conf.get(key) for key in WRITING}
     try:
+        for key, value in WRITING.items():
+            spark.conf.set(key, value)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

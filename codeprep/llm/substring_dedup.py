@@ -22,6 +22,7 @@ from codeprep.llm.repeats import Flusher, repeated, schema
 from codeprep.llm.stage import free_name, stage
 
 WINDOW = 35
+REMEMBERED_CLASSES = 100_000  # a class met again after so many others is only given out twice
 
 
 class Levels:
@@ -150,6 +151,8 @@ def class_texts(docs: DataFrame, text: str, window: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
+            if len(seen) > REMEMBERED_CLASSES:
+                seen.clear()
             classes, bodies = [], []
             for t in batch.column(0):
                 data = t.as_py() or b""
@@ -197,6 +200,7 @@ def full_windows(found: DataFrame, window: int) -> DataFrame:
                     full = out.add(keys.view(np.int64), np.full(len(places), cls), places)
                     if full:
                         yield from out.flush()
+                        seen.clear()
         yield from out.flush()
 
     return found.select("cls", "body", "marks").mapInArrow(scan, schema())
@@ -233,6 +237,8 @@ def cleaned_classes(found: DataFrame, window: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
+            if len(seen) > REMEMBERED_CLASSES:
+                seen.clear()
             classes, removed, shas = [], [], []
             for cls, body, starts in zip(*(batch.column(c) for c in ("cls", "body", "starts"))):
                 cls = cls.as_py()

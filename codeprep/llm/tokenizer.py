@@ -17,7 +17,9 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
-REMEMBERED = 500_000
+# A task remembers pre-tokens until they take so many bytes, with what each costs besides its own.
+REMEMBERED = 24_000_000
+ENTRY = 190
 
 
 def read_ranks(path: str = RANKS) -> dict[bytes, int]:
@@ -59,14 +61,18 @@ class Encoder:
 class _Known(dict):
     """Pre-tokens to their number of tokens."""
 
+    bytes_held = 0
+
     def __init__(self, encoding: tiktoken.Encoding):
         super().__init__()
         self.encoding = encoding
 
     def __missing__(self, piece: str) -> int:
+        self.bytes_held += ENTRY + 4 * len(piece)
         size = self[piece] = len(self.encoding.encode_ordinary(piece))
         return size
 
     def trim(self) -> None:
-        if len(self) > REMEMBERED:
+        if self.bytes_held > REMEMBERED:
             self.clear()
+            self.bytes_held = 0

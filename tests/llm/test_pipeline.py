@@ -61,7 +61,8 @@ def test_query_equals_sql(spark, rows, name):
     import duckdb
 
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for source in ("documents", "conversations", "pages"):
+        duck.execute(f"CREATE VIEW {source} AS SELECT * FROM '{FOLDER}/{source}.parquet'")
     result = duck.execute(Q.ORACLES[name])
     columns = [c[0] for c in result.description]
     assert rows(Q.QUERIES[name](spark, FOLDER), *columns) == sorted(result.fetchall(), key=repr)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeprep.llm.block_values import first_block, with_values
+from codeprep.llm.memory import releasing
 from codeprep.llm.stage import stage
 from codeprep.llm.tokenizer import PATTERN
 
@@ -292,6 +293,7 @@ def tokenized(
     schema = to_arrow_schema(kind)
     kept = pa.schema([schema.field(n) for n in names])
 
+    @releasing
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = Tokenizers(vocabulary_file, pieces)
         block = Block(first_block())

@@ -15,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeprep.llm.memory import releasing
+
 # A task numbers its blocks after its own number times this.
 BLOCKS_PER_TASK = 1 << 24
 
@@ -39,6 +41,7 @@ def with_values(
     docs = documents.withColumn("rank", F.lit(1)).withColumn("spot", F.lit(0))
     rows = docs.unionByName(values.withColumn("rank", F.lit(0)), allowMissingColumns=True)
 
+    @releasing
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, whole = None, [], None
         for batch in batches:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from codeprep.llm.components import components
 from codeprep.llm.grams import STEP, WordHashes, mix, packed, sequence_hash, unpacked, windows
+from codeprep.llm.memory import releasing
 from codeprep.llm.repeats import Flusher, repeated, schema
 from codeprep.llm.stage import free_name, stage
 
@@ -134,6 +135,7 @@ def sets(text: Column, size: int) -> Column:
         )
 
     @F.arrow_udf("struct<n:bigint,cls:bigint>")
+    @releasing
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes()
         for texts in batches:
@@ -149,6 +151,7 @@ def meetings(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     and then ``repeated`` gives it out from two partitions.
     """
 
+    @releasing
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, out, seen = WordHashes(), Flusher(), set()
         classes = SizeClasses(percent)
@@ -186,6 +189,7 @@ def different_lists(lists: DataFrame) -> DataFrame:
 def class_texts(docs: DataFrame, text: str, size: int, wanted: DataFrame) -> DataFrame:
     """(cls, body): the packed text of each wanted class once."""
 
+    @releasing
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
@@ -236,6 +240,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
         columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
         return pa.RecordBatch.from_arrays(columns, names)
 
+    @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
@@ -254,6 +259,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             if rows:
                 yield batch_of(rows)
 
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = ["hub", "cls", "n_hub", "n", "shared"]
         hub_grams, hub_n = np.empty(0, np.uint64), 0
@@ -311,6 +317,7 @@ def first_differences(stars: DataFrame, percent: int) -> DataFrame:
     (100 - t) * n_x / t. A document takes as many n-grams as leave fewer than that s out.
     """
 
+    @releasing
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, repeat = [], []

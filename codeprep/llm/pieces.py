@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeprep.llm.block_values import first_block, with_values
+from codeprep.llm.memory import releasing
 from codeprep.llm.stage import stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -31,9 +32,9 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 LONG = 64  # longer words are cut wherever no piece holds the two characters side by side
 LATTICE = 256  # words still longer than this are folded one by one, without a lattice table
-BLOCK_WORDS = 400_000  # distinct words of a block
-BLOCK_CHARS = 8_000_000  # and their characters
-BLOCK_SPOTS = 1 << 22  # and words in all, 4 bytes each
+BLOCK_WORDS = 200_000  # distinct words of a block
+BLOCK_CHARS = 4_000_000  # and their characters
+BLOCK_SPOTS = 1 << 21  # and words in all, 4 bytes each
 
 
 @dataclass
@@ -205,6 +206,7 @@ def cut_texts(rows: DataFrame, table: PieceTable) -> DataFrame:
         field.nullable = True
     schema = to_arrow_schema(kind)
 
+    @releasing
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, block = Cutter(table), Block(first_block())
         for batch in batches:

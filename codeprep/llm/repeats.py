@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeprep.llm.grams import mix
+from codeprep.llm.memory import releasing
 
 # Rows that one task looks at together: 8 bytes a column, some 40 MB with all copies.
 FLUSH_ROWS = 250_000
@@ -65,6 +66,7 @@ def repeated(rows: DataFrame, extras: Sequence[str] = ()) -> DataFrame:
     """Distinct (key, a, b, extras) whose key occurs with two or more different (a, b)."""
     names = ["key", "a", "b", *extras]
 
+    @releasing
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # last row: columns, whether it repeats, is out
         held_known = held_out = False

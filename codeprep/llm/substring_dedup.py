@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeprep.llm.grams import WordHashes, packed, pair, sequence_hash, unpacked, windows
+from codeprep.llm.memory import releasing
 from codeprep.llm.repeats import Flusher, repeated, schema
 from codeprep.llm.stage import free_name, stage
 
@@ -78,6 +79,7 @@ def sequence(text: Column) -> Column:
         )
 
     @F.arrow_udf(SEQUENCE)
+    @releasing
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes()
         for texts in batches:
@@ -93,6 +95,7 @@ def short_windows(texts: DataFrame, window: int) -> DataFrame:
     with the short one, 0 where the text has no room. ``texts`` has one binary column.
     """
 
+    @releasing
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, out, seen = WordHashes(), Flusher(["left", "right"]), set()
         for batch in batches:
@@ -128,6 +131,7 @@ def short_windows(texts: DataFrame, window: int) -> DataFrame:
 def half_windows(kept: DataFrame) -> DataFrame:
     """The windows of twice the length around kept short ones: (key, class, 2 * place + side)."""
 
+    @releasing
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Flusher()
         for batch in batches:
@@ -148,6 +152,7 @@ def half_windows(kept: DataFrame) -> DataFrame:
 def class_texts(docs: DataFrame, text: str, window: int) -> DataFrame:
     """(cls, body): packed texts of at least ``window`` words, each class once per task."""
 
+    @releasing
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
@@ -177,6 +182,7 @@ def full_windows(found: DataFrame, window: int) -> DataFrame:
     ``found`` has cls, body and marks (2 * place + side of the kept half windows).
     """
 
+    @releasing
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, out, seen = WordHashes(), Flusher(), set()
         for batch in batches:
@@ -234,6 +240,7 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 def cleaned_classes(found: DataFrame, window: int) -> DataFrame:
     """(cls, n_removed, sha) of the classes that lose words."""
 
+    @releasing
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:

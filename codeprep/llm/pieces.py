@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeprep.llm.block_values import first_block, with_values
 from codeprep.llm.memory import releasing
-from codeprep.llm.stage import stage
+from codeprep.llm.stage import small_batches, stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -402,6 +402,7 @@ def encoded_rows(rows: DataFrame, table: PieceTable) -> DataFrame:
         return pa.RecordBatch.from_arrays([part.column("row"), lists, pa.array(same)], ["row", "ids", "same"])
 
     kind = rows.select("row", F.array(F.lit(0)).alias("ids"), F.lit(True).alias("same")).schema
+    small_batches(rows.sparkSession)
     return with_values(docs, values, use, kind)
 
 

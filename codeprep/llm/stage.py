@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from codeprep.staging import scratch_path
 
@@ -35,6 +35,17 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands texts to Python in batches that stay small.
+
+    For operators whose last step hands whole rows to Python when the caller runs it; how
+    many rows a batch has changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > int(WRITING[key]):
+        spark.conf.set(key, WRITING[key])
+
+
 def free_name(wanted: str, taken: Iterable[str]) -> str:
     """``wanted``, lengthened until it is no column of the table, in any case."""
     names = {c.lower() for c in taken}

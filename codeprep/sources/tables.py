@@ -10,6 +10,7 @@ from codeprep.config import DatasetVersion, TableLayout, dataset_version
 from codeprep.operators.audit import require_unique
 from codeprep.schemas import RAW_TYPES
 from codeprep.sources.paths import exists, require, under
+from codeprep.sources.quoted_csv import PLACE, read_quoted
 from codeprep.staging import remove
 
 REJECTED = "_rejected"
@@ -47,24 +48,27 @@ def read_csv_table(spark: SparkSession, path: str, multiline: bool = False) -> D
 
     All fields are read as text and matched by header name, so no pass over the data
     guesses types and leading zeros survive. Only tables with line breaks inside quotes
-    need ``multiline``; Spark reads each such file in one task, so large ones should come
-    as many part files. The others are split freely. Numbers that are none become null;
-    ``ingest`` sets such rows aside.
+    need ``multiline``. Either way one large file is read by many tasks. Numbers that are
+    none become null; ``ingest`` sets such rows aside.
     """
     return typed(raw_csv_table(spark, path, multiline)).drop(REJECTED)
 
 
-def raw_csv_table(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
-    """All fields as text, with upper-case names."""
+def raw_csv_table(
+    spark: SparkSession, path: str, multiline: bool, placed: bool = False
+) -> DataFrame:
+    """All fields as text, with upper-case names.
+
+    With ``placed`` a table with line breaks has the columns ``quoted_csv.PLACE`` too.
+    """
     require(spark, path)
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", multiline)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
-    return upper_columns(raw)
+    options = {"quote": '"', "escape": '"'}
+    raw = spark.read.options(**options, header=True, multiLine=multiline).csv(path)
+    if not multiline:
+        return upper_columns(raw)
+    found = read_quoted(spark, path, raw.schema, options)
+    values = upper_columns(found.drop(*PLACE)).columns
+    return found.toDF(*PLACE, *values) if placed else found.drop(*PLACE).toDF(*values)
 
 
 def ingest(
@@ -84,17 +88,28 @@ def ingest(
     v = dataset_version(version)
     require(spark, raw_dir)
     for name, table in v.layout.items():
-        _ingest_one(spark, raw_dir, table_path(out_dir, v, name), name, table, overwrite)
+        _ingest_one(spark, raw_dir, table_path(out_dir, v, name), name, table, overwrite, v)
     return read_tables(spark, out_dir, v)
 
 
 def _ingest_one(
-    spark: SparkSession, raw_dir: str, target: str, name: str, table: TableLayout, overwrite: bool
+    spark: SparkSession,
+    raw_dir: str,
+    target: str,
+    name: str,
+    table: TableLayout,
+    overwrite: bool,
+    version: DatasetVersion,
 ) -> None:
     source = require(spark, under(raw_dir, table.path))
     if not overwrite and exists(spark, under(target, "_SUCCESS")):
         return
-    raw = raw_csv_table(spark, source, table.multiline)
+    raw = raw_csv_table(spark, source, table.multiline, placed=table.multiline)
+    if table.multiline:
+        # Notes without a key are numbered by their place, so they are written in that order.
+        keyed = version.note_key in raw.columns
+        ordered = raw if keyed else raw.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
+        raw = ordered.drop(*PLACE)
     df = typed(raw)
     if name == "PATIENTS":
         require_unique(df.filter(F.col(REJECTED).isNull()), ["SUBJECT_ID"], name)

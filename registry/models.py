@@ -35,12 +35,12 @@ def many_codes_model() -> ModelFn:
 
 
 def page_reader() -> Callable[[bytes], list[str | None]]:
-    """Reads files of a kind and a text in base64 as two pages; refuses the kind ``bad``."""
+    """Reads files of an id, a kind and a text in base64 as two pages; refuses the kind ``bad``."""
 
     def pages(data: bytes) -> list[str | None]:
         import base64
 
-        kind, _, body = data.decode().strip().partition(":")
+        _, kind, body = data.decode().strip().split(":")
         if kind == "bad":
             raise ValueError("cannot read this file")
         text = base64.b64decode(body).decode()

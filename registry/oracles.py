@@ -463,6 +463,16 @@ ORACLES: dict[str, str] = {
             FROM documents_of""",
         "documents_of",
     ),
+    "score_documents_resumed": sql(
+        f"""SELECT conv_id, page_count, '{MODEL_VERSION}' AS model_version, NULL::VARCHAR AS error,
+              'ICD-10:I10={DESCRIPTIONS["ICD-10:I10"]}|ICD-9:' || length({PROMPT} content)
+              || '=Description not available'
+              || '|ICD-10:E11.9={DESCRIPTIONS["ICD-10:E11.9"]}|'
+              || array_to_string(list_transform(range(7),
+                   lambda i: 'N-' || i || '=Description not available'), '|') AS predictions
+            FROM documents_of""",
+        "documents_of",
+    ),
     "csv_ingest_notes": sql("SELECT * FROM notes", "notes"),
     "csv_ingest_codes_iv": sql(
         "SELECT subject_id, hadm_id, seq_num, code AS icd_code FROM diagnoses", "diagnoses"
@@ -484,15 +494,16 @@ ORACLES: dict[str, str] = {
         "SELECT subject_id, gender, '?' AS replaced FROM patients", "patients"
     ),
     "documents_from_files": sql(
-        """SELECT doc_id,
-             CASE WHEN kind IS NULL AND n % 10 <> 0
+        """SELECT doc_id, CASE WHEN n % 10 <> 0
                THEN 'ICD-9:' || n || '|X-' || n % 7 || '|plain' END AS codes,
-             CASE WHEN kind IS NOT NULL OR n % 10 = 0 THEN 'PDF_PROCESSING_ERROR' END AS code,
-             CASE kind WHEN 'bad' THEN 'Could not process PDF: cannot read this file'
-               WHEN 'empty' THEN 'No text could be extracted from the PDF'
-               ELSE CASE WHEN n % 10 = 0 THEN 'cannot answer length ' || n END END AS reason
-           FROM (SELECT *, CASE doc_id % 100 WHEN 7 THEN 'bad' WHEN 8 THEN 'empty' END AS kind
-                 FROM asked)""",
+             CASE WHEN n % 10 = 0 THEN 'PDF_PROCESSING_ERROR' END AS code,
+             CASE WHEN n % 10 = 0 THEN 'cannot answer length ' || n END AS reason
+           FROM asked
+           UNION ALL
+           SELECT -1 - doc_id, NULL, 'PDF_PROCESSING_ERROR', CASE doc_id % 100
+             WHEN 7 THEN 'Could not process PDF: cannot read this file'
+             ELSE 'No text could be extracted from the PDF' END
+           FROM documents WHERE doc_id % 100 IN (7, 8)""",
         "asked",
     ),
 }

@@ -32,6 +32,7 @@ from codeprep.operators import (
 )
 from codeprep.plans import fact as fact_job
 from codeprep.plans import prepare as prepare_job
+from codeprep.plans import resume as resume_job
 from codeprep.plans import score as score_job
 from codeprep.plans import tokenise as tokenise_job
 from codeprep.sources import datasets, documents, facts, predictions, tables, token_tables
@@ -643,8 +644,21 @@ def score_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def score_documents_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """Scoring in parts that ends after half of them and is taken up again from its ledger."""
+    found = documents.concat_pages(pages(spark, folder), ["conv_id"])
+    args = (found, ["conv_id"], many_codes_model(), MODEL_VERSION, scratch_path(spark, "in-parts"))
+    resume_job.score_in_parts(*args, parts=6, most=3, descriptions=DESCRIPTIONS)
+    told = resume_job.score_in_parts(*args, parts=6, descriptions=DESCRIPTIONS)
+    columns = ["conv_id", "page_count", "model_version", "error"]
+    return told.select(*columns, records_text("predictions").alias("predictions"))
+
+
 # Files written and read back
 
+FILE_FOLDERS = 32
+
 
 def write_raw_csv(t: ClinicalTables, folder: str) -> None:
     """The clinical tables as the CSV files the version's layout names."""
@@ -751,38 +765,47 @@ def dataset_csv_load(spark: SparkSession, folder: str) -> DataFrame:
 def documents_from_files(spark: SparkSession, folder: str) -> DataFrame:
     """Texts as files, read as documents, scored, and written as responses and errors.
 
-    Every hundredth text lies in a file that its reader refuses, and every hundredth in one
-    without text.
+    Further files are ones that their reader refuses and ones without text, one of each for
+    every hundredth text. Files lie in a fixed number of folders, one record in each.
     """
     path, out = scratch_path(spark, "files"), scratch_path(spark, "scored")
-    kind = F.when(F.col("doc_id") % 100 == 7, "bad").when(F.col("doc_id") % 100 == 8, "empty")
-    texts = table(spark, folder, "documents").select(
-        F.col("doc_id").alias("name"),
-        F.coalesce(kind, F.lit("good")).alias("kind"),
-        F.base64(F.encode("text", "UTF-8")).alias("value"),
-    )
-    # Spark writes text files; one folder per document makes one file of each.
-    rows = texts.withColumn("value", F.concat_ws(":", "kind", "value")).drop("kind")
-    rows.repartition("name").write.partitionBy("name").text(path)
+    texts = table(spark, folder, "documents").select("doc_id", F.encode("text", "UTF-8").alias("body"))
+    nothing = F.lit(b"").alias("body")
+    further = [
+        texts.filter(F.col("doc_id") % 100 == rest).select((-1 - F.col("doc_id")).alias("doc_id"), nothing, F.lit(kind).alias("kind"))
+        for rest, kind in ((7, "bad"), (8, "empty"))
+    ]
+    rows = texts.withColumn("kind", F.lit("good")).unionByName(further[0]).unionByName(further[1])
+    rows = rows.select(
+        F.concat_ws(":", "doc_id", "kind", F.base64("body")).alias("value"),
+        F.pmod("doc_id", F.lit(FILE_FOLDERS)).alias("folder"),
+    )
+    files = rows.repartition("folder").write.partitionBy("folder")
+    files.option("maxRecordsPerFile", 1).text(path)
     found = documents.read_documents(spark, path, page_reader(), "part-*")
     score_job.score_to_json(found, ["path"], length_model(), MODEL_VERSION, out, TIMESTAMP)
-    name = F.regexp_extract("path", r"name=(\d+)", 1).cast("bigint").alias("doc_id")
+    file = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("file")
+    ids = spark.read.text(path).filter(F.contains("value", F.lit(":"))).select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1).alias("file"),
+        F.substring_index("value", ":", 1).cast("bigint").alias("doc_id"),
+    )
     good = spark.read.schema(
         "path string, predictions array<struct<code:string,description:string>>"
     ).json(f"{out}/responses")
     failed = spark.read.schema(
         "path string, error struct<code:string,details:struct<reason:string>>"
     ).json(f"{out}/errors")
-    return good.select(
-        name,
+    told = good.select(
+        file,
         lined(F.transform("predictions", lambda p: p["code"])).alias("codes"),
         F.lit(None).cast("string").alias("code"),
         F.lit(None).cast("string").alias("reason"),
     ).unionByName(
         failed.select(
-            name, F.lit(None).cast("string").alias("codes"), "error.code", "error.details.reason"
+            file, F.lit(None).cast("string").alias("codes"), "error.code", "error.details.reason"
         )
     )
+    return told.join(ids, "file").drop("file")
 
 
 @query

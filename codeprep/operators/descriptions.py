@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeprep.config import NO_DESCRIPTION
+from codeprep.staging import staged_rows
 
 
 def describe_codes(
@@ -20,15 +21,17 @@ def describe_codes(
     """Add ``{code, description}`` per entry, in the order of the list.
 
     One row per row of ``df``, whether or not ``keys`` are unique. The other columns travel
-    with the first entry only, so ``df`` is read once and not joined back. ``dictionary`` holds one row per code (``code``,
-    ``description``). It carries no broadcast hint: Spark broadcasts it when its size is
+    with the first entry only, so they are not joined back. ``df`` is written once to the scratch
+    folder and a row is known by its place there, which a task that runs again finds the same.
+    ``dictionary`` holds one row per code (``code``, ``description``). It carries no broadcast hint: Spark broadcasts it when its size is
     below the configured threshold and shuffles it otherwise, where adaptive execution
     splits a code that is very common.
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    entries = df.withColumn("_row", F.monotonically_increasing_id()).select(
+    entries = staged_rows(df, "undescribed").select(
         *keys,
+        "_file",
         "_row",
         F.struct(*rest).alias("_rest"),
         F.posexplode_outer(codes).alias("_at", "code"),
@@ -36,7 +39,7 @@ def describe_codes(
     first = F.coalesce(F.col("_at"), F.lit(0)) == 0
     entries = entries.withColumn("_rest", F.when(first, F.col("_rest")))
     # Rows without codes match nothing; a name of their own keeps them from one task.
-    own = F.concat(F.lit("\u0000"), F.col("_row").cast("string"))
+    own = F.concat(F.lit("\u0000"), "_file", F.lit(":"), F.col("_row").cast("string"))
     entries = entries.withColumn("_code", F.coalesce("code", own))
     told = dictionary.select(F.col("code").alias("_code"), "description")
     found = entries.join(told, "_code", "left")
@@ -48,7 +51,7 @@ def describe_codes(
         F.array_sort(F.collect_list(present)),
         lambda e: F.struct(e["code"].alias("code"), e["description"].alias("description")),
     )
-    gathered = found.groupBy(*keys, "_row").agg(
+    gathered = found.groupBy(*keys, "_file", "_row").agg(
         F.first("_rest", ignorenulls=True).alias("_rest"), records.alias(out)
     )
     return gathered.select(*keys, *[F.col(f"_rest.{c}").alias(c) for c in rest], out)

@@ -11,7 +11,7 @@ from codeprep.config import DEFAULT_MAX_LENGTH
 from codeprep.functions.text import clean_text, word_tokens
 from codeprep.operators.vocabulary import PAD_ID, UNKNOWN_ID, Vocabulary
 from codeprep.schemas import TOKENS
-from codeprep.staging import spread
+from codeprep.staging import spread, staged_rows
 
 TOKEN_COLUMNS = ("input_ids", "attention_mask", "labels")
 
@@ -42,17 +42,18 @@ def token_ids(
 def _joined_ids(df: DataFrame, keys: Sequence[str], vocabulary: Vocabulary) -> DataFrame:
     """Ids by a join; adaptive execution splits the partitions of very frequent tokens.
 
-    A row keeps a number of its own, so rows with equal keys stay apart.
+    A row is known by its place in a written table, so rows with equal keys stay apart, and
+    a task that runs again finds the same places.
     """
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    words = rows.select(*keys, "_row", F.posexplode_outer("_words").alias("_at", "token"))
+    rows = staged_rows(df, "words")
+    words = rows.select(*keys, "_file", "_row", F.posexplode_outer("_words").alias("_at", "token"))
     found = words.join(vocabulary.table.select("token", "token_id"), "token", "left")
     entry = F.struct("_at", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))
     present = F.when(F.col("_at").isNotNull(), entry)
-    gathered = found.groupBy(*keys, "_row").agg(
+    gathered = found.groupBy(*keys, "_file", "_row").agg(
         F.transform(F.array_sort(F.collect_list(present)), lambda e: e["id"]).alias("ids")
     )
-    return gathered.drop("_row")
+    return gathered.drop("_file", "_row")
 
 
 def padded(df: DataFrame, keys: Sequence[str], max_length: int | None) -> DataFrame:
@@ -78,7 +79,7 @@ def causal_tokens(
     max_length: int = DEFAULT_MAX_LENGTH,
 ) -> DataFrame:
     """Cut and padded ids, mask and labels."""
-    ids = token_ids(spread(texts), keys, F.col("text"), vocabulary, max_length)
+    ids = token_ids(spread(texts, *keys), keys, F.col("text"), vocabulary, max_length)
     return with_labels(padded(ids, keys, max_length))
 
 
@@ -92,7 +93,7 @@ def cleaned_tokens(
 ) -> DataFrame:
     """Tokens of the cleaned text, optionally padded and cut."""
     cleaned = clean_text(F.col("text"))
-    ids = token_ids(spread(texts), keys, cleaned, vocabulary, max_length if truncation else None)
+    ids = token_ids(spread(texts, *keys), keys, cleaned, vocabulary, max_length if truncation else None)
     return padded(ids, keys, max_length if padding else None)
 
 

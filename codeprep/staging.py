@@ -84,6 +84,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_rows(df: DataFrame, name: str, file: str = "_file", row: str = "_row") -> DataFrame:
+    """``df`` from a written table, each row with its file and place, the same on every retry."""
+    return placed(staged(df, name), file, row)
+
+
 def placed(table: DataFrame, file: str, row: str) -> DataFrame:
     """A Parquet table with each row's file and place in it, which identify the row."""
     return table.select(
@@ -93,11 +98,19 @@ def placed(table: DataFrame, file: str, row: str) -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
+def shuffles(df: DataFrame) -> bool:
+    """Whether the plan of a frame moves rows; asking such a one for its partitions runs it."""
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows over all cores before costly work on each, if the scan feeds fewer tasks.
 
     A table in a single row group is one task whatever the split size. Tables that ingest
-    has written lie in many files and are left as they are, and so are large ones.
+    has written lie in many files and are left as they are, and so are large ones. What
+    comes from a join or an aggregate is dealt already and left alone. Rows are dealt by a hash of ``keys`` where there are any.
     """
+    if shuffles(df):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -381,7 +381,7 @@ def examples_required_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:
-    texts = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    texts = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     return texts.select("doc_id", X.clean_text(F.col("text")).alias("text"))
 
 

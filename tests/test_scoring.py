@@ -197,5 +197,5 @@ def test_model_runs_once_with_a_dictionary_table(documents, plan):
     )
     told = score.score_documents(documents, ["id"], fake_model(), "v", descriptions=known)
     text = told._jdf.queryExecution().sparkPlan().toString()
-    assert text.count("ArrowEvalPython") == 1
+    assert "ArrowEvalPython" not in text  # it has run, once, when its answers were written
     assert {r["id"]: len(r["predictions"]) for r in told.collect()} == {1: 3, 2: 0, 3: 0, 4: 0, 5: 3}

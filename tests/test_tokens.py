@@ -4,6 +4,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from codeprep import staging
 from codeprep.operators import tokens as K
 from codeprep.operators import vocabulary as V
 
@@ -115,3 +116,25 @@ def test_oversized_table_is_refused(texts):
     whole = V.build_vocabulary(texts, F.col("text"), 100).table
     with pytest.raises(ValueError):
         V.Vocabulary(whole, 2).ids_of(F.col("text"))
+
+
+def test_spread_runs_no_plan(spark):
+    """A joined table is left as it is, and no job is started to look at it."""
+    left = spark.range(50).select("id", F.lit("a b").alias("text"))
+    joined = left.join(spark.range(50).hint("merge"), "id").groupBy("id").agg(F.max("text").alias("text"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("spread", "")
+    try:
+        assert staging.spread(joined, "id") is joined
+        assert not tracker.getJobIdsForGroup("spread")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_rows_keep_their_place_when_tasks_run_again(spark, rows):
+    """Rows with equal keys stay apart, by a place that does not depend on the task."""
+    texts = spark.createDataFrame([(1, "a b"), (1, "b"), (1, "a b")] * 20, "id int, text string").repartition(5)
+    vocabulary = V.build_vocabulary(texts, F.col("text"), 4)
+    ids = K._joined_ids(texts.select("id", F.split("text", " ").alias("_words")), ["id"], vocabulary)
+    plan = ids._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically" not in plan and ids.count() == 60

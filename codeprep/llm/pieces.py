@@ -32,6 +32,7 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 LONG = 64  # longer words are cut wherever no piece holds the two characters side by side
 LATTICE = 256  # words still longer than this are folded one by one, without a lattice table
+LATTICE_WORDS = 25_000  # words whose lattice one task holds
 BLOCK_WORDS = 200_000  # distinct words of a block
 BLOCK_CHARS = 4_000_000  # and their characters
 BLOCK_SPOTS = 1 << 21  # and words in all, 4 bytes each
@@ -233,57 +234,70 @@ def piece_rows(words: DataFrame, table: PieceTable) -> DataFrame:
     return words.sparkSession.createDataFrame(rows, "piece string, id int, score double")
 
 
+# An edge is one number: its end, its size and its piece (0: a character without one).
+END, SIZE = 1 << 40, 1 << 32
+MASK = SIZE - 1
+
+
 def edges(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, end, size, score, ids): the substrings of each word that are pieces.
+    """(word, edge, score): the substrings of each word that are pieces.
 
-    A character without a piece is an edge too, with the pieces of its bytes.
+    A character without a piece is an edge too; it stands for its bytes.
     """
     starts = words.select("word", F.explode(F.expr("sequence(1, length(word))")).alias("start"))
     most = F.least(F.lit(table.longest), F.expr("length(word) - start + 1"))
     spans = starts.select("word", "start", F.explode(F.sequence(F.lit(1), most)).alias("size"))
     spans = spans.select(
-        "word",
-        (F.col("start") + F.col("size") - 1).alias("end"),
-        "size",
-        F.expr("substring(word, start, size)").alias("piece"),
+        "word", "start", "size", F.expr("substring(word, start, size)").alias("piece")
     )
     found = spans.join(F.broadcast(piece_rows(words, table)), "piece", "left")
     found = found.filter("id IS NOT NULL OR size = 1")
-    of_byte = F.array(*[F.lit(int(i)) for i in table.byte_ids])
-    code = lambda k: F.conv(F.substring(F.hex("piece"), 2 * k - 1, F.lit(2)), 16, 10).cast("int")
-    fallback = F.transform(
-        F.sequence(F.lit(1), F.octet_length("piece")), lambda k: F.get(of_byte, code(k))
-    )
+    end = (F.col("start") + F.col("size") - 1).cast("long")
+    edge = end * END + F.col("size").cast("long") * SIZE + F.coalesce(F.col("id") + 1, F.lit(0))
     return found.select(
-        "word",
-        "end",
-        "size",
-        F.coalesce("score", F.lit(table.unknown_score)).alias("score"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fallback).alias("ids"),
+        "word", edge.alias("edge"), F.coalesce("score", F.lit(table.unknown_score)).alias("score")
     )
 
 
-def best_paths(lattice: DataFrame) -> DataFrame:
+def best_paths(lattice: DataFrame, table: PieceTable) -> DataFrame:
     """(word, ids): the path with the highest sum of scores; of equal ones that whose last
     piece is longer, at every end. Entry i of the fold is the best path to the end i."""
     grouped = lattice.groupBy("word").agg(
-        F.collect_list(F.struct("end", "size", "score", "ids")).alias("edges")
+        F.collect_list(F.struct("edge", "score")).alias("edges")
     )
-    paths = F.expr(
-        """
+    size = f"cast(e.edge div {SIZE} % {END // SIZE} AS int)"
+    best = f"""
         aggregate(
           sequence(1, length(word)),
-          array(named_struct('score', 0D, 'size', 0, 'ids', cast(array() AS array<int>))),
-          (best, i) -> array_append(best, array_max(transform(
-            filter(edges, e -> e.end = i),
-            e -> named_struct(
-              'score', get(best, i - e.size).score + e.score,
-              'size', e.size,
-              'ids', concat(get(best, i - e.size).ids, e.ids))))),
-          best -> element_at(best, -1).ids)
-        """
+          array(named_struct('score', 0D, 'path', cast(array() AS array<bigint>))),
+          (best, i) -> array_append(best, get(transform(
+            array(array_max(transform(
+              filter(edges, e -> e.edge div {END} = i),
+              e -> named_struct(
+                'score', get(best, i - {size}).score + e.score, 'size', {size}, 'edge', e.edge)))),
+            top -> named_struct(
+              'score', top.score, 'path', array_append(get(best, i - top.size).path, top.edge))), 0)),
+          best -> element_at(best, -1).path)
+    """
+    of_byte = F.array(*[F.lit(int(i)) for i in table.byte_ids])
+
+    def bytes_at(edge: Column) -> Column:
+        code = F.hex(F.substring("word", F.floor(edge / END).cast("int"), F.lit(1)))
+        at = lambda k: F.conv(F.substring(code, 2 * k - 1, F.lit(2)), 16, 10).cast("int")
+        return F.transform(
+            F.sequence(F.lit(1), (F.length(code) / 2).cast("int")), lambda k: F.get(of_byte, at(k))
+        )
+
+    piece = lambda edge: edge.bitwiseAND(F.lit(MASK)).cast("int")
+    ids = F.flatten(
+        F.transform(
+            "path", lambda e: F.when(piece(e) > 0, F.array(piece(e) - 1)).otherwise(bytes_at(e))
+        )
     )
-    return grouped.select("word", paths.alias("ids"))
+    plain = F.transform("path", lambda e: piece(e) - 1)
+    found = grouped.select("word", F.expr(best).alias("path"))
+    whole = ~F.exists("path", lambda e: piece(e) == 0)
+    return found.select("word", F.when(whole, plain).otherwise(ids).alias("ids"))
 
 
 def folded(words: Column, table: PieceTable) -> Column:
@@ -319,7 +333,7 @@ def folded(words: Column, table: PieceTable) -> Column:
 
 def word_pieces(words: DataFrame, table: PieceTable) -> DataFrame:
     """(word, ids) of distinct words: by the lattice, very long ones by a fold of their own."""
-    short = best_paths(edges(words.filter(F.length("word") <= LATTICE), table))
+    short = best_paths(edges(words.filter(F.length("word") <= LATTICE), table), table)
     long = words.filter(F.length("word") > LATTICE)
     return short.unionByName(long.select("word", folded(F.col("word"), table).alias("ids")))
 
@@ -376,7 +390,10 @@ def encoded_rows(rows: DataFrame, table: PieceTable) -> DataFrame:
         "block", "base", F.posexplode("list").alias("at", "word")
     )
     words = words.select("block", (F.col("base") + F.col("at")).alias("spot"), "word")
-    known = stage(word_pieces(words.select("word").distinct(), table), "word-pieces")
+    distinct = stage(words.select("word").distinct(), "distinct-words")
+    # Some thousand words in a task: their lattice is many times as large as they are.
+    tasks = distinct.count() // LATTICE_WORDS + 1
+    known = stage(word_pieces(distinct.repartition(tasks, "word"), table), "word-pieces")
     values = stage(packed_values(words.join(known, "word").select("block", "spot", "ids")), "values")
     docs = blocks.filter("words IS NOT NULL").select("block", "row", "words", "print")
     known_bodies = body_of(table)

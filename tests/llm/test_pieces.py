@@ -66,7 +66,7 @@ def test_lattice_equals_one_text_at_a_time(spark, table, monkeypatch):
 
 def test_lattice_shuffles_no_edges(spark, table, plan):
     words = spark.createDataFrame([("ab",)], "word string").distinct()
-    text = plan(P.best_paths(P.edges(words, table)))
+    text = plan(P.best_paths(P.edges(words, table), table))
     exchanges = [line for line in text.split("*** Final")[0].splitlines() if "Exchange hash" in line]
     assert "BroadcastHashJoin" in text and len(set(exchanges)) <= 2
 

@@ -114,19 +114,20 @@ def counted(text: Column, edits: Column, ranks: dict[bytes, int]) -> Column:
 
     ``edits`` is array<struct<start:int,end:int,put:string>>; each refers to the text as
     the edits before it left it. Null texts are empty, null edits none, a null ``put``
-    deletes.
+    deletes. Bytes that are no UTF-8 become U+FFFD.
     """
 
     def count_batch(texts: pa.Array, changes: pa.Array, encoder: Encoder) -> pa.Array:
         rows = []
         for value, edits_ in zip(texts, changes):
-            body = value.as_py() or ""
+            body = (value.as_py() or b"").decode("utf-8", "replace")
             chars, tokens = encoder.spans(body)
             tree = SegmentTree.of(chars, tokens)
             whole = int(tree.tokens[1])
             redone = 0
             for e in edits_.as_py() or ():
-                change = (e["start"] or 0, e["end"] or 0, e["put"] or "")
+                put = (e["put"] or b"").decode("utf-8", "replace")
+                change = (e["start"] or 0, e["end"] or 0, put)
                 body, n = edited(tree, body, change, encoder)
                 redone += n
             rows.append((whole, len(chars), int(tree.tokens[1]), int(tree.chars[1]), redone))
@@ -140,7 +141,10 @@ def counted(text: Column, edits: Column, ranks: dict[bytes, int]) -> Column:
         for texts, changes in batches:
             yield count_batch(texts, changes, encoder)
 
-    return count(text, edits)
+    as_bytes = F.transform(
+        edits, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["put"].cast("binary").alias("put"))
+    )
+    return count(text.cast("binary"), as_bytes)
 
 
 def token_counts(
@@ -153,7 +157,7 @@ def token_counts(
     """One row per row of ``docs``: id and the counts before and after ``edits``.
 
     Every text is encoded whole once; an edit costs what it touches. Null and empty texts
-    have 0 tokens. Rows are handled alone, so repeated rows get equal counts; an empty
+    have 0 tokens; bytes that are no UTF-8 count as U+FFFD. Rows are handled alone, so repeated rows get equal counts; an empty
     table gives an empty result; other columns are not looked at.
     """
     found = docs.select(

@@ -56,7 +56,8 @@ def tokenised(docs: DataFrame, ident: str, text: str, ranks: dict[bytes, int]) -
 
     ``inside`` is how many tokens lie before in the same bucket, a range of ids of some
     ``BUCKET_ROWS`` documents. The tokens cross one shuffle to their bucket's task, are
-    sorted by id (null first), then by the hash of the tokens, and written.
+    sorted by id (null first), then by the hash of the tokens, and written. Bytes that are
+    no UTF-8 count as U+FFFD.
     """
 
     @F.arrow_udf("binary")
@@ -64,7 +65,8 @@ def tokenised(docs: DataFrame, ident: str, text: str, ranks: dict[bytes, int]) -
         encoder = Encoder(ranks)
         end = np.array([END], "<u2").tobytes()
         for texts in batches:
-            yield pa.array([encoder.ids(t.as_py() or "") + end for t in texts], pa.binary())
+            bodies = ((t.as_py() or b"").decode("utf-8", "replace") for t in texts)
+            yield pa.array([encoder.ids(b) + end for b in bodies], pa.binary())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, before = None, 0
@@ -84,7 +86,7 @@ def tokenised(docs: DataFrame, ident: str, text: str, ranks: dict[bytes, int]) -
             )
 
     _, bucket = order_buckets(docs.select(F.col(ident).alias("id")), "id", BUCKET_ROWS)
-    found = docs.select(F.col(ident).alias("id"), encode(F.col(text)).alias("tokens"))
+    found = docs.select(F.col(ident).alias("id"), encode(F.col(text).cast("binary")).alias("tokens"))
     found = found.select(
         bucket.cast("long").alias("bucket"), "id", F.xxhash64("tokens").alias("tie"), "tokens"
     )

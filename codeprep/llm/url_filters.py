@@ -137,17 +137,20 @@ def train(labelled: Sequence[tuple[str, int]] = LABELLED) -> np.ndarray:
 
 
 def block_chance(host: Column, path: Column, weights: np.ndarray) -> Column:
-    """The model's chance that a url should be blocked; the weights travel with the tasks."""
+    """The model's chance that a url should be blocked; the weights travel with the tasks.
+
+    Bytes that are no UTF-8 count as U+FFFD.
+    """
 
     @F.arrow_udf("double")
     def score(hosts: pa.Array, paths: pa.Array) -> pa.Array:
         out = np.empty(len(hosts))
-        for i, (h, p) in enumerate(zip(hosts.to_pylist(), paths.to_pylist())):
-            used = slots(h or "", p or "")
+        for i, parts in enumerate(zip(hosts.to_pylist(), paths.to_pylist())):
+            used = slots(*((part or b"").decode("utf-8", "replace") for part in parts))
             out[i] = weights[used].sum() / np.sqrt(max(len(used), 1)) + weights[-1]
         return pa.array(1 / (1 + np.exp(-out)))
 
-    return score(host, path)
+    return score(host.cast("binary"), path.cast("binary"))
 
 
 def judged(

@@ -13,14 +13,23 @@ from codeprep.staging import scratch_path
 WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Rows of a folder come from one task: they need no sort before they are written.
+    "spark.sql.maxConcurrentOutputFileWriters": "4",
 }
 
 
-def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def stage(
+    df: DataFrame,
+    name: str,
+    path: str | None = None,
+    folders: str | None = None,
+    options: dict[str, str] | None = None,
+) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder (or ``path``) and go on from the files.
 
     The files replace the shuffles behind them, so those are removed when the write has
     ended: an operator of several steps holds the shuffles of one step at a time.
+    ``folders`` names a column with a folder for each value, ``options`` goes to the writer.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
@@ -28,7 +37,8 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     try:
         for key, value in WRITING.items():
             spark.conf.set(key, value)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        writer = df.write.mode("overwrite").option("compression", "zstd").options(**options or {})
+        (writer.partitionBy(folders) if folders else writer).parquet(path)
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)

@@ -5,6 +5,10 @@ cut into sequences of equal length. A Feistel network over just enough bits, wal
 falls below the number of sequences, gives every sequence its slot: a permutation that any
 worker computes for itself. A shard holds a fixed range of slots as one block of bytes, so
 slot s lies in shard s // shard_size at byte (s % shard_size) * length * 2.
+
+Shards are dealt to tasks by ranges of slots. The slots have no gaps, so the ranges are
+known beforehand and nothing is sampled. Each range is one folder named after the first slot
+behind it, with one file in slot order and one row group per shard.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ SHARD_SEQUENCES = 1_024
 END = 50_256
 FEISTEL_ROUNDS = 6
 BUCKET_ROWS = 50_000
+# At most so many shards, of a megabyte each as registered, lie in one range.
+RANGE_SHARDS = 128
 BYTES = 2
 
 
@@ -143,14 +149,23 @@ def pieces(rows: DataFrame, total: int, length: int, key: int, shard: int) -> Da
     return rows.select("offset", "tokens").mapInArrow(cut, kind)
 
 
-SHARD = "shard bigint, first_slot bigint, sequences array<bigint>, data binary"
+# One row, that is one shard, is one row group.
+ROW_GROUPS = {"parquet.block.row.count.limit": "1"}
+SHARD = "shard bigint, first_slot bigint, last_slot bigint, sequences array<bigint>, data binary"
+
+
+def ranges(sequences: int, shard: int, tasks: int) -> tuple[int, int]:
+    """(number of ranges, shards in each): one range a task, until ranges are full."""
+    total = max(1, -(-sequences // shard))
+    each = min(RANGE_SHARDS, -(-total // tasks))
+    return -(-total // each), each
 
 
-def shards(parts: DataFrame, length: int) -> DataFrame:
+def shards(parts: DataFrame, length: int, count: int, each: int) -> DataFrame:
     """One row per shard: its sequence numbers by slot and its block of bytes.
 
-    A shard's pieces lie in one task, sorted by slot, and only one shard is held at a
-    time; its size is fixed. The last sequence is filled up with end tokens.
+    Partition i holds the ``each`` shards from i * each on, sorted by slot, and only one shard
+    is held at a time; its size is fixed. The last sequence is filled up with end tokens.
     """
     stride = length * BYTES
     fill = np.full(length, END, "<u2").tobytes()
@@ -162,10 +177,11 @@ def shards(parts: DataFrame, length: int) -> DataFrame:
             [
                 pa.array([shard], pa.int64()),
                 pa.array([slots_[0]], pa.int64()),
+                pa.array([slots_[-1]], pa.int64()),
                 pa.array([numbers], pa.list_(pa.int64())),
                 pa.array([data], pa.binary()),
             ],
-            ["shard", "first_slot", "sequences", "data"],
+            ["shard", "first_slot", "last_slot", "sequences", "data"],
         )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +205,8 @@ def shards(parts: DataFrame, length: int) -> DataFrame:
         if body:
             yield block(now, slots_, numbers, body)
 
-    dealt = parts.repartition(F.col("shard")).sortWithinPartitions("shard", "slot", "at")
-    return dealt.mapInArrow(gather, SHARD)
+    dealt = parts.repartitionById(count, F.floor(F.col("shard") / each).cast("int"))
+    return dealt.sortWithinPartitions("shard", "slot", "at").mapInArrow(gather, SHARD)
 
 
 def materialise(
@@ -211,17 +227,21 @@ def materialise(
     """
     rows = tokenised(docs, ident, text, read_ranks(ranks_path))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    written = shards(pieces(with_offsets(rows), total, length, key, shard_size), length)
-    return stage(written, "shards", path)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count, each = ranges(-(-total // length), shard_size, tasks)
+    found = shards(pieces(with_offsets(rows), total, length, key, shard_size), length, count, each)
+    until = (F.floor(F.col("shard") / each).cast("long") + 1) * F.lit(each * shard_size)
+    return stage(found.withColumn("until", until), "shards", path, "until", ROW_GROUPS)
 
 
 def read_slots(written: DataFrame, length: int = LENGTH, first: int = 0) -> DataFrame:
     """(slot, shard, byte, sequence, tokens) of a written table, from slot ``first`` on.
 
-    Shards that end before ``first`` are not read: that is how a training run resumes.
+    A training run resumes so: folders of ranges that end before ``first`` are not opened,
+    and row groups of earlier shards in the first folder are not read.
     """
     stride = length * BYTES
-    open_ = written.filter(F.col("first_slot") + F.size("sequences") > first)
+    open_ = written.filter((F.col("until") > F.lit(first)) & (F.col("last_slot") >= F.lit(first)))
     rows = open_.select("shard", "first_slot", "data", F.posexplode("sequences").alias("i", "sequence"))
     slot = F.col("first_slot") + F.col("i")
     return rows.select(

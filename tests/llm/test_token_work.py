@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -113,6 +114,38 @@ def test_shards_hold_the_stream(odd_docs, all_rows, whole, tmp_path):
     assert sorted(r["slot"] for r in later.collect()) == list(range(40, count))
 
 
+def test_ranges_cover_all_shards():
+    for sequences, shard, tasks in [(0, 4, 8), (1, 4, 8), (33, 4, 8), (5_000, 16, 8), (10**7, 1, 3)]:
+        count, each = O.ranges(sequences, shard, tasks)
+        assert each <= O.RANGE_SHARDS and count * each * shard >= sequences
+        assert (count - 1) * each * shard < max(sequences, 1)
+
+
+def test_a_resumed_read_opens_later_ranges_only(odd_docs, plan, tmp_path):
+    path = tmp_path / "s"
+    written = O.materialise(odd_docs, str(path), length=16, shard_size=4, key=5)
+    whole = {r["slot"]: r for r in O.read_slots(written, 16).collect()}
+    files = sorted(path.glob("until=*/*.parquet"), key=lambda f: int(f.parent.name[6:]))
+    assert len(files) == len(list(path.glob("until=*"))) > 2
+    begin = 0
+    for file in files:
+        meta = pq.ParquetFile(file).metadata
+        table = pq.ParquetFile(file).read()
+        until = int(file.parent.name[6:])
+        assert meta.num_row_groups == meta.num_rows
+        assert table["first_slot"].to_pylist() == list(range(begin, min(until, len(whole)), 4))
+        begin = until
+    first = int(files[0].parent.name[6:]) + 1
+    later = O.read_slots(written, 16, first)
+    assert {r["slot"]: r for r in later.collect()} == {s: r for s, r in whole.items() if s >= first}
+    shown = plan(later)
+    assert "until#" in shown.split("PartitionFilters")[1].split("]")[0]
+    assert f"GreaterThanOrEqual(last_slot,{first})" in shown
+    at = F.input_file_name()
+    read = written.filter(F.col("until") > first).select(at.alias("f")).distinct().collect()
+    assert len(read) == len(files) - 1
+
+
 def test_layout_of_the_input_does_not_matter(odd_docs, no_docs, rows):
     a = O.training_order(odd_docs, length=32, shard_size=8)
     b = O.training_order(odd_docs.repartition(7), length=32, shard_size=8)

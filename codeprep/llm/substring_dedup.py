@@ -217,13 +217,20 @@ def gathered(rows: DataFrame, out: str) -> DataFrame:
     return rows.groupBy(F.col("a").alias("cls")).agg(F.collect_list("b").alias(out))
 
 
-def repeated_windows(docs: DataFrame, text: str, window: int) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(
+    docs: DataFrame, text: str, window: int, texts_again: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(cls, starts) of the windows that also start elsewhere in another or the same text
-    (copies of whole texts apart), and the packed class texts."""
+    (copies of whole texts apart), and the packed class texts.
+
+    With ``texts_again`` these are written, for a caller who reads them once more.
+    """
     binary = docs.select(F.col(text).cast("binary").alias("t"))
     kept = stage(repeated(short_windows(binary, window), ["left", "right"]), "short")
     kept = stage(repeated(half_windows(kept)), "half").select("a", "b")
     texts = class_texts(docs, text, window)
+    if texts_again:
+        texts = stage(texts, "texts")
     found = texts.join(gathered(kept, "marks"), "cls")
     kept = stage(repeated(full_windows(found, window)).select("a", "b"), "full")
     return gathered(kept, "starts"), texts
@@ -285,7 +292,7 @@ def removal_report(
         raise ValueError("a window needs at least 4 words")
     rows = docs.select(F.col(ident), sequence(F.col(text)).alias("_s"))
     rows = stage(rows.select(ident, "_s.*"), "sequences")
-    starts, texts = repeated_windows(docs, text, window)
+    starts, texts = repeated_windows(docs, text, window, texts_again=True)
     cleaned = stage(cleaned_classes(texts.join(starts, "cls"), window), "cleaned")
     cleaned = cleaned.dropDuplicates(["cls"]).withColumnRenamed("sha", "_sha")
     copies = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("_times"))

@@ -50,6 +50,21 @@ def test_cut_texts(odd_docs, no_docs, all_rows):
     assert S.removal_report(no_docs).count() == 0
 
 
+def test_texts_are_hashed_once(odd_docs, monkeypatch):
+    """The step that cuts texts reads them from a written table, not from the documents."""
+    plans = {}
+
+    def noted(df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, name, **options)
+
+    stage = S.stage
+    monkeypatch.setattr(S, "stage", noted)
+    S.removal_report(odd_docs)
+    assert plans["texts"].count("MapInArrow") == 1
+    assert plans["cleaned"].count("MapInArrow") == 1
+
+
 def test_kept_stretches_keep_their_blanks():
     words = [f"w{i}" for i in range(12)]
     text = "a  b\n" + " ".join(words) + "\tc   d"

@@ -56,13 +56,27 @@ def read_documents(
     from read to text, so nothing is shuffled. A file it cannot read gets an ``error``;
     Spark lists no files of zero bytes. For large files lower
     ``spark.sql.execution.arrow.maxRecordsPerBatch``, which counts files per batch here.
+    The driver lists all files: very many small ones are better kept in packs (``read_packs``).
     """
     require(spark, path)
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-        .select("path", "content")
-        .withColumn("_read", _extract_column(extractor)(F.col("content")))
-    )
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return extracted(files.select("path", "content"), extractor)
+
+
+def read_packs(spark: SparkSession, path: str, extractor: Extractor) -> DataFrame:
+    """Documents kept many to a file, with their text, one row each as from ``read_documents``.
+
+    Packs are Parquet files under ``path`` with the columns of Spark's ``binaryFile`` source,
+    ``path`` and ``content``. Their number follows the bytes and not the number of documents.
+    """
+    require(spark, path)
+    packs = spark.read.schema("path string, content binary").parquet(path)
+    return extracted(packs, extractor)
+
+
+def extracted(files: DataFrame, extractor: Extractor) -> DataFrame:
+    """(path, content, metadata, error) of files given as (path, bytes)."""
+    files = files.withColumn("_read", _extract_column(extractor)(F.col("content")))
     return files.select(
         "path",
         page_text(F.col("_read.pages")).alias("content"),

@@ -7,6 +7,7 @@ from codeprep.config import MIMIC_III, MIMIC_IV, PrepareSettings, dataset_versio
 from codeprep.operators.audit import require_unique
 from codeprep.sources import datasets, documents, facts, tables
 from codeprep.staging import checkpoint_dir, staged
+from registry import queries
 
 NOTES = '''subject_id,hadm_id,category,text,chartdate
 10,100,Discharge summary,"line one
@@ -179,6 +180,34 @@ def test_documents_from_files(spark, tmp_path):
         documents.read_documents(spark, str(tmp_path / "none"), extractor())
 
 
+def test_packs_are_read_like_files(spark, tmp_path):
+    files = {"a.pdf": b"one||two", "b.pdf": b"bad", "c.pdf": b"|"}
+    (tmp_path / "single").mkdir()
+    for name, blob in files.items():
+        (tmp_path / "single" / name).write_bytes(blob)
+    rows = [(f"single/{n}", bytearray(b)) for n, b in files.items()]
+    packs = spark.createDataFrame(rows, "path string, content binary").coalesce(1)
+    packs.write.parquet(str(tmp_path / "packs"))
+
+    def told(df):
+        return {(r["metadata"]["filename"], r["content"], r["metadata"]["page_count"], r["error"]) for r in df.collect()}
+
+    single = documents.read_documents(spark, str(tmp_path / "single"), extractor())
+    packed = documents.read_packs(spark, str(tmp_path / "packs"), extractor())
+    assert told(packed) == told(single) and packed.schema == single.schema
+    with pytest.raises(FileNotFoundError):
+        documents.read_packs(spark, str(tmp_path / "none"), extractor())
+
+
+def test_files_do_not_grow_with_documents(spark, tmp_path, monkeypatch):
+    texts = [(i, f"text {i}", "en") for i in range(500)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, lang string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, name: str(tmp_path / name))
+    assert queries.documents_from_files(spark, str(tmp_path)).count() == 510
+    assert len(list((tmp_path / "files").rglob("part-*"))) < 50
+
+
 def test_pages_in_order_with_gaps(spark):
     pages = spark.createDataFrame(
         [(1, 2, "b"), (1, 10, "c"), (1, 1, None), (2, 1, None)],

@@ -98,5 +98,6 @@ def attach_text(
     v = dataset_version(version)
     texts = discharge_notes(notes, v).select(F.col(v.note_key).alias("_key"), "TEXT")
     if whole:
-        texts = texts.repartition("_key")
+        # The join itself deals them out; a repartition before it would shuffle them twice.
+        texts = texts.hint("merge")
     return keys.join(texts, F.col(v.note_key).eqNullSafe(F.col("_key"))).drop("_key")

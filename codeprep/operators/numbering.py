@@ -26,8 +26,8 @@ def number_placed(
 ) -> DataFrame:
     """Number rows that carry their file and place in it, in file order.
 
-    Files are ordered by the number of the task that wrote them, then by name. The sizes
-    carry no hint: they are one row per file, and Spark sends them along while they are few.
+    Files are ordered by the number of the task that wrote them, then by name. The sizes are
+    one row per file and are sent along; else whole rows would be shuffled by their file.
     """
     part = F.regexp_extract(FILE, r"part-(\d+)[^/]*$", 1).try_cast("bigint")
     sizes = df.groupBy(FILE).agg(F.count(F.lit(1)).alias("_size"))
@@ -37,7 +37,7 @@ def number_placed(
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
         F.sum("_size").over(Window.partitionBy()).alias("_total"),
     )
-    numbered = df.join(offsets, FILE).withColumn(
+    numbered = df.join(F.broadcast(offsets), FILE).withColumn(
         out, F.col("_before") + F.col(ROW) + F.lit(start)
     )
     if total:

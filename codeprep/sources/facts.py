@@ -16,7 +16,7 @@ def fact_path(out_dir: str, version: str | DatasetVersion) -> str:
 def write_fact(df: DataFrame, path: str, overwrite: bool = True) -> None:
     """``overwrite=False`` leaves a table that is already there untouched."""
     mode = "overwrite" if overwrite else "ignore"
-    df.write.mode(mode).partitionBy("split").parquet(path)
+    df.write.mode(mode).option("compression", "zstd").partitionBy("split").parquet(path)
 
 
 def read_fact(

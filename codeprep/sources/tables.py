@@ -117,7 +117,7 @@ def _ingest_one(
     marked = df.observe(seen, F.count(REJECTED).alias("rejected"))
     good = marked.filter(F.col(REJECTED).isNull()).drop(REJECTED)
     # Rows are counted before the filter, in the pass that writes the table.
-    good.write.mode("overwrite").parquet(target)
+    good.write.mode("overwrite").option("compression", "zstd").parquet(target)
     aside = f"{target}_rejected"
     if seen.get["rejected"]:
         numbers = [c for c in raw.columns if c in RAW_TYPES]

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codeprep.operators import fact as fact_operators
 from codeprep.config import MIMIC_III, MIMIC_IV
 from codeprep.operators import cohort, fact, grouping, notes
 from codeprep.plans import fact as job
@@ -172,3 +173,19 @@ def test_gender_join_splits_a_hot_patient(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_texts_are_shuffled_once(spark):
+    """Missing keys are keys, and the join deals out the texts by itself."""
+    columns = "NOTE_PK long, SUBJECT_ID long, HADM_ID long, CATEGORY string"
+    rows = [(1, 2, 3, "Discharge summary"), (None, 4, 5, "Discharge summary")]
+    keys = spark.createDataFrame(rows, columns)
+    notes = spark.createDataFrame([(*r, f"text {r[0]}") for r in rows], f"{columns}, TEXT string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = fact_operators.attach_text(keys, notes, "mimic-iii")
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert sorted(r["TEXT"] for r in df.collect()) == ["text 1", "text None"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

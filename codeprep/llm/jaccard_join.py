@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeprep.llm.components import components
@@ -308,8 +308,9 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 def first_differences(stars: DataFrame, percent: int) -> DataFrame:
     """(hub, gram, at, cls, n, d, linked): the first n-grams in which each document differs.
 
-    ``d`` is how many there are in all, ``at`` the place of this one, from 0. In each hub's order come the n-grams that the hub
-    has not, then those that only it has, both by hash. With t percent, two documents x and
+    ``d`` is how many there are in all, ``at`` the place of this one, from 0. In each hub's
+    order come those in which the fewest documents differ, then by hash: a passage that many
+    copies have in common, or lack, comes last and brings few of them together. With t percent, two documents x and
     y of a hub that are linked differ in at most K = (100 - t) * (n_x + n_y) / (100 + t)
     n-grams, so their differences from the hub share s >= (d_x + d_y - K) / 2. If x is not
     linked with the hub, d_x is over the same bound for x and the hub, and from that follows
@@ -324,30 +325,31 @@ def first_differences(stars: DataFrame, percent: int) -> DataFrame:
             for parts, n, linked in zip(
                 *(batch.column(c).to_pylist() for c in ("parts", "n", "linked"))
             ):
-                added = np.sort(np.frombuffer(b"".join(p["added"] for p in parts), np.uint64))
-                gone = np.sort(np.frombuffer(b"".join(p["gone"] for p in parts), np.uint64))
-                grams = np.r_[added, gone]
+                grams = np.frombuffer(b"".join(p["added"] + p["gone"] for p in parts), np.int64)
                 d = len(grams)
                 if linked:
                     least = d * percent // (100 + percent) + 1
                 else:
                     least = max(1, d - (100 - percent) * n // percent)
-                found.append(grams[: max(d - least + 1, 0)].view(np.int64))
-                repeat.append(d)
+                found.append(grams if least <= d else grams[:0])
+                repeat.append((d, d - least + 1))
             taken = np.array([len(f) for f in found], np.int64)
             rows = np.repeat(np.arange(len(found)), taken)
             base = {c: batch.column(c).take(pa.array(rows)) for c in ("hub", "cls", "n", "linked")}
             grams = np.concatenate(found) if found else np.empty(0, np.int64)
-            d = np.repeat(np.array(repeat, np.int64), taken)
-            at = np.arange(len(rows)) - np.repeat(np.cumsum(taken) - taken, taken)
+            d, first = np.repeat(np.array(repeat, np.int64).reshape(-1, 2), taken, axis=0).T
             yield pa.RecordBatch.from_arrays(
-                [base["hub"], pa.array(grams), pa.array(at), base["cls"], base["n"], pa.array(d),
+                [base["hub"], pa.array(grams), base["cls"], base["n"], pa.array(d), pa.array(first),
                  base["linked"]],
-                ["hub", "gram", "at", "cls", "n", "d", "linked"],
+                ["hub", "gram", "cls", "n", "d", "first", "linked"],
             )
 
-    kind = "hub bigint, gram bigint, at bigint, cls bigint, n bigint, d bigint, linked boolean"
-    return stars.select("hub", "cls", "n", "linked", "parts").mapInArrow(scan, kind)
+    kind = "hub bigint, gram bigint, cls bigint, n bigint, d bigint, first bigint, linked boolean"
+    every = stage(stars.select("hub", "cls", "n", "linked", "parts").mapInArrow(scan, kind), "all-differences")
+    often = every.groupBy("hub", "gram").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("hub", "cls").orderBy("often", "gram")
+    placed = every.join(often, ["hub", "gram"]).withColumn("at", F.row_number().over(order).cast("long") - 1)
+    return placed.filter("at < first").select("hub", "gram", "at", "cls", "n", "d", "linked")
 
 
 def compatible(a: Column, b: Column, percent: int) -> Column:

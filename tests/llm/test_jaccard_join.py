@@ -76,6 +76,19 @@ def test_linked_sets_meet(percent):
             assert np.intersect1d(*keys).size
 
 
+def test_a_common_passage_brings_no_pairs_together(spark):
+    """What many copies of a hub have in common comes last among the differences of each."""
+    common = np.arange(1, 31, dtype=np.uint64)
+    rows = []
+    for i in range(20):
+        own = np.arange(30, dtype=np.uint64) + np.uint64(1000 * (i + 1))
+        rows.append((1, 10 + i, 100, False, [(bytearray(np.r_[own, common].tobytes()), bytearray())]))
+    kind = "hub long, cls long, n long, linked boolean, parts array<struct<added:binary,gone:binary>>"
+    found = J.first_differences(spark.createDataFrame(rows, kind), 80)
+    assert found.filter("gram <= 30").count() == 0
+    assert found.groupBy("cls").count().filter("count = 26").count() == 20
+
+
 def test_one_of_each(odd_docs, no_docs, all_rows):
     kept = J.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns

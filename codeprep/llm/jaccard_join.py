@@ -122,19 +122,22 @@ def meeting_keys(grams: np.ndarray, classes: SizeClasses) -> np.ndarray:
 
 
 def sets(text: Column, size: int) -> Column:
-    """struct(n, cls): the number of n-grams, and a number for sets that are equal."""
+    """struct(n, cls, body): the number of n-grams, a number for sets that are equal, and the
+    packed text."""
 
     def measure_batch(texts: pa.Array, hashes: WordHashes) -> pa.Array:
-        found = [shingles(t.as_py() or b"", size, hashes) for t in texts]
+        bodies = [t.as_py() or b"" for t in texts]
+        found = [shingles(body, size, hashes) for body in bodies]
         return pa.StructArray.from_arrays(
             [
                 pa.array([len(g) for g in found], pa.int64()),
                 pa.array([set_class(g) for g in found], pa.int64()),
+                pa.array([packed(body) for body in bodies], pa.binary()),
             ],
-            ["n", "cls"],
+            ["n", "cls", "body"],
         )
 
-    @F.arrow_udf("struct<n:bigint,cls:bigint>")
+    @F.arrow_udf("struct<n:bigint,cls:bigint,body:binary>")
     @releasing
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes()
@@ -186,29 +189,23 @@ def different_lists(lists: DataFrame) -> DataFrame:
     return lists.join(kept, "key", "left_semi")
 
 
-def class_texts(docs: DataFrame, text: str, size: int, wanted: DataFrame) -> DataFrame:
-    """(cls, body): the packed text of each wanted class once."""
+def class_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, body): the packed text of each wanted class once. ``rows`` has both of each document."""
 
     @releasing
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for batch in batches:
             if len(seen) > REMEMBERED_CLASSES:
                 seen.clear()
-            classes, bodies = [], []
-            for t in batch.column(0):
-                data = t.as_py() or b""
-                cls = set_class(shingles(data, size, hashes))
+            new = []
+            for i, cls in enumerate(batch.column("cls").to_pylist()):
                 if cls not in seen:
                     seen.add(cls)
-                    classes.append(cls)
-                    bodies.append(packed(data))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(classes, pa.int64()), pa.array(bodies, pa.binary())], ["cls", "body"]
-            )
+                    new.append(i)
+            yield batch.take(pa.array(new, pa.int64()))
 
-    rows = docs.select(F.col(text).cast("binary").alias("t"))
-    rows = rows.mapInArrow(scan, "cls bigint, body binary")
+    rows = rows.select("cls", "body").mapInArrow(scan, "cls bigint, body binary")
     return rows.join(wanted, "cls").groupBy("cls").agg(F.first("body").alias("body"))
 
 
@@ -437,11 +434,16 @@ def further_pairs(
     return pairs.join(before, ["hub", "cls"], "left_anti").withColumn("star", F.lit(False))
 
 
-def class_components(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
-    """(node, component) of the set classes that are linked with another."""
+def class_components(
+    docs: DataFrame, rows: DataFrame, text: str, size: int, percent: int
+) -> DataFrame:
+    """(node, component) of the set classes that are linked with another.
+
+    ``rows`` is the written table of the documents' classes and packed texts.
+    """
     lists = stage(meetings(docs, text, size, percent), "meetings")
     lists = stage(different_lists(lists), "lists")
-    texts = stage(class_texts(docs, text, size, lists.select("cls").distinct()), "class-texts")
+    texts = stage(class_texts(rows, lists.select("cls").distinct()), "class-texts")
 
     def links(rows: DataFrame) -> DataFrame:
         return rows.filter("linked").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
@@ -474,7 +476,7 @@ def jaccard_groups(
         raise ValueError("percent must lie between 65 and 100")
     rows = docs.select(F.col(ident), sets(F.col(text), size).alias("_s"))
     rows = stage(rows.select(ident, "_s.*"), "sets")
-    groups = class_components(docs, text, size, percent)
+    groups = class_components(docs, rows, text, size, percent)
     groups = groups.select(F.col("node").alias("cls"), "component")
     tagged = rows.join(groups, "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
     tagged = stage(tagged.select(ident, "n", "comp"), "tagged")

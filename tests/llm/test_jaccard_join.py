@@ -89,6 +89,17 @@ def test_a_common_passage_brings_no_pairs_together(spark):
     assert found.groupBy("cls").count().filter("count = 26").count() == 20
 
 
+def test_texts_of_classes_are_those_packed_with_the_sets(spark):
+    """The texts that are compared come from the written sets; no text is cut into n-grams for it."""
+    docs = spark.createDataFrame([("a b c d e",), ("A b c d e",), ("x",), (None,)], "text string")
+    rows = docs.select(J.sets(docs["text"], 4).alias("s")).select("s.*").persist()
+    assert {J.unpacked(r.body) for r in rows.collect()} == {b"a b c d e", b"A b c d e", b"x", b""}
+    wanted = rows.filter("n = 2").select("cls").distinct()
+    (found,) = J.class_texts(rows, wanted).collect()
+    assert found.cls == wanted.first().cls and J.unpacked(found.body).lower() == b"a b c d e"
+    rows.unpersist()
+
+
 def test_one_of_each(odd_docs, no_docs, all_rows):
     kept = J.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns

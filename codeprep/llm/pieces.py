@@ -1,10 +1,10 @@
 """SentencePiece encoding by a relational lattice over distinct words, and decoding.
 
-A text is cut into words at places that no piece crosses, so a word has the same pieces
-wherever it stands. The distinct words of all texts form the lattice: every substring up to
-the longest piece is a row, an equi-join with the piece table keeps those that are pieces,
-the edges are grouped by word, and a fold over the ends of each word keeps the best path to
-each. Blocks of documents hold words as places in a list of their own, and get the pieces of
+A text is cut into words wherever no piece holds the two characters side by side, so a word
+has the same pieces wherever it stands. The distinct words of all texts form the lattice:
+every substring as long as some piece that begins like it is a row, an equi-join with the
+piece table keeps those that are pieces, the edges are grouped by word, and a fold over the
+ends of each word keeps the best path to each. Blocks of documents hold words as places in a list of their own, and get the pieces of
 that list back (``block_values``).
 """
 
@@ -30,9 +30,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Fixed value: how far below the lowest piece an unknown character scores.
 UNKNOWN_PENALTY = 10.0
-LONG = 64  # longer words are cut wherever no piece holds the two characters side by side
-LATTICE = 256  # words still longer than this are folded one by one, without a lattice table
+TABLE_CHARS = 4_000  # characters side by side are looked up in a table of so many squared
+LATTICE = 256  # words longer than this are folded one by one, without a lattice table
 LATTICE_WORDS = 25_000  # words whose lattice one task holds
+PREFIX = 4  # characters by which the sizes of pieces that begin so are looked up
 BLOCK_WORDS = 200_000  # distinct words of a block
 BLOCK_CHARS = 4_000_000  # and their characters
 BLOCK_SPOTS = 1 << 21  # and words in all, 4 bytes each
@@ -100,23 +101,34 @@ class Cutter:
     """Texts to words."""
 
     def __init__(self, table: PieceTable):
-        self.pattern = table.word_pattern()
         self.neighbours = table.neighbours()
-
-    def words(self, text: str) -> list[str]:
-        found = self.pattern.findall(escaped(text))
-        if max(map(len, found), default=0) <= LONG:
-            return found
-        return [part for word in found for part in (self.cut(word) if len(word) > LONG else [word])]
-
-    def cut(self, word: str) -> list[str]:
-        """The parts of a long word between which no piece can lie."""
-        points = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64)
+        first, second = self.neighbours >> 21, self.neighbours & 0x1FFFFF
+        chars = np.unique(np.append(first, second))
+        self.number = self.joins = None
+        if len(chars) < TABLE_CHARS:  # 0 stands for all other characters
+            self.number = np.zeros(0x110000, np.int32)
+            self.number[chars] = np.arange(1, len(chars) + 1)
+            self.joins = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+            self.joins[self.number[first], self.number[second]] = True
+
+    def joined(self, points: np.ndarray) -> np.ndarray:
+        """Whether some piece holds a character and the next side by side."""
+        if self.joins is not None:
+            numbers = self.number[points]
+            return self.joins[numbers[:-1], numbers[1:]]
+        points = points.astype(np.int64)
         beside = points[:-1] << 21 | points[1:]
         at = np.minimum(np.searchsorted(self.neighbours, beside), len(self.neighbours) - 1)
-        joined = self.neighbours[at] == beside if len(self.neighbours) else np.zeros(len(beside), bool)
-        bounds = [0, *(np.flatnonzero(~joined) + 1).tolist(), len(word)]
-        return [word[a:b] for a, b in zip(bounds, bounds[1:])]
+        return self.neighbours[at] == beside
+
+    def words(self, text: str) -> list[str]:
+        """The parts of a text between which no piece can lie."""
+        text = escaped(text)
+        if not text:
+            return []
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        ends = (np.flatnonzero(~self.joined(points)) + 1).tolist()
+        return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
 
 
 class Spots(dict):
@@ -130,6 +142,17 @@ class Spots(dict):
         return place
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, packed: first the lowest byte of each, last the highest."""
+    planes = numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def opened(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 class Block:
     """Documents of one block and its distinct words, until it is full."""
 
@@ -159,7 +182,6 @@ class Block:
         order = np.argsort(-often, kind="stable")
         place = np.empty(len(order), "<i4")
         place[order] = np.arange(len(order))
-        pack = zstandard.ZstdCompressor(level=1).compress
         done = 0
         for rows in self.rows:
             n = rows.num_rows
@@ -167,7 +189,7 @@ class Block:
             columns = {
                 "row": rows.column("row"),
                 "block": pa.array([self.number] * n, pa.int64()),
-                "words": pa.array([pack(place[d].tobytes()) for d in docs], pa.binary()),
+                "words": pa.array([squeezed(place[d]) for d in docs], pa.binary()),
                 "print": pa.array(self.prints[done : done + n], pa.binary()),
             }
             done += n
@@ -234,6 +256,19 @@ def piece_rows(words: DataFrame, table: PieceTable) -> DataFrame:
     return words.sparkSession.createDataFrame(rows, "piece string, id int, score double")
 
 
+def size_rows(words: DataFrame, table: PieceTable) -> DataFrame:
+    """(prefix, sizes): the sizes of the pieces that begin so, and all sizes below that.
+
+    Where no piece begins with a prefix, or a word ends before it does, only those below count.
+    """
+    sizes: dict[str, set[int]] = {}
+    for piece in table.pieces:
+        if len(piece) >= PREFIX:
+            sizes.setdefault(piece[:PREFIX], set(range(1, PREFIX))).add(len(piece))
+    rows = [(prefix, sorted(found)) for prefix, found in sizes.items()]
+    return words.sparkSession.createDataFrame(rows, "prefix string, sizes array<int>")
+
+
 # An edge is one number: its end, its size and its piece (0: a character without one).
 END, SIZE = 1 << 40, 1 << 32
 MASK = SIZE - 1
@@ -245,9 +280,11 @@ def edges(words: DataFrame, table: PieceTable) -> DataFrame:
     A character without a piece is an edge too; it stands for its bytes.
     """
     starts = words.select("word", F.explode(F.expr("sequence(1, length(word))")).alias("start"))
-    most = F.least(F.lit(table.longest), F.expr("length(word) - start + 1"))
-    spans = starts.select("word", "start", F.explode(F.sequence(F.lit(1), most)).alias("size"))
-    spans = spans.select(
+    starts = starts.withColumn("prefix", F.expr(f"substring(word, start, {PREFIX})"))
+    starts = starts.join(F.broadcast(size_rows(words, table)), "prefix", "left")
+    sizes = F.coalesce("sizes", F.array(*[F.lit(i) for i in range(1, PREFIX)]))
+    spans = starts.select("word", "start", F.explode(sizes).alias("size"))
+    spans = spans.filter("size <= length(word) - start + 1").select(
         "word", "start", "size", F.expr("substring(word, start, size)").alias("piece")
     )
     found = spans.join(F.broadcast(piece_rows(words, table)), "piece", "left")
@@ -261,23 +298,36 @@ def edges(words: DataFrame, table: PieceTable) -> DataFrame:
 
 def best_paths(lattice: DataFrame, table: PieceTable) -> DataFrame:
     """(word, ids): the path with the highest sum of scores; of equal ones that whose last
-    piece is longer, at every end. Entry i of the fold is the best path to the end i."""
+    piece is longer, at every end.
+
+    The fold goes over the edges by end, then size. Entry i of ``best`` is the best path to
+    the end i; the best edge to the end at hand joins it when the next end begins.
+    """
     grouped = lattice.groupBy("word").agg(
         F.collect_list(F.struct("edge", "score")).alias("edges")
     )
-    size = f"cast(e.edge div {SIZE} % {END // SIZE} AS int)"
+    end = f"cast(e.edge div {END} AS int)"
+    size = f"cast({{}}.edge div {SIZE} % {END // SIZE} AS int)"
+    score = f"get(s.best, s.end - {size.format('e')}).score + e.score"
+    path = f"array_append(get(s.best, s.end - {size.format('s')}).path, s.edge)"
     best = f"""
         aggregate(
-          sequence(1, length(word)),
-          array(named_struct('score', 0D, 'path', cast(array() AS array<bigint>))),
-          (best, i) -> array_append(best, get(transform(
-            array(array_max(transform(
-              filter(edges, e -> e.edge div {END} = i),
-              e -> named_struct(
-                'score', get(best, i - {size}).score + e.score, 'size', {size}, 'edge', e.edge)))),
-            top -> named_struct(
-              'score', top.score, 'path', array_append(get(best, i - top.size).path, top.edge))), 0)),
-          best -> element_at(best, -1).path)
+          sort_array(edges),
+          named_struct(
+            'best', array(named_struct('score', 0D, 'path', cast(array() AS array<bigint>))),
+            'end', 0, 'score', 0D, 'edge', 0L),
+          (s, e) -> if(
+            {end} = s.end,
+            if({score} >= s.score,
+              named_struct('best', s.best, 'end', s.end, 'score', {score}, 'edge', e.edge), s),
+            get(transform(
+              array(if(s.end = 0, s.best,
+                array_append(s.best, named_struct('score', s.score, 'path', {path})))),
+              best -> named_struct(
+                'best', best, 'end', s.end + 1,
+                'score', get(best, s.end + 1 - {size.format('e')}).score + e.score,
+                'edge', e.edge)), 0)),
+          s -> {path})
     """
     of_byte = F.array(*[F.lit(int(i)) for i in table.byte_ids])
 
@@ -339,10 +389,9 @@ def word_pieces(words: DataFrame, table: PieceTable) -> DataFrame:
 
 
 def packed_values(values: DataFrame) -> DataFrame:
-    """(block, spot, ids) as few rows per block and task: places, sizes and ids, packed."""
+    """(block, spot, ids) as few rows per block and task: steps to each place, sizes and ids, packed."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             blocks = batch.column("block").to_numpy(zero_copy_only=False)
             starts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(blocks) else []
@@ -351,8 +400,8 @@ def packed_values(values: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 ids = part.column("ids")
                 sizes = ids.value_lengths().to_numpy(zero_copy_only=False)
-                columns = (part.column("spot").to_numpy(zero_copy_only=False), sizes, ids.flatten().to_numpy())
-                rows.append((int(blocks[a]), 0, *(squeeze(c.astype("<i4").tobytes()) for c in columns)))
+                steps = np.diff(part.column("spot").to_numpy(zero_copy_only=False), prepend=0)
+                rows.append((int(blocks[a]), 0, *map(squeezed, (steps, sizes, ids.flatten().to_numpy()))))
             names = ["block", "spot", "spots", "sizes", "ids"]
             kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3]
             columns = list(zip(*rows)) or [()] * 5
@@ -366,10 +415,11 @@ class Pieces:
     """The pieces of a block's words, as one array and where each word's begin."""
 
     def __init__(self, values: pa.RecordBatch):
-        open_ = zstandard.ZstdDecompressor().decompress
+        steps, sizes, ids = (
+            [opened(v) for v in values.column(c).to_pylist()] for c in ("spots", "sizes", "ids")
+        )
         spots, sizes, ids = (
-            np.concatenate([np.frombuffer(open_(v), "<i4") for v in values.column(c).to_pylist()])
-            for c in ("spots", "sizes", "ids")
+            np.concatenate(c) for c in ([np.cumsum(some) for some in steps], sizes, ids)
         )
         self.sizes = np.zeros(len(spots), np.int64)
         self.sizes[spots] = sizes
@@ -402,12 +452,11 @@ def encoded_rows(rows: DataFrame, table: PieceTable) -> DataFrame:
     held: list = [None, None]
 
     def use(values: pa.RecordBatch | None, part: pa.RecordBatch) -> pa.RecordBatch:
-        open_ = zstandard.ZstdDecompressor().decompress
         if values is not held[0]:
             held[:] = values, Pieces(values)
         found, same = [], []
         for words, hashed in zip(part.column("words").to_pylist(), part.column("print").to_pylist()):
-            places = np.frombuffer(open_(words), "<i4")
+            places = opened(words)
             ids = held[1].of(places) if len(places) else np.empty(0, np.int32)
             text = b"".join(map(bodies.__getitem__, ids.tolist())).replace(mark, b" ")[1:]
             found.append(ids)

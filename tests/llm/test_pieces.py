@@ -96,6 +96,21 @@ def test_words_are_cut_where_no_piece_crosses(table):
         assert "".join(pattern.findall(P.escaped(text))) == P.escaped(text)
 
 
+def test_words_are_cut_at_every_place_that_no_piece_holds(table, monkeypatch):
+    """So a word is the same one whatever stands after it."""
+    known = set(table.neighbours().tolist())
+    cutter = P.Cutter(table)
+    for text in TEXTS:
+        words = cutter.words(text)
+        assert "".join(words) == P.escaped(text)
+        assert not any(ord(a[-1]) << 21 | ord(b[0]) in known for a, b in zip(words, words[1:]))
+        assert all(ord(a) << 21 | ord(b) in known for w in words for a, b in zip(w, w[1:]))
+    assert {"▁word", "!"} <= set(cutter.words("word word! (word)"))
+    found = [cutter.words(t) for t in TEXTS]
+    monkeypatch.setattr(P, "TABLE_CHARS", 0)
+    assert [P.Cutter(table).words(t) for t in TEXTS] == found
+
+
 def test_round_trip(odd_docs, no_docs, all_rows):
     found = P.round_trip(odd_docs).collect()
     assert len(found) == len(all_rows)

@@ -5,7 +5,7 @@ has the same pieces wherever it stands. The distinct words of all texts form the
 every substring as long as some piece that begins like it is a row, an equi-join with the
 piece table keeps those that are pieces, the edges are grouped by word, and a fold over the
 ends of each word keeps the best path to each. Blocks of documents hold words as places in a list of their own, and get the pieces of
-that list back (``block_values``).
+that list back (``block_values``). Tables that no later step reads are removed on the way.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from codeprep.llm.block_values import first_block, with_values
 from codeprep.llm.memory import releasing
 from codeprep.llm.stage import small_batches, stage
+from codeprep.staging import remove, scratch_path
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -34,9 +35,11 @@ TABLE_CHARS = 4_000  # characters side by side are looked up in a table of so ma
 LATTICE = 256  # words longer than this are folded one by one, without a lattice table
 LATTICE_WORDS = 25_000  # words whose lattice one task holds
 PREFIX = 4  # characters by which the sizes of pieces that begin so are looked up
-BLOCK_WORDS = 200_000  # distinct words of a block
+# A word goes to the lattice and back once for each block that has it: large blocks spare most of that.
+BLOCK_WORDS = 400_000  # distinct words of a block
 BLOCK_CHARS = 4_000_000  # and their characters
-BLOCK_SPOTS = 1 << 21  # and words in all, 4 bytes each
+BLOCK_SPOTS = 1 << 23  # and words in all, 4 bytes each
+DOCS_AT_ONCE = 64  # documents whose words become pieces in one go
 
 
 @dataclass
@@ -153,6 +156,53 @@ def opened(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
+# A place is a code and as many further bytes as the code asks for: none for the first 192
+# places, one for the next 48 * 256 and so on.
+CODE_BYTES = np.repeat([0, 1, 2, 4], [192, 48, 15, 1])
+CODE_BASES = (np.cumsum(256**CODE_BYTES) - 256**CODE_BYTES).astype(np.int32)
+# The first code that asks for a byte more, and how many it then has.
+CODE_STEPS = [(192, 1), (240, 2), (255, 4)]
+
+
+def packed_places(docs: list[np.ndarray]) -> list[bytes]:
+    """Each document's places, low ones frequent: codes compressed, then bytes as they are, lowest first."""
+    bounds = np.cumsum([0, *map(len, docs)])
+    places = np.concatenate(docs)
+    codes = (np.searchsorted(CODE_BASES, places, "right") - 1).astype(np.uint8)
+    data, packer = codes.tobytes(), zstandard.ZstdCompressor(level=1)
+    parts = [[packer.compress(data[a:b]) for a, b in zip(bounds, bounds[1:])]]
+    done = 0
+    for code, size in CODE_STEPS:
+        some = np.flatnonzero(codes >= code)
+        rest = places[some] - CODE_BASES[codes[some]]
+        ends = np.searchsorted(some, bounds).tolist()
+        for k in range(done, size):
+            plane = (rest >> 8 * k).astype(np.uint8).tobytes()
+            parts.append([plane[a:b] for a, b in zip(ends, ends[1:])])
+        done = size
+    return [b"".join(of_doc) for of_doc in zip(*parts)]
+
+
+def opened_places(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of some documents, one after the other, and where those of each begin and end."""
+    frames, opener = [], zstandard.ZstdDecompressor()
+    for data in packed:
+        frame = opener.decompressobj()
+        frames.append((frame.decompress(data), frame.unused_data))
+    bounds = np.cumsum([0, *(len(codes) for codes, _ in frames)])
+    codes = np.frombuffer(b"".join(codes for codes, _ in frames), np.uint8)
+    places, at, done = CODE_BASES[codes], [0] * len(frames), 0
+    for code, size in CODE_STEPS:
+        some = np.flatnonzero(codes >= code)
+        counts = np.diff(np.searchsorted(some, bounds)).tolist()
+        for k in range(done, size):
+            plane = b"".join(rest[a : a + n] for (_, rest), a, n in zip(frames, at, counts))
+            places[some] += np.frombuffer(plane, np.uint8).astype(np.int32) << 8 * k
+            at = [a + n for a, n in zip(at, counts)]
+        done = size
+    return places, bounds
+
+
 class Block:
     """Documents of one block and its distinct words, until it is full."""
 
@@ -160,7 +210,7 @@ class Block:
         self.number = number
         self.spots = Spots()
         self.docs: list[np.ndarray] = []
-        self.rows: list[pa.RecordBatch] = []
+        self.rows: list[pa.Array] = []
         self.prints: list[bytes] = []
         self.size = 0
 
@@ -178,18 +228,21 @@ class Block:
         """
         if not self.docs:
             return
-        often = np.bincount(np.concatenate(self.docs), minlength=len(self.spots))
+        often = np.zeros(len(self.spots), np.int64)
+        for at in range(0, len(self.docs), 1_000):
+            often += np.bincount(np.concatenate(self.docs[at : at + 1_000]), minlength=len(often))
         order = np.argsort(-often, kind="stable")
         place = np.empty(len(order), "<i4")
         place[order] = np.arange(len(order))
         done = 0
         for rows in self.rows:
-            n = rows.num_rows
+            n = len(rows)
             docs = self.docs[done : done + n]
             columns = {
-                "row": rows.column("row"),
+                "kind": pa.array(["docs"] * n),
+                "row": rows,
                 "block": pa.array([self.number] * n, pa.int64()),
-                "words": pa.array([squeezed(place[d]) for d in docs], pa.binary()),
+                "words": pa.array(packed_places([place[d] for d in docs]), pa.binary()),
                 "print": pa.array(self.prints[done : done + n], pa.binary()),
             }
             done += n
@@ -198,6 +251,7 @@ class Block:
         for at in range(0, len(words), 20_000):
             some = [words[i] for i in order[at : at + 20_000].tolist()]
             columns = {
+                "kind": pa.array(["words"]),
                 "block": pa.array([self.number], pa.int64()),
                 "base": pa.array([at], pa.int32()),
                 "list": pa.array([some], pa.list_(pa.string())),
@@ -212,10 +266,10 @@ def padded(columns: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def cut_texts(rows: DataFrame, table: PieceTable) -> DataFrame:
-    """Staged blocks of (row, body): rows of documents (``words`` not null) and of words (``list``).
+def cut_texts(rows: DataFrame, table: PieceTable, path: str) -> DataFrame:
+    """Blocks of (row, body), written to ``path``: rows of documents and lists of words.
 
-    ``print`` is a 128-bit hash of the text's bytes. Bytes that are no UTF-8 become U+FFFD.
+    Each ``kind`` of row (docs, words) has a folder of its own. ``print`` is a 128-bit hash of the text's bytes. Bytes that are no UTF-8 become U+FFFD.
     """
     kind = rows.select(
         "row",
@@ -224,6 +278,7 @@ def cut_texts(rows: DataFrame, table: PieceTable) -> DataFrame:
         F.lit(b"").alias("print"),
         F.lit(0).alias("base"),
         F.array(F.lit("")).alias("list"),
+        F.lit("").alias("kind"),
     ).schema
     for field in kind:
         field.nullable = True
@@ -240,14 +295,14 @@ def cut_texts(rows: DataFrame, table: PieceTable) -> DataFrame:
                 full = block.add(cutter.words(body.decode("utf-8", "replace")))
                 block.prints.append(xxhash.xxh3_128_digest(body))
                 if full or i + 1 == batch.num_rows or i + 1 - start == 1_000:
-                    block.rows.append(batch.slice(start, i + 1 - start))
+                    block.rows.append(batch.column("row").slice(start, i + 1 - start))
                     start = i + 1
                 if full:
                     yield from block.batches(schema)
                     block = Block(block.number + 1)
         yield from block.batches(schema)
 
-    return stage(rows.mapInArrow(scan, kind), "word-blocks")
+    return stage(rows.mapInArrow(scan, kind), "word-blocks", path, folders="kind")
 
 
 def piece_rows(words: DataFrame, table: PieceTable) -> DataFrame:
@@ -427,48 +482,62 @@ class Pieces:
         self.starts[spots] = np.cumsum(sizes) - sizes
         self.ids = ids
 
-    def of(self, words: np.ndarray) -> np.ndarray:
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and where those of each begin and end."""
         sizes = self.sizes[words]
-        shift = self.starts[words] - np.cumsum(sizes) + sizes
-        return self.ids[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
+        bounds = np.append(0, np.cumsum(sizes))
+        shift = self.starts[words] - bounds[:-1]
+        return self.ids[np.repeat(shift, sizes) + np.arange(bounds[-1])], bounds
 
 
 def encoded_rows(rows: DataFrame, table: PieceTable) -> DataFrame:
     """(row, ids, same) of (row, body): piece ids, and whether decoding gives the text back."""
-    blocks = cut_texts(rows, table)
-    words = blocks.filter("list IS NOT NULL").select(
+    spark = rows.sparkSession
+    blocks_path, distinct_path, known_path = (
+        scratch_path(spark, name) for name in ("word-blocks", "distinct-words", "word-pieces")
+    )
+    blocks = cut_texts(rows, table, blocks_path)
+    words = blocks.filter("kind = 'words'").select(
         "block", "base", F.posexplode("list").alias("at", "word")
     )
     words = words.select("block", (F.col("base") + F.col("at")).alias("spot"), "word")
-    distinct = stage(words.select("word").distinct(), "distinct-words")
+    distinct = stage(words.select("word").distinct(), "distinct-words", distinct_path)
     # Some thousand words in a task: their lattice is many times as large as they are.
     tasks = distinct.count() // LATTICE_WORDS + 1
-    known = stage(word_pieces(distinct.repartition(tasks, "word"), table), "word-pieces")
+    known = stage(word_pieces(distinct.repartition(tasks, "word"), table), "word-pieces", known_path)
+    remove(spark, distinct_path)
     values = stage(packed_values(words.join(known, "word").select("block", "spot", "ids")), "values")
-    docs = blocks.filter("words IS NOT NULL").select("block", "row", "words", "print")
+    for path in (known_path, f"{blocks_path}/kind=words"):
+        remove(spark, path)
+    docs = blocks.filter("kind = 'docs'").select("block", "row", "words", "print")
     known_bodies = body_of(table)
     bodies = [known_bodies.get(i, b"\xef\xbf\xbd") for i in range(max(known_bodies, default=0) + 1)]
     mark = SPACE.encode()
     held: list = [None, None]
 
     def use(values: pa.RecordBatch | None, part: pa.RecordBatch) -> pa.RecordBatch:
-        if values is not held[0]:
+        if values is not None and values is not held[0]:
             held[:] = values, Pieces(values)
-        found, same = [], []
-        for words, hashed in zip(part.column("words").to_pylist(), part.column("print").to_pylist()):
-            places = opened(words)
-            ids = held[1].of(places) if len(places) else np.empty(0, np.int32)
-            text = b"".join(map(bodies.__getitem__, ids.tolist())).replace(mark, b" ")[1:]
-            found.append(ids)
-            same.append(xxhash.xxh3_128_digest(text) == hashed)
-        bounds = np.cumsum([0, *map(len, found)])
+        found, sizes, same = [np.empty(0, np.int32)], [], []
+        for at in range(0, part.num_rows, DOCS_AT_ONCE):
+            some = part.slice(at, DOCS_AT_ONCE)
+            places, bounds = opened_places(some.column("words").to_pylist())
+            if len(places):
+                ids, ends = held[1].of(places)
+                bounds = ends[bounds]
+                found.append(ids)
+                ids = ids.tolist()
+            for a, b, hashed in zip(bounds, bounds[1:], some.column("print").to_pylist()):
+                text = b"".join(map(bodies.__getitem__, ids[a:b])) if a < b else b""
+                same.append(xxhash.xxh3_128_digest(text.replace(mark, b" ")[1:]) == hashed)
+            sizes += np.diff(bounds).tolist()
         lists = pa.ListArray.from_arrays(
-            pa.array(bounds, pa.int32()), pa.array(np.concatenate(found).astype(np.int32))
+            pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(found).astype(np.int32))
         )
         return pa.RecordBatch.from_arrays([part.column("row"), lists, pa.array(same)], ["row", "ids", "same"])
 
     kind = rows.select("row", F.array(F.lit(0)).alias("ids"), F.lit(True).alias("same")).schema
-    small_batches(rows.sparkSession)
+    small_batches(spark)
     return with_values(docs, values, use, kind)
 
 

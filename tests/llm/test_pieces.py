@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,35 @@ def test_lattice_equals_one_text_at_a_time(spark, table, monkeypatch):
     assert pieces_of(spark, TEXTS, table) == expected
 
 
+def test_places_come_back_from_their_packed_form():
+    edges = [0, 191, 192, 447, 448, 12_479, 12_480, 77_000, 995_519, 995_520, 2**31 - 1]
+    docs = [np.array(d, np.int32) for d in (edges, [], [5], range(400_000), edges[::-1], [])]
+    places, bounds = P.opened_places(P.packed_places(docs))
+    assert [places[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [d.tolist() for d in docs]
+    # Words as frequent as in texts: less than the four bytes of each compressed together.
+    draw = np.random.default_rng(7)
+    zipf = [np.minimum(draw.zipf(1.2, 700) - 1, 300_000).astype(np.int32) for _ in range(50)]
+    assert sum(map(len, P.packed_places(zipf))) < 0.9 * sum(len(P.squeezed(d)) for d in zipf)
+
+
+def test_only_documents_and_values_stay_on_disk(spark, table, tmp_path, monkeypatch):
+    """Words, and what is known of them, go when the blocks have the pieces."""
+    monkeypatch.setattr(P, "scratch_path", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr("codeprep.llm.stage.scratch_path", P.scratch_path)
+    found = pieces_of(spark, TEXTS, table)
+    assert found == [best_path(t, table) for t in TEXTS]
+    left = {f.relative_to(tmp_path).parts[:-1] for f in tmp_path.rglob("part-*")}
+    assert left == {("word-blocks", "kind=docs"), ("values",)}
+
+
+def test_a_block_of_empty_texts_after_another(spark, table):
+    texts = ["some words", "", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(4, "i")
+    rows = rows.select(F.struct("i").alias("row"), F.col("text").cast("binary").alias("body"))
+    found = {r.row.i: (r.ids, r.same) for r in P.encoded_rows(rows, table).collect()}
+    assert found == {0: (best_path(texts[0], table), True), **{i: ([], True) for i in (1, 2, 3)}}
+
+
 def test_lattice_shuffles_no_edges(spark, table, plan):
     words = spark.createDataFrame([("ab",)], "word string").distinct()
     text = plan(P.best_paths(P.edges(words, table), table))
@@ -135,8 +165,6 @@ def test_decoding_equals_the_library(spark, table):
 
 
 def test_a_table_whose_pieces_cross_words(spark, table):
-    import numpy as np
-
     own = P.PieceTable(["▁", "a", "b", "a▁b", "▁a"], np.arange(5, dtype=np.int32),
                        np.array([-1.0, -1.0, -1.0, -0.5, -3.0]), table.byte_ids, 0)
     assert pieces_of(spark, ["a b"], own) == [[0, 3]]

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeprep.config import NO_DESCRIPTION
-from codeprep.operators import descriptions
+from codeprep.operators import descriptions, envelopes
 from codeprep.operators.descriptions import describe_codes
 
 KIND = "id int, other string, codes array<string>"
@@ -34,6 +34,19 @@ def test_many_rows_for_a_code_are_not_dealt_once_for_each_place(spark):
     assert dealt_records(told._jdf.queryExecution().executedPlan()) < 10_000
 
 
+def test_envelopes_deal_no_record_either(spark):
+    df = spark.range(300).select("id", F.array(F.lit("a"), F.lit("a")).alias("codes"))
+    known = spark.range(200).select(F.lit("a").alias("code"), F.col("id").cast("string").alias("description"))
+    told = describe_codes(df, ["id"], known).withColumns(
+        {"processing_time": F.lit(0.0), "model_version": F.lit("v")}
+    )
+    reply = envelopes.response_envelope(told, ["id"], "now", "id")
+    sizes = reply.select("request_id", F.size("predictions").alias("n"))
+    found = sizes.collect()
+    assert {r["n"] for r in found} == {400} and len({r["request_id"] for r in found}) == 300
+    assert dealt_records(sizes._jdf.queryExecution().executedPlan()) < 5_000
+
+
 @pytest.mark.parametrize("entries, least", [(1 << 21, 8_192), (3, 1), (7, 2)])
 def test_blocks_change_no_row(spark, monkeypatch, entries, least):
     monkeypatch.setattr(descriptions, "BLOCK_ENTRIES", entries)
